@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import simhash
+from shelfmark.llm import repeats, simhash
 
 
 def queries() -> dict:
-    return {"op10_simhash_gray_index": simhash.op10_simhash_gray_index}
+    return {
+        "op1_repeated_bytes": repeats.op1_repeated_bytes,
+        "op10_simhash_gray_index": simhash.op10_simhash_gray_index,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
