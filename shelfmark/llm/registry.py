@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import digest, repeats, simhash
+from shelfmark.llm import digest, qda, repeats, simhash
 
 
 def queries() -> dict:
     return {
         "op1_repeated_bytes": repeats.op1_repeated_bytes,
         "op4_rare_window_digest": digest.op4_rare_window_digest,
+        "op7_quadratic_quality": qda.op7_quadratic_quality,
         "op10_simhash_gray_index": simhash.op10_simhash_gray_index,
     }
 
