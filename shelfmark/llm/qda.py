@@ -105,7 +105,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = x[y == c]
             total[c] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
     n = total.shape[1]
-    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], n)), pa.array(np.tile(np.arange(n), 2)), pa.array(total.ravel())], ["label", "at", "value"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], n), pa.int32()), pa.array(np.tile(np.arange(n), 2), pa.int32()), pa.array(total.ravel())], ["label", "at", "value"])
 
 
 def fit(rows: DataFrame, labels: DataFrame) -> Discriminant:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import digest, qda, repeats, simhash
+from shelfmark.llm import brown, digest, qda, repeats, simhash
 
 
 def queries() -> dict:
     return {
         "op1_repeated_bytes": repeats.op1_repeated_bytes,
+        "op3_brown_class_bigrams": brown.op3_brown_class_bigrams,
         "op4_rare_window_digest": digest.op4_rare_window_digest,
         "op7_quadratic_quality": qda.op7_quadratic_quality,
         "op10_simhash_gray_index": simhash.op10_simhash_gray_index,
