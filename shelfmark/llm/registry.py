@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import brown, digest, qda, repeats, simhash
+from shelfmark.llm import brown, digest, pieces, qda, repeats, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_brown_class_bigrams": brown.op3_brown_class_bigrams,
         "op4_rare_window_digest": digest.op4_rare_window_digest,
         "op7_quadratic_quality": qda.op7_quadratic_quality,
+        "op8_sentencepiece_suffix_array": pieces.op8_sentencepiece_suffix_array,
         "op10_simhash_gray_index": simhash.op10_simhash_gray_index,
     }
 
