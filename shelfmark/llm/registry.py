@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import brown, digest, pieces, qda, repeats, simhash
+from shelfmark.llm import brown, digest, lines, pieces, qda, repeats, simhash, urls
 
 
 def queries() -> dict:
@@ -10,11 +10,13 @@ def queries() -> dict:
         "op1_repeated_bytes": repeats.op1_repeated_bytes,
         "op3_brown_class_bigrams": brown.op3_brown_class_bigrams,
         "op4_rare_window_digest": digest.op4_rare_window_digest,
+        "op6_line_frequency": lines.op6_line_frequency,
         "op7_quadratic_quality": qda.op7_quadratic_quality,
         "op8_sentencepiece_suffix_array": pieces.op8_sentencepiece_suffix_array,
+        "op9_bloom_cascade": urls.op9_bloom_cascade,
         "op10_simhash_gray_index": simhash.op10_simhash_gray_index,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_frequency": lines.OP6_SQL, "op9_bloom_cascade": urls.OP9_SQL}
