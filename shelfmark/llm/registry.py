@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import brown, digest, lines, pieces, qda, repeats, simhash, urls
+from shelfmark.llm import brown, digest, lines, mixing, pieces, qda, repeats, simhash, urls, warc
 
 
 def queries() -> dict:
     return {
         "op1_repeated_bytes": repeats.op1_repeated_bytes,
+        "op2_pfair_mix": mixing.op2_pfair_mix,
         "op3_brown_class_bigrams": brown.op3_brown_class_bigrams,
         "op4_rare_window_digest": digest.op4_rare_window_digest,
+        "op5_revisit_resolution": warc.op5_revisit_resolution,
         "op6_line_frequency": lines.op6_line_frequency,
         "op7_quadratic_quality": qda.op7_quadratic_quality,
         "op8_sentencepiece_suffix_array": pieces.op8_sentencepiece_suffix_array,
@@ -19,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_frequency": lines.OP6_SQL, "op9_bloom_cascade": urls.OP9_SQL}
+    return {"op2_pfair_mix": mixing.OP2_SQL, "op5_revisit_resolution": warc.OP5_SQL, "op6_line_frequency": lines.OP6_SQL, "op9_bloom_cascade": urls.OP9_SQL}
