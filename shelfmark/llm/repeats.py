@@ -10,9 +10,10 @@ Each pass works on units, runs of consecutive suffixes of one document:
    of their heads contain;
 3. single suffixes; the digit is the whole head.
 
-A group with one member is done: nothing in it repeats. A group whose members agree
-on all bytes that their heads cover is done too: everything in it repeats. Only mixed
-groups go on to the next pass. Groups are counted by partial aggregation and joined
+A group with one member is done: nothing in it repeats. Members that agree with another
+on all bytes that their heads cover are done too: everything in them repeats. Of groups
+with several kinds of members, one of each kind goes on to the next pass, with the bytes
+around it, so whole texts move once for this and once to be cut. Groups are counted by partial aggregation and joined
 back, so a digit that a third of all units share needs no task of its own. Equality
 is judged by two independent 64-bit hashes.
 """
@@ -24,12 +25,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import SLICE_BYTES, gather, materialise, sliding_argmin, spans, utf8, whole_text
 
 _CHUNK = 1 << 20
+#: Bytes around a unit that its context keeps: the longest run of pass 2.
+_MARGIN = 16
 _RANDOM = np.random.default_rng(20240229)
 _BYTE_CODES = _RANDOM.integers(1, 2**63, (2, 256), dtype=np.uint64)
 _BASES = [int(x) | 5 for x in _RANDOM.integers(2**40, 2**62, 2)]
@@ -104,62 +107,97 @@ def _anchored(width: int, gram: int) -> Callable:
     return run
 
 
-def _units(width: int, step: int, expand: Callable) -> Callable:
-    """Units of passes 2 and 3 from (doc_id, th, text, places); expand: places -> starts of runs of `step` suffixes."""
+def _context_table(width: int) -> Callable:
+    """(doc_id, th, base, place, body) of (doc_id, th, text, places): the bytes that a pass 1 unit's heads and their neighbours cover; base is the offset of the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, at = utf8(batch.column(2))
             lists = batch.column(3)
-            values, cuts = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-            for i in range(len(at) - 1):
-                begin = np.unique(expand(values[cuts[i] : cuts[i + 1]]))
-                n = int(at[i + 1] - at[i])
-                last = n - width  # the last suffix with a whole head
-                begin = begin[(begin + step - 1 >= 0) & (begin <= last)]
-                for low in range(-step, last + 1, _CHUNK):
-                    some = begin[np.searchsorted(begin, low) : np.searchsorted(begin, low + _CHUNK)]
-                    if not len(some):
-                        continue
-                    first = max(0, int(some[0]))
-                    part = body[at[i] + first : at[i] + min(n, int(some[-1]) + width + step - 1)]
-                    one, two = Rolling(part, 0), Rolling(part, 1)
-                    core = one.of(some + step - 1 - first, some + width - first)
-                    low_end, high_end = np.maximum(some, 0) - first, np.minimum(some + width + step - 1, n) - first
-                    full = two.of(low_end, high_end)
-                    if step > 1:
-                        full ^= _mixed(((low_end + first - some) << 8 | (high_end - low_end)).astype(np.uint64))
-                    yield _rows(batch, np.full(len(some), i), core, full, some)
+            place, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            start, size = place >> 16, (place >> 8 & 255) + 1
+            low, high = np.maximum(start - _MARGIN, 0), np.minimum(start + size - 1 + width + _MARGIN, at[row + 1] - at[row])
+            raw = body.tobytes()
+            part = pa.array([raw[a:b] for a, b in zip((at[row] + low).tolist(), (at[row] + high).tolist(), strict=True)], pa.binary())
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(low), pa.array(place), part], ["doc_id", "th", "base", "place", "body"])
 
     return run
 
 
-def _rows(batch: pa.RecordBatch, row: np.ndarray, digit: np.ndarray, full: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    row = pa.array(row)
-    return pa.RecordBatch.from_arrays([pa.array(digit.view(np.int64)), pa.array(full.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(place.astype(np.int64))], ["digit", "full", "doc_id", "th", "place"])
+def _runs(width: int, step: int) -> Callable:
+    """Units of pass 2 from the contexts: runs of `step` suffixes counted from the anchor, as far as the context has whole heads for them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body, at = utf8(batch.column(4))
+            base, place = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            start = (place >> 16) - base
+            anchor, size = start + (place & 255), (place >> 8 & 255) + 1
+            first, last = (start - anchor) // step, (start + size - 1 - anchor) // step
+            row = np.repeat(np.arange(len(place)), last - first + 1)
+            begin = np.repeat(anchor, last - first + 1) + gather(first, last - first + 1) * step
+            yield from _hashed(batch, body, at, row, begin, base, width, step)
+
+    return run
+
+
+def _singles(width: int, step: int) -> Callable:
+    """Units of pass 3: every suffix of a run, from the contexts with their runs."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body, at = utf8(batch.column(4))
+            base = batch.column(2).to_numpy()
+            lists = batch.column(3)
+            runs, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes * step)
+            begin = gather(runs, np.full(len(runs), step)) - base[row]
+            yield from _hashed(batch, body, at, row, begin, base, width, 1)
+
+    return run
 
-def _grouped(units: DataFrame) -> DataFrame:
-    """Units whose digit has other members, with `pure` where all members agree."""
-    digits = units.groupBy("digit").agg(F.count("*").alias("n"), F.min("full").alias("least"), F.max("full").alias("most"))
-    digits = digits.where("n > 1").select("digit", (F.col("least") == F.col("most")).alias("pure"))
-    return units.drop("full").join(digits, "digit").drop("digit")
 
+def _hashed(batch: pa.RecordBatch, body: np.ndarray, at: np.ndarray, row: np.ndarray, begin: np.ndarray, base: np.ndarray, width: int, step: int) -> Iterator[pa.RecordBatch]:
+    """Digit (what all heads of a unit contain) and hash of all that they cover; units without a whole head in their text are left out."""
+    size = np.diff(at)
+    good = (begin + step - 1 >= 0) & (begin <= size[row] - width)
+    row, begin = row[good], begin[good]
+    if not len(row):
+        return
+    one, two = Rolling(body, 0), Rolling(body, 1)
+    low, high = np.maximum(begin, 0), np.minimum(begin + width + step - 1, size[row])
+    full = two.of(at[row] + low, at[row] + high)
+    if step > 1:
+        full ^= _mixed(((low - begin) << 16 | (high - begin)).astype(np.uint64))
+    core = one.of(at[row] + begin + step - 1, at[row] + begin + width)
+    yield _rows(batch, row, core, full, begin + base[row])
+
+
+def _rows(batch: pa.RecordBatch, row: np.ndarray, digit: np.ndarray, full: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    row = pa.array(row)
+    return pa.RecordBatch.from_arrays([pa.array(digit.view(np.int64)), pa.array(full.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(place.astype(np.int64))], ["digit", "full", "doc_id", "th", "place"])
 
-def _by_document(found: DataFrame) -> DataFrame:
-    lists = [F.collect_list(F.when(F.col("pure") == F.lit(flag), F.col("place"))).alias(name) for flag, name in ((True, "whole"), (False, "mixed"))]
-    return found.groupBy("doc_id", "th").agg(*lists)
 
+def _several(overlapping: bool) -> Column:
+    """True for groups of more than one unit. Units of passes 2 and 3 can come from two contexts of one document; they count once there."""
+    if not overlapping:
+        return F.count("*") > 1
+    where = F.xxhash64("doc_id", "th", "place")
+    return F.min(where) != F.max(where)
 
-def _places_of_anchors(step: int) -> Callable:
-    def expand(places: np.ndarray) -> np.ndarray:
-        start, size, anchor = places >> 16, (places >> 8 & 255) + 1, places & 255
-        at = start + anchor
-        first = (start - at) // step  # runs are counted from the anchor
-        last = (start + size - 1 - at) // step
-        return np.repeat(at, last - first + 1) + gather(first, last - first + 1) * step
 
-    return expand
+def _classified(units: DataFrame, name: str, overlapping: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(whole, onward): units that repeat as they are, and one unit of each kind found in groups of several kinds."""
+    digits = units.groupBy("digit").agg(_several(overlapping).alias("several"), F.min("full").alias("least"), F.max("full").alias("most"))
+    digits = digits.where("several").select("digit", (F.col("least") == F.col("most")).alias("pure"))
+    joined = materialise(units.join(digits, "digit"), name)
+    mixed = joined.where(~F.col("pure"))
+    kinds = mixed.groupBy("digit", "full").agg(_several(overlapping).alias("several"), F.min(F.struct("doc_id", "th", "place")).alias("one"))
+    repeated = mixed.join(kinds.where("several").select("digit", "full"), ["digit", "full"])
+    place = ["doc_id", "th", "place"]
+    return joined.where("pure").select(place).unionByName(repeated.select(place)), kinds.select("one.*")
 
 
 def _joined(texts: DataFrame, places: DataFrame, how: str = "inner") -> DataFrame:
@@ -169,7 +207,7 @@ def _joined(texts: DataFrame, places: DataFrame, how: str = "inner") -> DataFram
 
 
 def repeated_spans(docs: DataFrame, width: int = 200, gram: int = 32, step: int = 16) -> DataFrame:
-    """(doc_id, th, starts): per document with repeats, runs (start, suffixes) of suffixes whose `width`-byte head starts elsewhere too.
+    """(doc_id, th, runs): per document with repeats, runs (start, suffixes) of suffixes whose `width`-byte head starts elsewhere too.
 
     Texts are judged as whole UTF-8 strings, null as empty; th is the hash that tells
     rows of one doc_id apart. Runs may touch or overlap.
@@ -177,24 +215,25 @@ def repeated_spans(docs: DataFrame, width: int = 200, gram: int = 32, step: int
     texts = keyed(docs)
     kind = texts.schema["doc_id"].dataType.simpleString()
     unit = f"digit long, full long, doc_id {kind}, th int, place long"
-    anchored = texts.mapInArrow(_anchored(width, gram), unit)
-    first = materialise(_by_document(_grouped(anchored)), "anchors")
-    anchored_mixed = first.where(F.size("mixed") > 0).select("doc_id", "th", "mixed")
-    second_units = materialise(_joined(texts, anchored_mixed).mapInArrow(_units(width, step, _places_of_anchors(step)), unit), "units")
-    second = materialise(_by_document(_grouped(second_units)), "runs")
-    runs_mixed = second.where(F.size("mixed") > 0).select("doc_id", "th", "mixed")
-    singles = _units(width, 1, lambda places: gather(places, np.full(len(places), step)))
-    third_units = materialise(_joined(texts, runs_mixed).mapInArrow(singles, unit), "suffixes")
-    heads = third_units.groupBy("digit", "full").count().where("count > 1").select("digit", "full")
-    third = third_units.join(heads, ["digit", "full"]).groupBy("doc_id", "th").agg(F.collect_list("place").alias("starts"))
-    run = lambda x, size: F.struct(x.alias("start"), size.cast("long").alias("suffixes"))
+    whole, onward = _classified(texts.mapInArrow(_anchored(width, gram), unit), "anchors")
+    wanted = onward.groupBy("doc_id", "th").agg(F.collect_list("place").alias("places"))
+    contexts = materialise(_joined(texts, wanted).mapInArrow(_context_table(width), f"doc_id {kind}, th int, base long, place long, body binary"), "contexts")
+    whole_runs, onward_runs = _classified(contexts.mapInArrow(_runs(width, step), unit), "runs", overlapping=True)
+    held = contexts.select("doc_id", "th", "base", "place", "body")
+    lists = onward_runs.select("doc_id", "th", "place").groupBy("doc_id", "th").agg(F.collect_list("place").alias("runs"))
+    near = F.filter("runs", lambda x: (x >= F.shiftright("place", 16) - step + 1) & (x <= F.shiftright("place", 16) + F.shiftright("place", 8).bitwiseAND(F.lit(255))))
+    last = _joined(held, lists).withColumn("runs", near).where(F.size("runs") > 0).select("doc_id", "th", "base", "runs", "body")
+    suffixes = materialise(last.mapInArrow(_singles(width, step), unit), "suffixes")
+    heads = suffixes.groupBy("digit", "full").agg(_several(True).alias("several")).where("several").select("digit", "full")
+    repeated = suffixes.join(heads, ["digit", "full"])
+    size = F.shiftright("place", 8).bitwiseAND(F.lit(255)) + 1
     parts = [
-        first.select("doc_id", "th", F.transform("whole", lambda x: run(F.shiftright(x, 16), F.shiftright(x, 8).bitwiseAND(F.lit(255)) + 1)).alias("runs")),
-        second.select("doc_id", "th", F.transform("whole", lambda x: run(x, F.lit(step))).alias("runs")),
-        third.select("doc_id", "th", F.transform("starts", lambda x: run(x, F.lit(1))).alias("runs")),
+        whole.select("doc_id", "th", F.shiftright("place", 16).alias("start"), size.cast("long").alias("suffixes")),
+        whole_runs.select("doc_id", "th", F.col("place").alias("start"), F.lit(step).cast("long").alias("suffixes")),
+        repeated.select("doc_id", "th", F.col("place").alias("start"), F.lit(1).cast("long").alias("suffixes")),
     ]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.size("runs") > 0)
-    return every.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "suffixes")).alias("runs"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
