@@ -102,7 +102,7 @@ def capacity_rollup(moves: DataFrame, free: DataFrame) -> DataFrame:
 
 def combine_documents(docs: DataFrame, record: str, ord_: str, body: str) -> DataFrame:
     """(record, text): bodies in order with a blank line between; bodies that only differ in blanks and case count once."""
-    key = F.lower(F.array_join(F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: x != ""), "\n"))
+    key = F.lower(F.array_join(F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n"))
     rank = F.row_number().over(Window.partitionBy(record, "key").orderBy(ord_))
     kept = docs.withColumn("key", key).where("key <> ''").withColumn("rank", rank).where("rank = 1")
     rows = kept.groupBy(record).agg(F.array_sort(F.collect_list(F.struct(F.col(ord_).alias("o"), F.col(body).alias("b")))).alias("rows"))
