@@ -19,8 +19,8 @@ def year_of(c: Column, pivot: int = 35) -> Column:
 
 def month_number(c: Column) -> Column:
     """Two-digit month of an English name or its first letters."""
-    low = F.lower(F.substring(c, 1, 3))
-    return F.coalesce(*[F.when(low == m, F.lit(f"{i:02d}")) for i, m in enumerate(MONTHS, 1)])
+    numbers = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, f"{i:02d}")])
+    return numbers[F.lower(F.substring(c, 1, 3))]
 
 
 def _part(c: Column, most: int) -> Column:

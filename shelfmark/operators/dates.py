@@ -57,8 +57,10 @@ def extract_dates(df: DataFrame, key: str, column: str, allow_slash: bool = Fals
     rows = rows.withColumns({"kind": kind, "y": part(0), "m": part(1), "d": part(2)})
     rows = rows.withColumns({"ymd": dates.partial_date(F.col("y"), F.col("m"), F.col("d"), pivot), "ydm": dates.partial_date(F.col("y"), F.col("d"), F.col("m"), pivot)})
     normal = F.when(F.col("kind") == "range", dates.year_range(F.col("raw"), pivot)).when(F.col("kind") == "mdy", F.coalesce("ymd", "ydm")).otherwise(F.col("ymd"))
-    every = rows.select(key, "start", "raw", normal.alias("normal"), "kind", "rank").where("normal is not null")
-    spans = every.groupBy(key).agg(F.collect_list(F.struct("start", (F.col("start") + F.length("raw")).alias("end"), "rank", "raw", "normal", "kind")).alias("all"))
+    every = rows.select(key, "start", "raw", normal.alias("normal"), "kind", "rank")
+    # no filter on normal: it would be pushed down and repeat all of its expression
+    span = F.struct("start", (F.col("start") + F.length("raw")).alias("end"), "rank", "raw", "normal", "kind")
+    spans = every.groupBy(key).agg(F.collect_list(F.when(F.col("normal").isNotNull(), span)).alias("all"))
     beats = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"]) & ((a["rank"] < b["rank"]) | ((a["rank"] == b["rank"]) & (a["start"] < b["start"])))
     clear = F.filter("all", lambda b: ~F.exists("all", lambda a: beats(a, b)))
     return spans.select(key, F.explode(clear).alias("d")).select(key, "d.start", "d.raw", "d.normal", "d.kind")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ("keys", "filters", "groups", "joins", "windows", "dates")
+MODULES = ("keys", "filters", "groups", "joins", "windows", "dates", "files", "plans")
 
 
 def query(name: str, sql: str | None = None) -> Callable:
