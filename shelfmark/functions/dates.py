@@ -80,4 +80,4 @@ def compatible(a: Column, b: Column) -> Column:
     known = lambda c, i: F.when(~F.get(F.split(c, "-"), F.lit(i)).contains("x"), F.get(F.split(c, "-"), F.lit(i)))
     parts = [F.coalesce(known(a, i) == known(b, i), F.lit(True)) for i in range(3)]
     both = parts[0] & parts[1] & parts[2]
-    return F.coalesce(F.when(is_range(a) & is_range(b), a == b).when(is_range(a), inside(a, b)).when(is_range(b), inside(b, a)).otherwise(both), F.lit(False))
+    return F.coalesce(F.when(a.isNull() | b.isNull(), F.lit(False)).when(is_range(a) & is_range(b), a == b).when(is_range(a), inside(a, b)).when(is_range(b), inside(b, a)).otherwise(both), F.lit(False))
