@@ -43,6 +43,11 @@ def text_hash(col: str = "text") -> Column:
     return F.xxhash64(whole_text(col))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, id, th): whole rows as one column, so that no column of theirs can clash in a join; select("row.*") gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text_hash().alias("th"))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string column without a copy; nulls have no bytes."""
     if isinstance(column, pa.ChunkedArray):

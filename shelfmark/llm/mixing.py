@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import text_hash, whole_text
+from shelfmark.llm.common import packed, text_hash, whole_text
 
 _ROWS_PER_GROUP = 5_000
 
@@ -88,10 +88,9 @@ def mixed(docs: DataFrame, weights: dict[str, int] | None = None, block_chars: i
 
 def in_mix_order(docs: DataFrame, **options) -> DataFrame:
     """The documents, all of them, sorted into the mix."""
-    places = mixed(docs, **options).select(F.col("doc_id").alias("p_id"), F.col("th").alias("p_th"), "position").groupBy("p_id", "p_th").agg(F.min("position").alias("__position"))
-    keyed = docs.withColumn("__th", text_hash())
-    joined = keyed.join(places, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("__th") == F.col("p_th")))
-    return joined.orderBy("__position", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id", "__th").select(*[F.col(f"`{c}`") for c in docs.columns])
+    places = mixed(docs, **options).select(F.col("doc_id").alias("p_id"), F.col("th").alias("p_th"), "position").groupBy("p_id", "p_th").agg(F.min("position").alias("position"))
+    joined = packed(docs).join(places, F.col("id").eqNullSafe(F.col("p_id")) & (F.col("th") == F.col("p_th")))
+    return joined.orderBy("position", F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), "id", "th").select("row.*")
 
 
 def op2_pfair_mix(spark, sf_dir: str) -> DataFrame:

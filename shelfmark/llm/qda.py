@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import materialise, utf8, whole_text
+from shelfmark.llm.common import materialise, packed, utf8, whole_text
 
 FEATURES = ("words", "symbols", "bars", "shouts", "capitals", "echoes", "variety", "word_size", "stops", "repeated_lines", "line_size", "worst_line")
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -142,8 +142,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, with the columns they came with."""
     rows = quality_scores(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th")).distinct()
-    keyed = docs.withColumn("__th", F.xxhash64(whole_text()))
-    return keyed.join(rows, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("__th") == F.col("r_th")), "left_anti").drop("__th")
+    return packed(docs).join(rows, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th")), "left_anti").select("row.*")
 
 
 def op7_quadratic_quality(spark, sf_dir: str) -> DataFrame:

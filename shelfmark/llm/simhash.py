@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import materialise, utf8, whole_text
+from shelfmark.llm.common import materialise, packed, utf8, whole_text
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _HASH_ROWS = 1 << 15
@@ -220,11 +220,10 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     chosen = classes.groupBy("root").agg(F.min(order).alias("k"))
     chosen = chosen.select(F.col("k.doc_id").alias("k_id"), F.col("k.th").alias("k_th"))
     repeated = classes.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"))
-    keyed = docs.withColumn("__th", F.xxhash64(whole_text()))
-    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("__th") == F.col("k_th"))
-    kept = keyed.join(chosen, same, "left_semi")
-    twice = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__th"])
-    return kept.join(repeated, same, "left_anti").unionByName(twice).drop("__th")
+    same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th"))
+    kept = packed(docs).join(chosen, same, "left_semi")
+    twice = kept.join(repeated, same, "left_semi").dropDuplicates(["id", "th"])
+    return kept.join(repeated, same, "left_anti").unionByName(twice).select("row.*")
 
 
 def op10_simhash_gray_index(spark, sf_dir: str) -> DataFrame:
