@@ -102,8 +102,8 @@ def a7(t):
 
 
 @query("a8_capacity_rollup", """
-SELECT l_suppkey AS destination, sum(CASE WHEN l_linestatus = 'F' THEN 0 ELSE l_quantity END) AS required, count(DISTINCT l_partkey) AS n_sources, 6000.0 AS free_bytes,
-  sum(CASE WHEN l_linestatus = 'F' THEN 0 ELSE l_quantity END) - 6000.0 AS shortfall FROM lineitem GROUP BY 1 HAVING required > 6000""")
+SELECT l_suppkey AS destination, sum(CASE WHEN l_linestatus = 'F' THEN 0 ELSE l_quantity END) AS required, count(DISTINCT l_partkey) AS n_sources, 6000.0::DOUBLE AS free_bytes,
+  sum(CASE WHEN l_linestatus = 'F' THEN 0 ELSE l_quantity END) - 6000.0::DOUBLE AS shortfall FROM lineitem GROUP BY 1 HAVING required > 6000""")
 def a8(t):
     moves = t("lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("destination"), F.col("l_quantity").alias("bytes"), (F.col("l_linestatus") == "F").alias("same_device"))
     free = t("supplier").select(F.col("s_suppkey").alias("destination"), F.lit(6000.0).alias("free_bytes"))
