@@ -85,7 +85,7 @@ def d8(t):
     return op.labelled_fields(built_docs(t), "doc_id", "text")
 
 
-@query("d9_numbered_items", "SELECT l_orderkey AS doc_id, l_linenumber AS number, p_name AS title FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2) JOIN part ON p_partkey = p")
+@query("d9_numbered_items", "SELECT l_orderkey AS doc_id, l_linenumber::BIGINT AS number, p_name AS title FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2) JOIN part ON p_partkey = p")
 def d9(t):
     return op.numbered_items(built_docs(t), "doc_id", "text").drop("pos")
 

@@ -70,7 +70,7 @@ def s6(t):
 
 
 @query("s7_read_reference_tables", """
-WITH a AS (SELECT lower(r_name) AS key, 'country' AS kind, r_name AS canonical, NULL AS region, NULL AS country FROM region
+WITH a AS (SELECT lower(r_name) AS key, 'country' AS kind, r_name AS canonical, NULL::VARCHAR AS region, NULL::VARCHAR AS country FROM region
   UNION ALL SELECT replace(lower(n_name), '_', ' '), 'region', n_name, NULL, r_name FROM nation JOIN region ON r_regionkey = n_regionkey
   UNION ALL SELECT 'n' || n_nationkey, 'region', n_name, NULL, r_name FROM nation JOIN region ON r_regionkey = n_regionkey
   UNION ALL SELECT p_name, 'venue', p_name, NULL, NULL FROM (SELECT DISTINCT p_name FROM part)
@@ -91,7 +91,7 @@ def s8(t):
 
 
 @query("s9_flatten_performances", """
-SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS date, 'hall' AS venue, o_orderstatus AS city, NULL AS state, year(o_orderdate)::BIGINT AS year, CASE WHEN o_orderkey % 2 = 0 THEN 'a,b' ELSE 'a' END AS sets FROM orders WHERE o_orderkey % 9 <> 0""")
+SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS date, 'hall' AS venue, o_orderstatus AS city, NULL::VARCHAR AS state, year(o_orderdate)::BIGINT AS year, CASE WHEN o_orderkey % 2 = 0 THEN 'a,b' ELSE 'a' END AS sets FROM orders WHERE o_orderkey % 9 <> 0""")
 def s9(t):
     key = F.when(F.col("o_orderkey") % 9 == 0, "x").otherwise(F.col("o_orderkey").cast("string"))
     node = F.struct(key.alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.lit("hall").alias("venue"), F.col("o_orderstatus").alias("city"), F.lit("a").alias("set1"), F.lit(" ").alias("set2"), F.when(F.col("o_orderkey") % 2 == 0, "b").alias("set3"))

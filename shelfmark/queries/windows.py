@@ -93,7 +93,7 @@ def w7(t):
 
 @query("w8_order_files", f"""
 WITH n AS ({_NUMBERED}), f AS (SELECT l_orderkey, l_linenumber, p_name, CASE WHEN l_linenumber % 2 = 0 THEN 2 ELSE 1 END AS disc FROM n)
-SELECT CAST(l_orderkey AS VARCHAR) AS folder, disc AS disc, l_linenumber AS track, row_number() OVER (PARTITION BY l_orderkey ORDER BY disc, l_linenumber) AS number, p_name AS title FROM f""")
+SELECT CAST(l_orderkey AS VARCHAR) AS folder, disc::BIGINT AS disc, l_linenumber::BIGINT AS track, row_number() OVER (PARTITION BY l_orderkey ORDER BY disc, l_linenumber) AS number, p_name AS title FROM f""")
 def w8(t):
     name = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "d2").otherwise("d1"), F.lit("t0"), F.col("l_linenumber").cast("string"), F.lit("_"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".flac"))
     files = numbered(t).select(F.col("l_orderkey").cast("string").alias("folder"), name.alias("name"))
