@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import paths
 from shelfmark.operators.filters import prune_paths
 
+# Fixed value: the line that ends a block.
 END_OF_BLOCK = "END_SHOW_METADATA"
 
 
