@@ -27,7 +27,7 @@ from shelfmark.llm.common import materialise, spans, utf8, whole_text
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _END = b"\n"  # no word holds white space
-_FLUSH = 1 << 21
+_FLUSH = 1 << 20
 
 
 def held_out(column: str = "doc_id"):
@@ -227,7 +227,7 @@ def word_classes(training: DataFrame, k: int = 64, core_words: int = 512, rounds
 
 
 def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (chunk, word) as far as one flush sees them; rows of a partition come sorted by chunk."""
+    """(chunk, word), distinct as far as one flush sees them; rows of a partition come sorted by chunk."""
     held, words = None, _Words()
 
     def flush() -> pa.RecordBatch:
@@ -235,7 +235,7 @@ def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _batch({"chunk": np.full(len(hashes), held, np.int32), "h": hashes})
 
     for batch in batches:
-        body, at = utf8(batch.column(1))
+        body, at = utf8(batch.column(3))
         chunks = batch.column(0).to_pylist()
         for i, chunk in enumerate(chunks):
             if held is not None and (chunk != held or words.size > _FLUSH):
@@ -247,7 +247,7 @@ def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def encoded(docs: DataFrame, classes: DataFrame, facts: dict, k: int, chunk_bytes: int = 12 << 20) -> DataFrame:
+def encoded(docs: DataFrame, classes: DataFrame, facts: dict, k: int, chunk_bytes: int = 6 << 20) -> DataFrame:
     """Per document the counts and sums of the scores that need single words, and its sequence of classes (one byte a token; k: unknown)."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(whole_text()))).first()[0] or 0
@@ -255,7 +255,8 @@ def encoded(docs: DataFrame, classes: DataFrame, facts: dict, k: int, chunk_byte
     kind = docs.schema["doc_id"].dataType.simpleString()
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", whole_text()), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", held_out().alias("held_out"), whole_text().alias("text"))
     dealt = dealt.repartition("chunk")
-    wanted = dealt.select("chunk", "text").sortWithinPartitions("chunk").mapInArrow(_chunk_words, "chunk int, h long").distinct()
+    # all columns, so that this and the cogroup read one and the same exchange of texts
+    wanted = dealt.sortWithinPartitions("chunk").mapInArrow(_chunk_words, "chunk int, h long")
     entries = wanted.join(classes, "h").select("chunk", "h", "n", "class")
     base = np.log10(facts["tokens"] + 0.5 * (facts["types"] + 1))
 
