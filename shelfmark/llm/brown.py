@@ -146,7 +146,7 @@ def exchange(pairs: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
             cols = _f(grid + before[:, None]) - _f(grid)
             both = _f(np.diag(grid) + after + before + self_n) - _f(np.diag(grid))
             gain = rows.sum(axis=1) - np.diag(rows) + cols.sum(axis=0) - np.diag(cols) + both
-            left, right = grid.sum(axis=1), grid.sum(axis=0)
+            left, right = grid.sum(axis=1) + before, grid.sum(axis=0) + after  # with what the word takes to and from them
             gain -= _f(left + pairs[w].sum()) - _f(left)
             gain -= _f(right + pairs[:, w].sum()) - _f(right)
             best = int(np.argmax(gain))
