@@ -72,8 +72,8 @@ class Rolling:
 
 def _pieces(body: np.ndarray, at: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
     """Bytes to work on at once, with the first start, the number of starts and the document of each part, and the offset of a cut document."""
-    for first, last in spans(at):
-        if at[last] - at[first] <= max(_CHUNK, SLICE_BYTES):
+    for first, last in spans(at, SLICE_BYTES):
+        if last - first > 1 or at[last] - at[first] <= _CHUNK:
             count = np.maximum(np.diff(at[first : last + 1]) - width + 1, 0)
             yield body[at[first] : at[last]], at[first:last] - at[first], count, np.arange(first, last), 0
         else:
@@ -191,10 +191,11 @@ def _several(overlapping: bool) -> Column:
 def _classified(units: DataFrame, name: str, overlapping: bool = False) -> tuple[DataFrame, DataFrame]:
     """(whole, onward): units that repeat as they are, and one unit of each kind found in groups of several kinds."""
     digits = units.groupBy("digit").agg(_several(overlapping).alias("several"), F.min("full").alias("least"), F.max("full").alias("most"))
-    digits = digits.where("several").select("digit", (F.col("least") == F.col("most")).alias("pure"))
+    # a table of its own, so that a digit that many units share can be split in the join
+    digits = materialise(digits.where("several").select("digit", (F.col("least") == F.col("most")).alias("pure")), f"{name}-digits")
     joined = materialise(units.join(digits, "digit"), name)
     mixed = joined.where(~F.col("pure"))
-    kinds = mixed.groupBy("digit", "full").agg(_several(overlapping).alias("several"), F.min(F.struct("doc_id", "th", "place")).alias("one"))
+    kinds = materialise(mixed.groupBy("digit", "full").agg(_several(overlapping).alias("several"), F.min(F.struct("doc_id", "th", "place")).alias("one")), f"{name}-kinds")
     repeated = mixed.join(kinds.where("several").select("digit", "full"), ["digit", "full"])
     place = ["doc_id", "th", "place"]
     return joined.where("pure").select(place).unionByName(repeated.select(place)), kinds.select("one.*")
@@ -224,7 +225,7 @@ def repeated_spans(docs: DataFrame, width: int = 200, gram: int = 32, step: int
     near = F.filter("runs", lambda x: (x >= F.shiftright("place", 16) - step + 1) & (x <= F.shiftright("place", 16) + F.shiftright("place", 8).bitwiseAND(F.lit(255))))
     last = _joined(held, lists).withColumn("runs", near).where(F.size("runs") > 0).select("doc_id", "th", "base", "runs", "body")
     suffixes = materialise(last.mapInArrow(_singles(width, step), unit), "suffixes")
-    heads = suffixes.groupBy("digit", "full").agg(_several(True).alias("several")).where("several").select("digit", "full")
+    heads = materialise(suffixes.groupBy("digit", "full").agg(_several(True).alias("several")).where("several").select("digit", "full"), "heads")
     repeated = suffixes.join(heads, ["digit", "full"])
     size = F.shiftright("place", 8).bitwiseAND(F.lit(255)) + 1
     parts = [
@@ -294,10 +295,11 @@ def without_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
             yield pa.RecordBatch.from_arrays([texts if k == 2 else batch.column(k) for k in range(batch.num_columns)], batch.schema.names)
 
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    texts = docs.select("doc_id", F.hash(whole_text()).alias("th"), whole_text().alias("text"), F.struct(F.col("text").isNull().alias("was_null"), *rest).alias("rest"))
-    joined = _joined(texts, repeated_spans(docs, width), "left").select("doc_id", "th", "text", "runs", "rest")
+    whole = F.struct(F.lit(0).alias("doc_id"), *[F.col(f"`{c}`") for c in rest])  # never an empty struct
+    texts = docs.select("doc_id", F.hash(whole_text()).alias("th"), whole_text().alias("text"), F.col("text").isNull().alias("was_null"), whole.alias("rest"))
+    joined = _joined(texts, repeated_spans(docs, width), "left").select("doc_id", "th", "text", "runs", "was_null", "rest")
     done = joined.mapInArrow(run, joined.schema)
-    text = F.when(~F.col("rest.was_null"), F.col("text"))
+    text = F.when(~F.col("was_null"), F.col("text"))
     fields = {c: F.col(f"rest.`{c}`") for c in rest} | {"doc_id": F.col("doc_id"), "text": text}
     if "n_chars" in rest:
         fields["n_chars"] = F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)
