@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import text_hash, whole_text
+from shelfmark.llm.common import materialise, text_hash, whole_text
 
 _SPACES = " \t\n\u000b\u000c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -69,11 +69,12 @@ def _keyed(docs: DataFrame, host: str) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, host: str = "source", least_docs: int = 10, share: float = 0.001) -> DataFrame:
-    """(doc_id, th, removed, removed_words): hashes of a document's lines that more than `least_docs` documents and more than `share` of all documents of its host hold."""
+    """(doc_id, th, removed, removed_words): hashes of a document's lines that more than `least_docs` documents and more than `share` of all document rows of its host hold."""
     rows = _keyed(docs, host)
     line = F.explode(F.transform(worded_lines(F.col("text")), lambda x: F.struct(F.xxhash64(_normal(x)).alias("h"), F.size(words_of(x)).alias("n"))))
-    lines = rows.select("doc_id", "th", "host", line.alias("l")).groupBy("doc_id", "th", "host", F.col("l.h").alias("h")).agg(F.sum("l.n").alias("n"))
-    hosts = rows.select("doc_id", "th", "host").distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    # counted and joined below, so written once: a few numbers for each line
+    lines = materialise(rows.select("doc_id", "th", "host", line.alias("l")).groupBy("doc_id", "th", "host", F.col("l.h").alias("h")).agg(F.sum("l.n").alias("n")), "lines")
+    hosts = rows.groupBy("host").agg(F.count("*").alias("docs"))
     counted = lines.groupBy("host", "h").agg(F.count("*").alias("in_docs")).where(F.col("in_docs") > least_docs)
     common = counted.join(hosts, "host").where(F.col("in_docs") > share * F.col("docs")).select("host", "h")
     return lines.join(common, ["host", "h"]).groupBy("doc_id", "th").agg(F.collect_list("h").alias("removed"), F.sum("n").alias("removed_words"))
