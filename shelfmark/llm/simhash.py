@@ -215,7 +215,11 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
 
     Of rows that are equal in doc_id and text one stays. Columns are those of the input.
     """
-    classes = near_duplicates(docs, shingle, radius)
+    return keep_chosen(docs, near_duplicates(docs, shingle, radius))
+
+
+def keep_chosen(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The documents with the first of each class left; classes has (doc_id, th, root)."""
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
     chosen = classes.groupBy("root").agg(F.min(order).alias("k"))
     chosen = chosen.select(F.col("k.doc_id").alias("k_id"), F.col("k.th").alias("k_th"))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfmark.llm import brown, digest, lines, mixing, pieces, qda, repeats, simhash, urls, warc
+from shelfmark.llm import brown, digest, likeness, lines, mixing, pieces, qda, repeats, simhash, urls, warc
 from tests.llm import data
 
 ROWS = data.rows()
@@ -323,6 +323,65 @@ def test_one_of_each_class_stays(spark):
     assert out.count() == len(set(classes_by_force([fingerprint_by_force(r[1]) for r in ROWS])))
 
 
+def shingles_by_force(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in body(text)))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike_by_force(texts):
+    sets = [shingles_by_force(t) for t in texts]
+    parent = list(range(len(sets)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or (a and b and 5 * len(a & b) >= 4 * len(a | b)):
+                parent[find(i)] = find(j)
+    return [find(i) for i in range(len(sets))]
+
+
+def planted_copies(rng, copies, edits):
+    out = []
+    for k in range(12):
+        words = data.words(rng, rng.randrange(60, 160), 3_000).split()
+        out.append(" ".join(words))
+        for _ in range(copies):
+            copy = words[:]
+            for _ in range(rng.randrange(1, edits)):
+                copy[rng.randrange(len(copy))] = f"edit{rng.randrange(10**6)}"
+            out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("common", [1 << 15, 0])
+def test_alike_by_force(spark, monkeypatch, common):
+    monkeypatch.setattr(likeness, "_COMMON", common)
+    rng = random.Random(11)
+    line = data.words(rng, 30, 3_000)
+    texts = [r[1] for r in ROWS] + planted_copies(rng, 6, 6) + [f"{line} {data.words(rng, n, 3_000)}" for n in (2, 5, 9, 14, 20, 30)]
+    got = likeness.alike(data.table(spark, [(i, t, "en", "a", 0, None, 1, 2, "y") for i, t in enumerate(texts)])).collect()
+    roots = {r.doc_id: r.root for r in got}
+    want = alike_by_force(texts)
+    assert len(got) == len(texts) and len(set(zip(roots.values(), (want[i] for i in roots), strict=True))) == len(set(roots.values())) == len(set(want))
+
+
+def test_stage_drops_edited_copies(spark):
+    texts = planted_copies(random.Random(5), 5, 4)
+    docs = data.table(spark, [(i, t, "en", "a", 0, None, 1, 2, "y") for i, t in enumerate(texts)])
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    want = alike_by_force(texts)
+    assert out.columns == docs.columns and len(set(want)) < len(texts) // 2
+    assert sorted(r.doc_id for r in out.collect()) == sorted({min(i for i, c in enumerate(want) if c == k) for k in want})
+
+
+def test_alike_of_an_empty_table(spark):
+    assert likeness.keep_one(spark.createDataFrame([], data.SCHEMA)).count() == 0
+
+
 # all
 
 
