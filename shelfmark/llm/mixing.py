@@ -86,11 +86,28 @@ def mixed(docs: DataFrame, weights: dict[str, int] | None = None, block_chars: i
     )
 
 
+def _joined(docs: DataFrame, **options) -> DataFrame:
+    """(row, id, th, slot, position) of the documents, all of them."""
+    places = mixed(docs, **options).groupBy(F.col("doc_id").alias("p_id"), F.col("th").alias("p_th")).agg(F.min("slot").alias("slot"), F.min("position").alias("position"))
+    return packed(docs).join(places, F.col("id").eqNullSafe(F.col("p_id")) & (F.col("th") == F.col("p_th")))
+
+
+def _sorted(joined: DataFrame) -> DataFrame:
+    return joined.orderBy("position", F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), "id", "th")
+
+
 def in_mix_order(docs: DataFrame, **options) -> DataFrame:
     """The documents, all of them, sorted into the mix."""
-    places = mixed(docs, **options).select(F.col("doc_id").alias("p_id"), F.col("th").alias("p_th"), "position").groupBy("p_id", "p_th").agg(F.min("position").alias("position"))
-    joined = packed(docs).join(places, F.col("id").eqNullSafe(F.col("p_id")) & (F.col("th") == F.col("p_th")))
-    return joined.orderBy("position", F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), "id", "th").select("row.*")
+    return _sorted(_joined(docs, **options)).select("row.*")
+
+
+def with_places(docs: DataFrame, **options) -> DataFrame:
+    """The documents, all of them, with their `slot` and `position` in the mix (replaced if there), sorted into it.
+
+    Readers that lose the order get it back by position, then md5 of doc_id.
+    """
+    rest = [f"row.`{c}`" for c in docs.columns if c.lower() not in ("slot", "position")]
+    return _sorted(_joined(docs, **options)).select(*rest, "slot", "position")
 
 
 def op2_pfair_mix(spark, sf_dir: str) -> DataFrame:

@@ -89,6 +89,28 @@ def test_schedule_is_less_than_a_block_off(spark, weights):
         assert all(abs(n - t * m / 100) < 1 for n, m in zip(counts, weights, strict=True))
 
 
+def test_the_mix_reaches_the_last_stage(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choices("ab cd", k=7_000)), "en", "xxxxxxyyyz"[i % 10], 7_000, None, 1, 2, "y") for i in range(200)]
+    data.table(spark, rows).drop("position").write.parquet(str(tmp_path / "docs"))
+    corpus_pipeline.mix(spark, spark.read.parquet(str(tmp_path / "docs")), "").write.parquet(str(tmp_path / "mix"))
+    corpus_pipeline.tokens(spark, spark.read.parquet(str(tmp_path / "mix")), "").write.parquet(str(tmp_path / "out"))
+    out = sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=lambda r: r.position)
+    assert len(out) == len(rows) and {r.doc_id: r.source for r in out} == {r[0]: r[3] for r in rows}
+    chars = Counter()
+    for r in rows:
+        chars[r[3]] += len(r[1])
+    sizes = spark.createDataFrame(list(chars.items()), "source string, chars long")
+    weights = {r.source: r.m for r in mixing.target_weights(sizes, 1_000, 0.5).collect()}
+    order = [source for _, source in sorted({(r.position, r.source) for r in out})]
+    ends = min(max(r.slot for r in out if r.source == s) for s in weights)
+    counts = Counter()
+    assert ends > 10 and len(set(order[:10])) == 3
+    for t, source in enumerate(order[: ends + 1], 1):
+        counts[source] += 1
+        assert all(abs(counts[s] - t * m / 1_000) < 1 for s, m in weights.items())
+
+
 # 3: class bigrams
 
 
