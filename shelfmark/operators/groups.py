@@ -40,15 +40,15 @@ def group_release_parts(folders: DataFrame, parent: str, name: str, count: str)
 
 
 def document_line_profile(docs: DataFrame, key: str, body: str) -> DataFrame:
-    """Per document over its first 120 lines: line counts, content score, and whether it is unreadable or checksums only."""
-    rows = lines(docs, key, body, 120).withColumn("line", F.trim("line")).where("line <> ''")
+    """Per document over all its lines: line counts, content score, and whether it is unreadable or checksums only."""
+    rows = lines(docs, key, body).withColumn("line", F.trim("line")).where("line <> ''")
     one = text.compact(F.col("line"))
     checksum = one.rlike("[0-9]") & F.array_max(F.array(*[one.rlike(p) for p in rules.CHECKSUM_LINES]))
     hits = sum((F.col("line").rlike(p).cast("int") for p in rules.LIST_LINES), F.lit(0))
     words = F.size(F.split("line", "\\s+"))
     info = ~checksum & ((hits > 0) | (F.regexp_count("line", F.lit("[A-Za-z]{2,}")) >= 2))
     short = words.between(2, 10) & (F.length("line") < 80) & ~F.lower("line").rlike(rules.HOUSEKEEPING_WORDS)
-    score = F.when(F.col("pos") < 80, 5 * hits + short.cast("int")).otherwise(0)
+    score = 5 * hits + short.cast("int")
     counted = rows.groupBy(key).agg(F.count("*").alias("n_lines"), F.count_if(checksum).alias("n_checksum"), F.count_if(info).alias("n_info"), F.sum(score).alias("score"))
     letters = docs.select(key, (F.regexp_count(F.coalesce(F.col(body), F.lit("")), F.lit("[A-Za-z]")) < 3).alias("unreadable"))
     out = letters.join(counted, key, "left").na.fill(0, ["n_lines", "n_checksum", "n_info", "score"])

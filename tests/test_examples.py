@@ -83,6 +83,15 @@ def test_checksum_lines_are_no_titles(spark):
     assert profile[1].n_checksum == 1 and not profile[1].unreadable and profile[2].unreadable and profile[3].unreadable
 
 
+def test_profile_reads_past_the_head(spark):
+    sums = [f"{i:02d} song.flac:81b2a1f0c3d4e5f681b2a1f0c3d4e5f6" for i in range(130)]
+    docs = spark.createDataFrame([(1, "\n".join([*sums, "A short line of prose", "and one more line of prose"])), (2, "\n".join(sums))], "id int, t string")
+    profile = {r.id: r for r in groups.document_line_profile(docs, "id", "t").collect()}
+    assert (profile[1].n_lines, profile[1].n_checksum, profile[1].n_info) == (132, 130, 2) and profile[1].score > profile[2].score
+    assert not profile[1].checksum_only and profile[2].checksum_only and profile[2].n_lines == 130
+    assert [r.name for r in filters.usable_documents(groups.document_line_profile(docs, "id", "t").withColumn("name", F.col("id").cast("string")), "name").collect()] == ["1"]
+
+
 def test_scopes_cover_their_catalog(spark):
     rows = spark.createDataFrame([("A", "/x/1"), ("A", "/x/12"), ("B", "/x/1"), ("", "/y")], "label string, path string")
     kept, replaced = joins.replace_scopes(rows, "label", "path", spark.createDataFrame([("a", "/x/1"), ("b", "")], "label string, root string"))
