@@ -29,19 +29,22 @@ def _lower(headers: Column) -> Column:
 
 
 def as_of_responses(records: DataFrame, slice_length: int = 4_096) -> DataFrame:
-    """Every revisit with `original`, (ts, record_id) of the latest earlier response of its url key, or null.
+    """Every revisit with `original`, the latest earlier response of its url key as (ts, record_id, full), or null.
 
-    records: record_id, ts (long), key, kind ("response" or "revisit"). Earlier means a
-    lesser (ts, record_id). A key's records are dealt into slices of time, so a hot url
-    is no single group; the last response of each slice is carried to later slices.
+    records: record_id, ts (long), key, kind ("response" or "revisit"), full (a struct
+    that a response brings with it). Earlier means a lesser (ts, record_id); of responses
+    equal in both the one of the greatest `full` counts, so repeated ids stay apart. A
+    key's records are dealt into slices of time, so a hot url is no single group; the last
+    response of each slice is carried to later slices.
     """
-    at = F.struct("ts", "record_id")
-    sliced = records.withColumn("slice", F.expr(f"ts div {slice_length}")).withColumn("full", F.when(F.col("kind") == "response", at))
-    last = sliced.groupBy("key", "slice").agg(F.max("full").alias("last"))
+    at = F.struct("ts", "record_id", "full")
+    sliced = records.withColumn("slice", F.expr(f"ts div {slice_length}")).withColumn("given", F.when(F.col("kind") == "response", at))
+    last = sliced.groupBy("key", "slice").agg(F.max("given").alias("last"))
     earlier = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice
     carried = last.select("key", "slice", F.max("last").over(earlier).alias("carried"))
-    inside = Window.partitionBy("key", "slice").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    near = sliced.withColumn("near", F.max("full").over(inside)).where("kind = 'revisit'").drop("full")
+    # of one (ts, record_id) revisits come before responses, as neither is earlier than the other
+    inside = Window.partitionBy("key", "slice").orderBy("ts", "record_id", F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    near = sliced.withColumn("near", F.max("given").over(inside)).where("kind = 'revisit'").drop("given", "full")
     found = near.join(carried, ["key", "slice"], "left")
     return found.withColumn("original", F.coalesce("near", "carried")).drop("near", "carried", "slice")
 
@@ -55,13 +58,17 @@ def resolve_revisits(records: DataFrame, slice_length: int = 4_096) -> DataFrame
     or missing (no earlier response). headers of resolved revisits are those of the
     response, brought up to date with the fields that a not-modified answer may carry;
     others have their own. A null url has the empty key; null headers count as none;
-    records with a null time, id or kind are no revisits and no originals.
+    records with a null time, id or kind are no revisits and no originals. Repeated ids
+    and repeated rows stay separate records: headers and digest travel with their record,
+    they are never looked up by id.
     """
-    keyed = records.select("record_id", F.col("ts").cast("long").alias("ts"), canonical_url(F.col("url")).alias("key"), "kind", _lower(F.col("headers")).alias("headers"), "digest").where("ts is not null and record_id is not null and kind is not null")
-    found = as_of_responses(keyed.select("record_id", "ts", "key", "kind"), slice_length).select("record_id", "ts", "key", F.col("original.record_id").alias("original_id"))
-    revisits = keyed.where("kind = 'revisit'").select("record_id", "headers", "digest").dropDuplicates(["record_id"])
-    originals = keyed.where("kind = 'response'").select(F.col("record_id").alias("original_id"), F.col("headers").alias("full"), F.col("digest").alias("full_digest")).dropDuplicates(["original_id"])
-    joined = found.join(revisits, "record_id").join(originals, "original_id", "left")
+    entries = F.array_sort(F.map_entries(_lower(F.col("headers"))))
+    keyed = records.select("record_id", F.col("ts").cast("long").alias("ts"), canonical_url(F.col("url")).alias("key"), "kind", F.struct(entries.alias("entries"), "digest").alias("own"))
+    keyed = keyed.where("ts is not null and record_id is not null and kind in ('response', 'revisit')").withColumn("full", F.when(F.col("kind") == "response", F.col("own")))
+    joined = as_of_responses(keyed, slice_length).select(
+        "record_id", "ts", "key", F.col("original.record_id").alias("original_id"), F.map_from_entries("own.entries").alias("headers"), "own.digest",
+        F.map_from_entries("original.full.entries").alias("full"), F.col("original.full.digest").alias("full_digest"),
+    )
     tag = lambda c: F.regexp_replace(F.col(c)["etag"], "^W/", "")
     same = F.coalesce(tag("headers") == tag("full"), F.col("headers")["last-modified"] == F.col("full")["last-modified"], F.col("digest") == F.col("full_digest"))
     state = F.when(F.col("original_id").isNull(), "missing").when(same.isNull(), "unchecked").when(same, "resolved").otherwise("changed")
