@@ -16,21 +16,32 @@ SLICE_BYTES = 1 << 19
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder of the cluster (`spark.checkpoint.dir`); a temporary one is set only where none is, as in tests."""
+    """Shared folder of the cluster (`spark.checkpoint.dir`). A temporary one is set only where none is and all tasks run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         root = spark.sparkContext.getCheckpointDir()
     return root
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write `df` as Parquet into the shared folder and read it back."""
+    """Cut the lineage: write `df` as Parquet into the shared folder and read it back; `discard` deletes it again."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `materialise` that nothing reads any more."""
+    for table in tables:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def whole_text(col: str = "text") -> Column:
@@ -85,11 +96,16 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - lengths, lengths) + np.repeat(starts.astype(np.int64), lengths)
 
 
+_ARGMIN_ROWS = 1 << 22
+
+
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     """Index of the leftmost least of values[i : i + width] for every full window; values are below 2**40."""
     n = len(values)
     if n < width:
         return np.zeros(0, np.int64)
+    if n > _ARGMIN_ROWS + width - 1:  # positions inside a part fit the low 24 bits
+        return np.concatenate([sliding_argmin(values[a : a + _ARGMIN_ROWS + width - 1], width) + a for a in range(0, n - width + 1, _ARGMIN_ROWS)])
     packed = (values.astype(np.uint64) << np.uint64(24)) | np.arange(n, dtype=np.uint64)
     rows = -(-n // width)
     block = np.full(rows * width, np.iinfo(np.uint64).max, np.uint64)

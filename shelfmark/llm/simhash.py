@@ -1,30 +1,36 @@
 """SimHash near-duplicates by a Gray-ordered hierarchical index (operator 10).
 
-A fingerprint is 64 bits over word shingles. Two fingerprints that differ in at
-most `radius` bits agree on one of `radius + 1` blocks of bits, so every distinct
-fingerprint enters `radius + 1` views, rotated so that the agreed block leads.
-In a view, fingerprints are sorted by Gray rank: those that share leading bits are
-neighbours. The shared (view, block) is the top node; inside a large one, runs of
-neighbours form nodes whose common bits are kept as (mask, pattern), and a pair of
-nodes is left out as soon as its patterns differ in more than `radius` bits.
-What comes out is one star per cluster and node, never all pairs.
+A fingerprint is 64 bits over word shingles. Two fingerprints that differ in at most
+`radius` bits agree on one of `radius + 1` blocks of bits, so every distinct fingerprint
+enters that many nodes; a node is the (mask, pattern) of the bits that its members share.
+Members of a node are sorted by Gray rank, so neighbours share bits: leaves of neighbours,
+and upper nodes over the leaves, keep the bits that all below them share as (mask,
+pattern). Pairs of nodes are followed from the top; each level adds the differences on the
+bits that are new there, and a pair is left out with all below it as soon as the sum
+exceeds `radius`. A node with too many members for one task is cut into tiles of Gray
+neighbours; pairs of tiles whose shared bits allow a link are compared, each in a task of
+its own. What comes out is one star per cluster and node, never all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import materialise, packed, utf8, whole_text
+from shelfmark.llm.common import discard, materialise, packed, utf8, whole_text
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _HASH_ROWS = 1 << 15
-_LEAF = 64
+#: Members of a leaf, children of an upper node, and pairs of leaves compared at once.
+_LEAF, _FAN, _PAIRS = 16, 8, 1 << 12
+_ALL = (1 << 64) - 1
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -41,9 +47,14 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
         np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=starts[1:])
         begin, end = starts[: len(words) - shingle + 1].tolist(), (starts[shingle:] - 1).tolist()
         hashes = [digest(joined[a:b], 42) for a, b in zip(begin, end, strict=True)]
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes; zero without any."""
     votes = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _HASH_ROWS):
-        part = np.array(hashes[i : i + _HASH_ROWS], dtype=">u8")
+        part = hashes[i : i + _HASH_ROWS].astype(hashes.dtype.newbyteorder(">"))
         votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
 
@@ -63,8 +74,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, th long, fp long")
 
 
-def _rotated(fp, by: int):
-    return fp if by == 0 else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by))
+def block_masks(radius: int) -> list[int]:
+    """Masks of the `radius + 1` blocks of bits of which two fingerprints within `radius` bits share one."""
+    if not 0 <= radius < 64:
+        raise ValueError("radius must be from 0 to 63")
+    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return [(1 << b) - (1 << a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _gray_rank(bits):
@@ -73,97 +88,175 @@ def _gray_rank(bits):
     return bits
 
 
-def _stars(fps: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, least fingerprint of its cluster) for those with a partner in their top node; rows come in Gray order."""
-    n = len(fps)
-    label = np.arange(n)
+class _Groups:
+    """Labels of joined rows; a label is the least row of its group."""
 
-    def join(a: np.ndarray, b: np.ndarray) -> None:
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
-            la, lb = label[a], label[b]
+            la, lb = self.label[a], self.label[b]
             low, high = np.minimum(la, lb), np.maximum(la, lb)
             open_ = low != high
             if not open_.any():
                 return
-            np.minimum.at(label, high[open_], low[open_])
+            np.minimum.at(self.label, high[open_], low[open_])
             while True:  # labels point to roots
-                up = label[label]
-                if (up == label).all():
+                up = self.label[self.label]
+                if (up == self.label).all():
                     break
-                label[:] = up
+                self.label = up
             a, b = a[open_], b[open_]
 
+
+def _stars(fps: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, first fingerprint of its cluster) for those with a partner in their node; rows come by node, in Gray order."""
     edges = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-    size = np.diff(np.concatenate([edges, [n]]))
-    small = np.repeat(size <= _LEAF, size)
+    size = np.diff(np.concatenate([edges, [len(fps)]]))
+    groups = _Groups(len(fps))
     step = 1
-    left = np.flatnonzero(small)
+    left = np.flatnonzero(np.repeat(size <= 4 * _LEAF, size))
     while len(left):
-        left = left[left + step < n]
+        left = left[left + step < len(fps)]
         left = left[node[left + step] == node[left]]
         near = np.bitwise_count(fps[left] ^ fps[left + step]) <= radius
-        join(left[near], left[near] + step)
+        groups.join(left[near], left[near] + step)
         step += 1
-    for start, count in zip(edges[size > _LEAF].tolist(), size[size > _LEAF].tolist(), strict=True):
-        _index_node(fps[start : start + count], start, radius, join)
-    root = label
-    linked = np.flatnonzero(root != np.arange(n))
-    return fps[linked], fps[root[linked]]
-
-
-def _index_node(fps: np.ndarray, start: int, radius: int, join) -> None:
-    """Links inside one large top node, by leaves of Gray-ordered neighbours with their shared bit patterns."""
-    cuts = np.arange(0, len(fps), _LEAF)
-    ones, any_ = np.bitwise_and.reduceat(fps, cuts), np.bitwise_or.reduceat(fps, cuts)
-    mask = ~(ones ^ any_)
-    for i, cut in enumerate(cuts.tolist()):
-        apart = np.bitwise_count((ones[i:] ^ ones[i]) & mask[i:] & mask[i])
-        for j in (np.flatnonzero(apart <= radius) + i).tolist():
-            other = cuts[j]
-            near = np.bitwise_count(fps[cut : cut + _LEAF, None] ^ fps[None, other : other + _LEAF]) <= radius
-            a, b = np.nonzero(near)
-            join(a + start + cut, b + start + other)
+    linked = np.flatnonzero(groups.label != np.arange(len(fps)))
+    found = [(fps[linked], fps[groups.label[linked]])]
+    for start, count in zip(edges[size > 4 * _LEAF].tolist(), size[size > 4 * _LEAF].tolist(), strict=True):
+        own = fps[start : start + count]
+        label = _tree_groups(own, radius)
+        linked = np.flatnonzero(label != np.arange(count))
+        found.append((own[linked], own[label[linked]]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _tree_groups(fps: np.ndarray, radius: int) -> np.ndarray:
+    """Labels of the fingerprints of one node, in Gray order, by its tree of shared bit patterns."""
+    ones, some = fps, fps
+    levels = []
+    fan = _LEAF
+    while not levels or len(levels[-1][0]) > 1:
+        cuts = np.arange(0, len(ones), fan)
+        ones, some = np.bitwise_and.reduceat(ones, cuts), np.bitwise_or.reduceat(some, cuts)
+        levels.append((ones, ~(ones ^ some)))
+        fan = _FAN
+    first = second = np.zeros(1, np.int64)
+    apart, seen = np.zeros(1, np.int64), np.zeros(1, np.uint64)
+    for depth in range(len(levels) - 1, -1, -1):
+        pattern, mask = levels[depth]
+        if depth < len(levels) - 1:
+            kids = np.arange(_FAN)
+            a = (first[:, None, None] * _FAN + kids[None, :, None] + 0 * kids[None, None, :]).ravel()
+            b = (second[:, None, None] * _FAN + 0 * kids[None, :, None] + kids[None, None, :]).ravel()
+            apart, seen = np.repeat(apart, _FAN * _FAN), np.repeat(seen, _FAN * _FAN)
+            there = (a <= b) & (b < len(pattern))
+            first, second, apart, seen = a[there], b[there], apart[there], seen[there]
+        both = mask[first] & mask[second]
+        apart = apart + np.bitwise_count((pattern[first] ^ pattern[second]) & both & ~seen)
+        near = apart <= radius
+        first, second, apart, seen = first[near], second[near], apart[near], both[near]
+    groups = _Groups(len(fps))
+    inside = np.arange(_LEAF)
+    for at in range(0, len(first), _PAIRS):
+        a = (first[at : at + _PAIRS, None] * _LEAF + inside)[:, :, None]
+        b = (second[at : at + _PAIRS, None] * _LEAF + inside)[:, None, :]
+        last = len(fps) - 1
+        near = (np.bitwise_count(fps[np.minimum(a, last)] ^ fps[np.minimum(b, last)]) <= radius) & (a < b) & (b <= last)
+        pair, i, j = np.nonzero(near)
+        groups.join(a[pair, i, 0], b[pair, 0, j])
+    return groups.label
+
+
+def _node_links(radius: int):
+    """Edges (a, b) of rows (fp, mask, pattern) that come by node, in Gray order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, np.uint64)] * 3
+        for batch in batches:
+            kept = [np.concatenate([old, batch.column(i).to_numpy().view(np.uint64)]) for i, old in enumerate(kept)]
+            yield from whole(kept, last=False)
+            kept = rest(kept)
+        yield from whole(kept, last=True)
+
+    def begin_of_last(rows: list[np.ndarray]) -> int:
+        """The last node may go on in the next batch."""
+        changes = np.flatnonzero((rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1]))
+        return int(changes[-1]) + 1 if len(changes) else 0
+
+    def rest(rows: list[np.ndarray]) -> list[np.ndarray]:
+        return [x[begin_of_last(rows) :] for x in rows]
+
+    def whole(rows: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+        cut = len(rows[0]) if last else begin_of_last(rows)
+        if not cut:
+            return
+        fps, mask, pattern = (x[:cut] for x in rows)
+        node = np.concatenate([[0], np.cumsum((mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1]))])
+        a, b = _stars(fps, node, radius)
+        if len(a):
+            yield _edges(a, b)
+
+    return run
+
+
+def _signed(x: int) -> int:
+    return x - (x >> 63 << 64)
 
 
 def links(distinct: DataFrame, radius: int = 2, largest_node: int = 1 << 15) -> DataFrame:
-    """Edges (a, b), b the lesser, that connect all fingerprints within `radius` bits.
+    """Edges (a, b), b the lesser, that connect all fingerprints within `radius` bits, for any radius from 0 to 63.
 
-    distinct has one column fp without repeats. A top node of more than `largest_node`
-    fingerprints is not taken into one task: its members meet at the points within one
-    bit of them instead, where at most 65 can meet (radius 2 only).
+    distinct has one column fp without repeats. A node of more than `largest_node`
+    fingerprints is not taken into one task but compared by pairs of tiles.
     """
-    blocks = radius + 1
-    widths = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
-    views = F.explode(F.array(*[F.struct(F.lit(i).alias("view"), _rotated(F.col("fp"), sum(widths[:i])).alias("bits"), F.lit(64 - widths[i]).alias("low")) for i in range(blocks)])).alias("v")
-    viewed = distinct.select("fp", views).select("fp", F.col("v.view").alias("view"), F.expr("shiftrightunsigned(v.bits, v.low)").alias("top"), _gray_rank(F.col("v.bits")).alias("rank"))
-    large = viewed.groupBy("view", "top").count().where(F.col("count") > largest_node).select("view", "top")
+    masks = F.explode(F.array(*[F.lit(_signed(m)).cast("long") for m in block_masks(radius)])).alias("mask")
+    members = distinct.select("fp", masks).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("pattern"), _gray_rank(F.col("fp")).alias("rank"))
+    # a table of its own, so that the joins below can split a hot node
+    large = materialise(members.groupBy("mask", "pattern").count().where(F.col("count") > largest_node).select("mask", "pattern"), "large")
+    if large.isEmpty():
+        return _inside(members, radius).distinct()
+    crowded = materialise(_tiled(members.join(large, ["mask", "pattern"], "left_semi"), largest_node), "tiled")
+    return _inside(members.join(large, ["mask", "pattern"], "left_anti"), radius).unionByName(_inside(_tile_pairs(crowded, radius), radius)).distinct()
+
+
+def _inside(members: DataFrame, radius: int) -> DataFrame:
+    """Edges inside each (mask, pattern)."""
+    dealt = members.select("fp", "mask", "pattern", "rank").repartition("mask", "pattern").sortWithinPartitions("mask", "pattern", "rank")
+    return dealt.mapInArrow(_node_links(radius), "a long, b long")
+
+
+def _tiled(members: DataFrame, largest_node: int) -> DataFrame:
+    """The members with the `tile` of their node: at most `largest_node` neighbours by Gray rank. No task takes a whole node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_fp, kept_node = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        place, number, size = TaskContext.get().partitionId() << 40, -1, 0
+        held: tuple | None = None
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            node = batch.column(2).to_numpy() * 4 + batch.column(1).to_numpy()
-            fp, node = np.concatenate([kept_fp, fp]), np.concatenate([kept_node, node])
-            if not len(fp):
-                continue
-            changes = np.flatnonzero(node[1:] != node[:-1])
-            cut = int(changes[-1]) + 1 if len(changes) else 0  # the last node may go on in the next batch
-            a, b = _stars(fp[:cut], node[:cut], radius) if cut else (fp[:0], fp[:0])
-            kept_fp, kept_node = fp[cut:], node[cut:]
-            if len(a):
-                yield _edges(a, b)
-        if len(kept_fp):
-            a, b = _stars(kept_fp, kept_node, radius)
-            if len(a):
-                yield _edges(a, b)
-
-    indexed = viewed.join(large, ["view", "top"], "left_anti").select("fp", "view", "top", "rank").repartition("view", "top").sortWithinPartitions("view", "top", "rank")
-    found = indexed.mapInArrow(run, "a long, b long")
-    points = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) * (i == 63))) for i in range(64)])
-    crowded = viewed.join(large, ["view", "top"], "left_semi").select("fp").distinct()
-    met = crowded.select("fp", F.explode(points).alias("at")).groupBy("at").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    stars = met.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a")).where("a <> b").select("a", "b")
-    return found.unionByName(stars).distinct() if radius == 2 else found.distinct()
+            mask, pattern = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            tiles = []
+            for node in zip(mask, pattern, strict=True):
+                if node != held or size == largest_node:
+                    held, number, size = node, number + 1, 0
+                size += 1
+                tiles.append(place + number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tiles, pa.int64())], [*batch.schema.names, "tile"])
+
+    dealt = members.select("fp", "mask", "pattern", "rank").repartitionByRange("mask", "pattern", "rank").sortWithinPartitions("mask", "pattern", "rank")
+    return dealt.mapInArrow(run, "fp long, mask long, pattern long, rank long, tile long")
+
+
+def _tile_pairs(crowded: DataFrame, radius: int) -> DataFrame:
+    """The members of every pair of tiles of a node (with itself, too) whose shared bits differ in `radius` places at most; mask is the pair's number."""
+    shared = crowded.groupBy("mask", "pattern", "tile").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("some"))
+    tiles = materialise(shared.withColumn("same", F.bitwise_not(F.col("ones").bitwiseXOR(F.col("some")))).drop("some"), "tiles")
+    other = tiles.select("mask", "pattern", *[F.col(c).alias(f"o_{c}") for c in ("tile", "ones", "same")])
+    apart = F.bit_count(F.col("ones").bitwiseXOR(F.col("o_ones")).bitwiseAND(F.col("same")).bitwiseAND(F.col("o_same")))
+    near = tiles.join(other, ["mask", "pattern"]).where("tile <= o_tile").where(apart <= radius)
+    pairs = materialise(near.select(F.explode(F.array_distinct(F.array("tile", "o_tile"))).alias("tile"), F.xxhash64("tile", "o_tile").alias("one"), F.xxhash64("o_tile", "tile", F.lit(1)).alias("two")), "pairs")
+    return crowded.select("fp", "rank", "tile").join(pairs, "tile").select("fp", F.col("one").alias("mask"), F.col("two").alias("pattern"), "rank")
 
 
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -171,21 +264,26 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root): least node of each connected component, by alternating large and small stars."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): least node of each connected component, by alternating large and small stars until nothing moves.
+
+    What an aggregation gives is written before it is joined, so that Spark can split the
+    rows of a hub there.
+    """
     now = materialise(edges.select("a", "b"), "star")
-    for _ in range(rounds):
+    before = _sum(now)
+    while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = materialise(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         after = materialise(small, "star")
-        if _sum(after) == _sum(now):
+        discard(now, least, large, low)
+        now, moved = after, _sum(after)
+        if moved == before:
             break
-        now = after
-    else:
-        raise RuntimeError("components did not settle")
+        before = moved
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
