@@ -5,7 +5,9 @@ The documents of a source, in the order of the md5 of their id, are cut into blo
 block j at slot floor(j * quantum / m) and must have placed it before slot
 ceil((j + 1) * quantum / m). Earliest deadline first among released blocks meets all
 deadlines, so while a source lasts, it is never a whole block away from its share. The
-schedule repeats after `quantum` slots; one period is computed by a fold over the slots.
+schedule repeats after `quantum` slots; one period is computed by a fold over the slots,
+whose cost is the number of slots times that of sources. With more than half as many
+sources as slots the period is twice their number, so every source has a weight.
 A source that has run out leaves its slots idle; `position` counts slots that are not.
 """
 
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import packed, text_hash, whole_text
+from shelfmark.llm.common import materialise, packed, text_hash, whole_text
 
 _ROWS_PER_GROUP = 5_000
 
@@ -42,13 +44,40 @@ def _period(quantum: int) -> str:
     return f"aggregate(sequence(0, {quantum} - 1), named_struct('c', transform(m, x -> 0), 'o', cast(array() AS array<int>)), (a, t) -> {step}).o"
 
 
+def _running(df: DataFrame, number: str, value: str, to: str) -> DataFrame:
+    """Adds `to`, the sum of `value` over all lesser numbers (one row each), without a window over all rows."""
+    group = df.withColumn("__group", F.expr(f"{number} div {_ROWS_PER_GROUP}"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    inside = before.partitionBy("__group").orderBy(number)
+    sums = group.groupBy("__group").agg(F.sum(value).alias("__sum"))
+    sums = sums.select("__group", F.coalesce(F.sum("__sum").over(before.partitionBy(F.lit(0)).orderBy("__group")), F.lit(0)).alias("__sum"))  # a row for each group
+    return group.join(sums, "__group").withColumn(to, F.col("__sum") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("__group", "__sum")
+
+
+def _scheduled(weighed: DataFrame, quantum: int) -> DataFrame:
+    """(source, block, w, slot, position) of all blocks. weighed: source, m, n (number of blocks)."""
+    period = weighed.agg(F.sort_array(F.collect_list(F.struct("source", "m"))).alias("s")).select("s.source", "s.m")
+    period = period.select("source", F.expr(_period(quantum)).alias("o"))
+    slots = period.select("source", F.posexplode("o").alias("at", "i")).select(F.expr("source[i]").alias("source"), "at")
+    slots = slots.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("at")) - 1)
+    parts = weighed.select("source", "m", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {_ROWS_PER_GROUP})")).alias("part"))
+    first, last = f"part * {_ROWS_PER_GROUP}", f"least(n, (part + 1) * {_ROWS_PER_GROUP}) - 1"
+    blocks = parts.repartition("source", "part").select("source", F.col("m").alias("w"), F.explode(F.expr(f"sequence({first}, {last})")).alias("block"))
+    blocks = blocks.withColumn("k", F.pmod("block", F.col("w")).cast("int")).withColumn("round", F.expr("block div w"))
+    placed = blocks.join(slots, ["source", "k"]).select("source", "block", "w", "round", (F.col("round") * quantum + F.col("at")).alias("slot"))
+    rounds = _running(placed.groupBy("round").agg(F.count("*").alias("blocks")), "round", "blocks", "earlier").select("round", "earlier")
+    own = F.row_number().over(Window.partitionBy("round").orderBy("slot")) - 1  # at most `quantum` rows
+    return placed.withColumn("own", own).join(rounds, "round").select("source", "block", "w", "slot", (F.col("earlier") + F.col("own")).alias("position"))
+
+
 def mixed(docs: DataFrame, weights: dict[str, int] | None = None, block_chars: int = 20_000, quantum: int = 1_000, power: float = 0.5) -> DataFrame:
     """(doc_id, th, source, chars, block, release, deadline, slot, position): every document with its place in the mix.
 
     Order the rows by position, then by md5 of doc_id for the mix itself. Nothing is left
     out or repeated. A null source is a source of its own; a null text has no characters
-    and goes where its neighbours go. A document that is longer than a block uses up the
-    blocks after its own. There may be `quantum` sources at most.
+    and goes where its neighbours go; documents without an id are the last of their part of
+    the md5 order. A document that is longer than a block uses up the blocks after its
+    own. Of more than quantum / 2 sources the period has twice their number.
     """
     total = docs.count()
     digits = 1
@@ -56,7 +85,9 @@ def mixed(docs: DataFrame, weights: dict[str, int] | None = None, block_chars: i
         digits += 1
     place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = docs.select("doc_id", text_hash().alias("th"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.length(whole_text()).cast("long").alias("chars"), place.alias("place"))
-    rows = rows.withColumn("part", F.substring("place", 1, digits))
+    # all rows without an id have one md5, so the order of th divides them
+    nameless = F.when(F.col("doc_id").isNull(), F.shiftright("th", 52) + 2_048).otherwise(-1)
+    rows = rows.withColumn("part", F.struct(F.substring("place", 1, digits).alias("head"), nameless.alias("nameless")))
     inside = Window.partitionBy("source", "part").orderBy("place", "doc_id", "th").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("source", "part").agg(F.sum("chars").alias("size"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
@@ -65,49 +96,37 @@ def mixed(docs: DataFrame, weights: dict[str, int] | None = None, block_chars: i
     block = F.floor((F.col("offset") + F.col("run")) / block_chars)
     begun = begun.select("doc_id", "th", "source", "chars", block.alias("block"))
 
-    sizes = parts.groupBy("source").agg(F.sum("size").alias("chars"))
+    sizes = materialise(parts.groupBy("source").agg(F.sum("size").alias("chars")), "sources")
+    quantum = max(quantum, 2 * sizes.count())
     count = F.greatest(F.ceil(F.col("chars") / block_chars), F.lit(1)).cast("long").alias("n")
-    weighed = sizes.select("source", count).join(target_weights(sizes, quantum, power, weights), "source")
-    listed = weighed.agg(F.sort_array(F.collect_list(F.struct("source", "m", "n"))).alias("s")).select("s.source", "s.m", "s.n")
-    period = listed.withColumn("o", F.expr(_period(quantum)))
-    slots = period.select("source", "m", "n", F.posexplode("o").alias("at", "i"), "o").select(
-        F.expr("source[i]").alias("source"), "at", F.expr("m[i]").alias("own"), "m", "n",
-        F.expr("transform(m, (x, k) -> size(filter(slice(o, 1, at), y -> y = k)))").alias("cum"), F.col("i"),
-    )
-    slots = slots.select("source", "at", "own", "m", "n", "cum", F.expr("cum[i]").alias("k"))
-    weights_of = weighed.select("source", F.col("m").alias("w"))
-    numbered = begun.join(F.broadcast(weights_of), "source").withColumn("k", F.pmod("block", F.col("w")).cast("int")).withColumn("round", F.expr("block div w"))
-    placed = numbered.join(F.broadcast(slots), ["source", "k"])  # `quantum` rows
-    idle = F.expr("aggregate(zip_with(zip_with(m, cum, (x, y) -> round * x + y), n, (x, y) -> greatest(x - y, 0L)), 0L, (a, x) -> a + x)")
-    slot = F.col("round") * quantum + F.col("at")
-    return placed.select(
-        "doc_id", "th", "source", "chars", "block", F.expr(f"block * {quantum}L div w").alias("release"), F.expr(f"((block + 1) * {quantum}L + w - 1) div w").alias("deadline"),
-        slot.alias("slot"), (slot - idle).alias("position"),
+    weighed = materialise(sizes.select("source", count).join(target_weights(sizes, quantum, power, weights), "source"), "weights")
+    blocks = _scheduled(weighed, quantum)
+    # documents without characters at the very end of a source go with its last block
+    begun = begun.join(weighed.select("source", "n"), "source").withColumn("block", F.least("block", F.col("n") - 1))
+    return begun.join(blocks, ["source", "block"]).select(
+        "doc_id", "th", "source", "chars", "block", F.expr(f"block * {quantum}L div w").alias("release"), F.expr(f"((block + 1) * {quantum}L + w - 1) div w").alias("deadline"), "slot", "position",
     )
 
 
-def _joined(docs: DataFrame, **options) -> DataFrame:
-    """(row, id, th, slot, position) of the documents, all of them."""
+def _joined(rows: DataFrame, docs: DataFrame, **options) -> DataFrame:
+    """(row, id, th, slot, position) of the rows, all of them; the mix is that of docs, which have the same doc_id and text."""
     places = mixed(docs, **options).groupBy(F.col("doc_id").alias("p_id"), F.col("th").alias("p_th")).agg(F.min("slot").alias("slot"), F.min("position").alias("position"))
-    return packed(docs).join(places, F.col("id").eqNullSafe(F.col("p_id")) & (F.col("th") == F.col("p_th")))
-
-
-def _sorted(joined: DataFrame) -> DataFrame:
-    return joined.orderBy("position", F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), "id", "th")
+    return packed(rows).join(places, F.col("id").eqNullSafe(F.col("p_id")) & (F.col("th") == F.col("p_th")))
 
 
 def in_mix_order(docs: DataFrame, **options) -> DataFrame:
     """The documents, all of them, sorted into the mix."""
-    return _sorted(_joined(docs, **options)).select("row.*")
+    return _joined(docs, docs, **options).orderBy("position", F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), "id", "th").select("row.*")
 
 
-def with_places(docs: DataFrame, **options) -> DataFrame:
-    """The documents, all of them, with their `slot` and `position` in the mix (replaced if there), sorted into it.
+def with_places(rows: DataFrame, docs: DataFrame | None = None, **options) -> DataFrame:
+    """The rows, all of them, with their `slot` and `position` in the mix (replaced if there).
 
-    Readers that lose the order get it back by position, then md5 of doc_id.
+    Files keep no order for Spark's readers; the mix is the order by position, then md5 of
+    doc_id. docs, if given, are the documents of the rows before columns were added.
     """
-    rest = [f"row.`{c}`" for c in docs.columns if c.lower() not in ("slot", "position")]
-    return _sorted(_joined(docs, **options)).select(*rest, "slot", "position")
+    rest = [f"row.`{c}`" for c in rows.columns if c.lower() not in ("slot", "position")]
+    return _joined(rows, rows if docs is None else docs, **options).select(*rest, "slot", "position")
 
 
 def op2_pfair_mix(spark, sf_dir: str) -> DataFrame:
