@@ -29,7 +29,7 @@ _PART = re.compile(" +[^ \n\x00]*|[^ \n\x00]+|[\n\x00]")
 _KEY = 16
 _LONG = 256
 _NONE = np.iinfo(np.int32).max
-_CACHE_PARTS = 300_000
+_CACHE_PARTS = 200_000
 
 
 class Vocabulary:

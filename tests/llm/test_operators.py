@@ -89,6 +89,16 @@ def test_schedule_is_less_than_a_block_off(spark, weights):
         assert all(abs(n - t * m / 100) < 1 for n, m in zip(counts, weights, strict=True))
 
 
+def test_more_sources_than_slots(spark):
+    rng = random.Random(8)
+    docs = [(i, "x" * rng.randrange(1, 400), "en", f"s{i % 1_100}", 0, None, 1, 2, "y") for i in range(3_000)]
+    got = mixing.mixed(data.table(spark, docs), block_chars=100).collect()
+    assert len(got) == len(docs) and all(r.release <= r.slot < r.deadline and r.position <= r.slot for r in got)
+    assert len({(r.source, r.block) for r in got}) == len({r.slot for r in got}) == len({r.position for r in got})
+    few = mixing.mixed(data.table(spark, docs[:20]), block_chars=100, quantum=5).collect()
+    assert len(few) == 20 and len({r.source for r in few}) == 20
+
+
 def test_the_mix_reaches_the_last_stage(spark, tmp_path):
     rng = random.Random(3)
     rows = [(i, "".join(rng.choices("ab cd", k=7_000)), "en", "xxxxxxyyyz"[i % 10], 7_000, None, 1, 2, "y") for i in range(200)]
@@ -205,6 +215,17 @@ def test_revisits_by_force(spark):
             assert r.headers["date"] == new["Date"] and r.headers["content-length"] == "9"
 
 
+def test_repeated_record_ids_keep_their_own_headers(spark):
+    rows = [
+        (1, 10, "http://a/x", "response", {"ETag": "1"}, "d1"), (1, 10, "http://b/y", "response", {"ETag": "2"}, "d2"), (1, 10, "http://b/y", "response", {"ETag": "0"}, "d0"),
+        (7, 20, "http://a/x", "revisit", {"ETag": "1", "Date": "a"}, None), (7, 20, "http://b/y", "revisit", {"ETag": "2", "Date": "b"}, None), (7, 20, "http://b/y", "revisit", {"ETag": "2", "Date": "b"}, None),
+        (1, 10, "http://a/x", "revisit", {"ETag": "1"}, None),
+    ]
+    records = spark.createDataFrame(rows, "record_id long, ts long, url string, kind string, headers map<string,string>, digest string")
+    got = sorted((r.record_id, r.key, r.original_id or 0, r.state, r.headers.get("date"), r.digest or "") for r in warc.resolve_revisits(records).collect())
+    assert got == [(1, "a/x", 0, "missing", None, ""), (7, "a/x", 1, "resolved", "a", "d1"), (7, "b/y", 1, "resolved", "b", "d2"), (7, "b/y", 1, "resolved", "b", "d2")]
+
+
 # 6: lines
 
 
@@ -298,7 +319,7 @@ def fingerprint_by_force(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def classes_by_force(fps):
+def classes_by_force(fps, radius=2):
     parent = list(range(len(fps)))
 
     def find(i):
@@ -308,11 +329,39 @@ def classes_by_force(fps):
 
     for i in range(len(fps)):
         for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= 2:
+            if bin(fps[i] ^ fps[j]).count("1") <= radius:
                 parent[find(i)] = find(j)
     return [find(i) for i in range(len(fps))]
 
 
+def crowd(rng, centres, each, flips):
+    out = set()
+    for _ in range(centres):
+        centre = rng.getrandbits(64)
+        for _ in range(each):
+            out.add(centre ^ sum(1 << bit for bit in rng.sample(range(64), rng.randrange(flips + 1))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 4, 9])
+def test_tree_of_a_node_by_force(radius):
+    fps = sorted(crowd(random.Random(radius), 20, 25, radius + 3), key=gray_rank)
+    got, want = simhash._tree_groups(np.array(fps, np.uint64), radius).tolist(), classes_by_force(fps, radius)
+    assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+
+
+def gray_rank(x):
+    for by in (1, 2, 4, 8, 16, 32):
+        x ^= x >> by
+    return x
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 63])
+def test_block_masks_cover(radius):
+    masks = simhash.block_masks(radius)
+    assert len(masks) == radius + 1 and sum(masks) == (1 << 64) - 1 and all(masks)
+
+
 @pytest.mark.parametrize("largest", [1 << 15, 2])
 def test_near_duplicates_by_force(spark, largest):
     fps = [fingerprint_by_force(r[1]) for r in ROWS]
@@ -326,18 +375,23 @@ def test_near_duplicates_by_force(spark, largest):
     assert sorted((key(r.doc_id), r.fp % (1 << 64), key(r.component_id)) for r in got) == want
 
 
-def test_links_in_a_crowd(spark):
-    rng = random.Random(4)
-    centre = [rng.getrandbits(64) for _ in range(6)]
-    fps = sorted({c ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for c in centre for _ in range(150)})
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 4])
+def test_links_in_a_crowd(spark, radius):
+    fps = sorted({*crowd(random.Random(radius), 5, 12, 3), 0, 1, 3, 7, (1 << 64) - 1})
     signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
-    want = classes_by_force(fps)
-    for largest in (1 << 15, 40):
-        roots = {r.node % (1 << 64): r.root for r in simhash.components(simhash.links(spark.createDataFrame(signed, "fp long"), largest_node=largest)).collect()}
-        got = [roots.get(x, x) for x in fps]
+    want = classes_by_force(fps, radius)
+    for largest in (1 << 15, 20, 2):
+        found = simhash.links(spark.createDataFrame(signed, "fp long"), radius, largest)
+        roots = {r.node % (1 << 64): r.root for r in simhash.components(found).collect()}
+        got = [roots.get(x, x - (1 << 64) if x >> 63 else x) for x in fps]
         assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
 
 
+def test_a_long_chain_is_one_component(spark):
+    edges = spark.range(1, 400).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+    assert {r.root for r in simhash.components(edges).collect()} == {0}
+
+
 def test_one_of_each_class_stays(spark):
     docs = data.table(spark)
     out = simhash.keep_one(docs)
@@ -420,20 +474,45 @@ def test_empty_tables(spark, number):
 
 
 def test_pipeline_by_force(spark, tmp_path):
-    docs = data.table(spark).drop("th", "row", "place", "position")
+    """Every stage against plain Python: junk goes, one of each class stays, repeated strings go, ids and places are right."""
+    rng = random.Random(21)
+    junk = [(2_000 + i, " | ".join(data.words(rng, 60).split()).upper(), "en", "a", 5, None, 1, 2, "y") for i in range(60)]
+    good = [(3_000 + i, data.words(rng, 90, 3_000), "en", "b", 5, None, 1, 2, "y") for i in range(60)]
+    rows = ROWS + junk + good
+    docs = data.table(spark, rows).withColumnsRenamed({"th": "ids", "row": "decoded", "place": "n_tokens"}).drop("position")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    seen, kept = {}, []
-    fps = [fingerprint_by_force(r[1]) for r in ROWS]
-    for r, c in zip(ROWS, classes_by_force(fps), strict=True):
-        h = np.uint64(xxhash.xxh64_intdigest(body(r[1]), 42)).view(np.int64)
-        order = (r[0] is None, r[0] or 0, int(h))
+    labels = [(r[0], int(r[0] not in range(2_000, 3_000))) for r in rows if r[0] is not None]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    scores = {(r.doc_id, r.th): r.predicted for r in qda.quality_scores(data.table(spark, rows), spark.read.parquet(str(tmp_path / "labels.parquet"))).collect()}
+    hashed = [int(np.uint64(xxhash.xxh64_intdigest(body(r[1]), 42)).view(np.int64)) for r in rows]
+    accepted = [(r, h) for r, h in zip(rows, hashed, strict=True) if scores[r[0], h]]
+    assert len(accepted) < len(rows) - 40
+    seen = {}
+    for (r, h), c in zip(accepted, alike_by_force([r[1] for r, _ in accepted]), strict=True):
+        order = (r[0] is None, r[0] or 0, h)
         if c not in seen or order < seen[c][0]:
             seen[c] = (order, r)
     kept = [r for _, r in seen.values()]
-    want = sorted((key(x[0]), x[1], x[2]) for x in cut_by_force(kept, 200))
+    want = {(x[0], x[1]): x[4] for x in cut_texts_by_force(kept, 200)}
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(key(r.doc_id) for r in out) == sorted(key(r[0]) for r in kept)
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    assert len(out) == len(kept) and [x[0] for x in want] == sorted(key(r.doc_id) for r in out)
+    left = Counter((r.doc_id, r.text) for r in out)
+    assert left == Counter((x[0], x[4]) for x in cut_texts_by_force(kept, 200)) and want
     for r in out:
         assert r.ids == model.encode(r.text or "") and r.n_tokens == len(r.ids) and r.round_trip
+    assert len({(r.source or "", r.position) for r in out}) == len({r.position for r in out})
+
+
+def cut_texts_by_force(all_rows, width):
+    counts = Counter(b[s : s + width] for b in (body(r[1]) for r in all_rows) for s in range(len(b) - width + 1))
+    out = []
+    for r in all_rows:
+        b = body(r[1])
+        gone = bytearray(len(b))
+        for s in range(len(b) - width + 1):
+            if counts[b[s : s + width]] > 1:
+                gone[s : s + width] = b"\x01" * width
+        text = bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
+        out.append((r[0], len(b), sum(gone), 0, None if r[1] is None else text))
+    return out
