@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfmark.llm import brown, digest, likeness, lines, mixing, pieces, qda, repeats, simhash, urls, warc
+from shelfmark.llm import brown, common, digest, likeness, lines, mixing, pieces, qda, repeats, simhash, urls, warc
 from tests.llm import data
 
 ROWS = data.rows()
@@ -159,31 +159,102 @@ def test_exchange_finds_the_sides():
 # 4: fingerprints
 
 
-def test_edits_and_likeness(spark):
-    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, np.int64(np.uint64(xxhash.xxh64_intdigest(body(r[1]), 42)).view(np.int64))))
+def levels_by_force(text, window):
+    gain = digest._GAINS[window]
+    return [digest.LEVELS - sum(int(gain[c]) for c in Counter(text[i : i + window]).values()) * digest.LEVELS // int(gain[window]) for i in range(len(text) - window + 1)]
+
+
+def scale_by_force(text):
+    return digest.BRIEF if len(text.decode()) < digest.SHORT else digest.LONG
+
+
+def fingerprints_by_force(corpus):
+    """A function from text to fingerprint, with ranks from the whole corpus."""
+    counts = {s: Counter(x for t in corpus if scale_by_force(t) is s for x in levels_by_force(t, s.window)) for s in (digest.LONG, digest.BRIEF)}
+    ranks = {}
+    for s in counts:
+        order = sorted(range(digest.LEVELS + 1), key=lambda x: (counts[s][x], x))
+        ranks[s] = {x: digest._NEVER if x < digest.LEAST_ENTROPY * digest.LEVELS else i for i, x in enumerate(order)}
+
+    def chain(text):
+        s = scale_by_force(text)
+        rank = [ranks[s][x] for x in levels_by_force(text, s.window)]
+        points = Counter(min(range(i, i + s.run), key=lambda j: (rank[j], j)) for i in range(len(rank) - s.run + 1))
+        places = [i for i in sorted(points) if points[i] >= s.points and rank[i] != digest._NEVER]
+        one = lambda x: int(repeats.Rolling(np.frombuffer(x, np.uint8), 0).of(np.array([0]), np.array([len(x)]))[0])
+        hashes = [one(text[i : i + s.window]) for i in places]
+        if not hashes:
+            at = min(range(len(rank)), key=lambda j: (rank[j], j)) if rank else 0
+            hashes = [int.from_bytes(hashlib.blake2b(text[at : at + s.window] if rank else text, digest_size=8).digest(), "little")]
+        hashes = list(dict.fromkeys(hashes)) if text else []
+        bits = np.zeros((-(-len(hashes) // digest.PER_FILTER), digest.BITS), bool)
+        for k, h in enumerate(hashes):
+            for probe in range(digest.PROBES):
+                bits[k // digest.PER_FILTER, (h >> 11 * probe + 9) % digest.BITS] = True
+        return len(hashes), np.packbits(bits, axis=1)
+
+    return chain
+
+
+def monotone(rng, n):
+    """Texts with long runs of one byte, and short ones, whose features are few."""
+    out = []
+    for i in range(n):
+        parts = [rng.choice("abc é") * rng.choice([3, 70, 300, 900]) if rng.random() < 0.5 else data.words(rng, rng.randrange(1, 80)) for _ in range(rng.randrange(1, 5))]
+        out.append((10_000 + i, "".join(parts), "en", "a", 0, None, 1, 2, "y"))
+    return out
+
+
+def test_fingerprints_by_force(spark, monkeypatch):
+    monkeypatch.setattr(digest, "_CUT", 1 << 10)
+    rows = ROWS + monotone(random.Random(2), 200)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, int(np.uint64(xxhash.xxh64_intdigest(body(r[1]), 42)).view(np.int64))))
+    chain = fingerprints_by_force([body(r[1]) for r in rows])
+    written = lambda c: f"{c[0]}:{c[1].tobytes().hex()}"
     want = []
     for i, r in enumerate(order):
         text, after = r[1] or "", order[(i + 1) % len(order)][1] or ""
         q = len(text) // 4
-        want.append((r[0], len(text), hashlib.sha256((text[: len(text) - q] + after[:q]).encode()).hexdigest()))
-    got = digest.edited_fingerprints(data.table(spark)).collect()
-    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=lambda x: (key(x[0]), x[1:])) == sorted(want, key=lambda x: (key(x[0]), x[1:]))
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
-    long = [r for r in got if r.n_chars > 400]
-    assert np.mean([r.near_edited for r in long]) > 0.5
-    by_id = {r.doc_id: r for r in got}
-    same = [(a[0], b[0]) for a in ROWS for b in ROWS if a[0] is not None and b[0] is not None and a[1] == b[1] and a[0] != 3 != b[0]]
-    assert same and all(by_id[a].fingerprint == by_id[b].fingerprint for a, b in same)
+        edit = text[: len(text) - q] + after[:q]
+        own, edited = chain(text.encode()), chain(edit.encode())
+        near = (round(digest.likeness(own, edited), 9), round(digest.likeness(own, chain(after.encode())), 9))
+        want.append((key(r[0]), len(text), hashlib.sha256(edit.encode()).hexdigest(), written(own), written(edited), *near))
+    got = digest.edited_fingerprints(data.table(spark, rows)).collect()
+    found = [(key(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got]
+    assert sorted(found) == sorted(want)
+    for low, high in ((64, 400), (400, 10**9)):
+        assert np.mean([r.near_edited for r in got if low <= r.n_chars < high and r.doc_id and r.doc_id < 10_000]) > 0.5
+
+
+def test_ids_of_other_types_and_one_row(spark):
+    docs = spark.createDataFrame([("b", "some text of one row"), ("a", "another text")], "doc_id string, text string")
+    assert {r.doc_id for r in digest.edited_fingerprints(docs).collect()} == {"a", "b"}
+    one = digest.edited_fingerprints(docs.where("doc_id = 'a'")).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_a_text_of_20_mib(spark):
+    """One row that is cut inside: its fingerprint is that of the text by itself, its copy has the same."""
+    rng = np.random.default_rng(4)
+    long = rng.choice(np.frombuffer(b"abcdefghij klmnop", np.uint8), 20 << 20).tobytes()
+    docs = spark.createDataFrame([(1, long.decode()), (2, long.decode()), (3, "short")], "doc_id long, text string")
+    got = {r.doc_id: r for r in digest.edited_fingerprints(docs).collect()}
+    assert got[1].fingerprint == got[2].fingerprint == digest.fingerprint(long, digest.rarity_ranks(docs))
+    assert got[1].near_next == 1.0 and 0.6 < got[1].near_edited < 1.0
 
 
 def test_entropy_levels_by_force():
     rng = np.random.default_rng(3)
     text = rng.integers(97, 110, 500, dtype=np.uint8)
-    got = digest.entropy_levels(text)
-    for i in (0, 1, 77, 436):
-        counts = np.bincount(text[i : i + digest.WINDOW])
-        total = digest._GAIN[counts].sum()
-        assert got[i] == digest.LEVELS - total * digest.LEVELS // digest._GAIN[digest.WINDOW]
+    for scale in (digest.LONG, digest.BRIEF):
+        assert digest.entropy_levels(text, scale.window).tolist() == levels_by_force(text.tobytes(), scale.window)
+
+
+def test_least_of_windows_beyond_24_bits():
+    values = np.full((1 << 24) + 500, 7)
+    values[(1 << 24) + 100] = 3
+    found = common.sliding_argmin(values, 64)
+    assert found[(1 << 24) + 100] == found[(1 << 24) + 50] == (1 << 24) + 100 and found[5] == 5
 
 
 # 5: revisits
