@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Bytes that one numpy pass handles at a time; keeps a worker's arrays near 100 MB.
 SLICE_BYTES = 1 << 19
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -27,10 +28,21 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write `df` as Parquet into the shared folder and read it back; `discard` deletes it again."""
+    """Cut the lineage: write `df` as Parquet into the shared folder and read it back; `discard` deletes it again.
+
+    What the write has shuffled goes at its end, as nothing reads it any more.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -141,12 +141,106 @@ def test_base_scores(spark):
     assert sorted(got) == sorted(want)
 
 
+def score_by_force(rows, classes, k):
+    """log10 probabilities by the model's formulas, word by word; classes: word -> class."""
+    train = [tokens(r[1]) for r in rows if r[0] is None or zlib.crc32(str(r[0]).encode()) % 5 != 1]
+    counts = Counter(t for x in train for t in x)
+    total, once = sum(counts.values()), sum(n == 1 for n in counts.values())
+    mass, grid = Counter(), Counter()
+    for w, n in counts.items():
+        mass[classes[w]] += n
+    for x in train:
+        before = classes[None]
+        for t in x:
+            grid[before, classes[t]] += 1
+            before = classes[t]
+    unseen = (once + 0.5) / (total + 1)
+    weight = {c: n + 0.5 for c, n in mass.items()}
+    share = {c: x / sum(weight.values()) for c, x in weight.items()}
+    row = Counter()
+    for (a, _), n in grid.items():
+        row[a] += n
+
+    def step(a, c):
+        return unseen if c == k else (1 - unseen) * (grid[a, c] + 20 * share.get(c, 0)) / (row[a] + 20)
+
+    out = []
+    for r in rows:
+        before, score = classes[None], 0.0
+        for t in tokens(r[1]):
+            c = classes[t] if t in counts else k
+            score += math.log10(step(before, c)) + (math.log10(counts[t] / mass[c]) if c < k else 0.0)
+            before = c
+        out.append((key(r[0]), len(tokens(r[1])), round(score, 6)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("chunk_bytes", [16 << 20, 2_000])
+def test_scores_by_force(spark, monkeypatch, chunk_bytes):
+    """Whole scores against plain Python, with the classes of the operator; every word of the training texts has one."""
+    coded = brown.coded
+    monkeypatch.setattr(brown, "coded", lambda docs: coded(docs, chunk_bytes))
+    docs = data.table(spark)
+    found = {r.h: (r["class"], r.n) for r in brown.word_classes(common.materialise(coded(docs, chunk_bytes), "chunks"), 8, 20).collect()}
+    train = Counter(t for r in ROWS if r[0] is None or zlib.crc32(str(r[0]).encode()) % 5 != 1 for t in tokens(r[1]))
+    hashed = {w: int(np.uint64(xxhash.xxh64_intdigest(b"\n" if w is None else w)).view(np.int64)) for w in train}
+    assert {h: n for h, (_, n) in found.items()} == {hashed[w]: n for w, n in train.items()}
+    got = brown.score(docs, k=8, core_words=20).collect()
+    want = score_by_force(ROWS, {w: found[h][0] for w, h in hashed.items()}, 8)
+    assert sorted((key(r.doc_id), r.n_tokens, round(r.score, 6)) for r in got) == want
+
+
+def test_gain_is_that_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    grid = rng.integers(1, 40, (5, 5)).astype(float)
+    after = np.array([3, 0, 20, 1, 0])
+    codes = np.array([int(n) << 8 | d for d, n in enumerate(after) if n])
+    got = brown.gains(np.array([-1]), codes, np.array([len(codes)]), grid)[0]
+    want = []
+    for c in range(5):
+        new = grid.copy()
+        new[c] += after
+        want.append(brown.likelihood(new) - brown.likelihood(grid))
+    assert np.allclose(got - got[0], np.array(want) - want[0])
+    grid[2] += after  # the same word, now a member of class 2
+    again = brown.gains(np.array([2]), codes, np.array([len(codes)]), grid)[0]
+    assert np.isclose(again[2], got[2])
+
+
+def test_contexts_are_summed_over_batches():
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(6), [(rng.randrange(1, 9), rng.randrange(20)) for _ in range(rng.randrange(4))]) for _ in range(60))
+    want = defaultdict(Counter)
+    for h, codes in rows:
+        want[h].update()
+        for n, c in codes:
+            want[h][c] += n
+    for size in (1, 7, 100):
+        batches = [rows[i : i + size] for i in range(0, len(rows), size)]
+        arrow = [brown._batch({"h": np.array([h for h, _ in b]), "class": np.zeros(len(b), np.int32), "codes": brown._lists(np.array([n << 8 | c for _, x in b for n, c in x], np.int64), np.array([len(x) for _, x in b]))}) for b in batches]
+        got = {h: Counter({c & 255: c >> 8 for c in codes}) for out in brown._summed(iter(arrow)) for h, codes in zip(out["h"].to_pylist(), out["codes"].to_pylist(), strict=True)}
+        assert got == {h: +c for h, c in want.items()}
+
+
+def test_rounds_raise_the_likelihood(spark):
+    """Words that the core lacks are moved by the classes of all their neighbours."""
+    rng = random.Random(6)
+    sides = [[f"{s}{i}" for i in range(80)] for s in "xy"]
+    docs = [(i, " ".join(rng.choice(sides[(i + j) % 2]) for j in range(60)), "", "", 0, "", 0, 0, "") for i in range(200)]
+    chunks = common.materialise(brown.coded(data.table(spark, docs)), "chunks")
+    found = {r.h: r["class"] for r in brown.word_classes(chunks, k=2, core_words=4, rounds=4, least_gain=0).collect()}
+    kinds = [{found[int(np.uint64(xxhash.xxh64_intdigest(w.encode())).view(np.int64))] for w in side} for side in sides]
+    assert len(kinds[0]) == len(kinds[1]) == 1 and kinds[0] != kinds[1]
+
+
 def test_classes_help_on_held_out_texts(spark):
     rng = random.Random(5)
     sides = [[f"{s}{i}" for i in range(60)] for s in "xy"]
     docs = [(i, " ".join(rng.choice(sides[(i + j) % 2]) for j in range(60)), "", "", 0, "", 0, 0, "") for i in range(300)]
     got = [r for r in brown.score(data.table(spark, docs), k=6, core_words=60).collect() if r.held_out]
     assert got and sum(r.score for r in got) > sum(r.base_score for r in got) + 5 * len(got)
+    with pytest.raises(ValueError):
+        brown.score(data.table(spark, docs), k=129)
 
 
 def test_exchange_finds_the_sides():
