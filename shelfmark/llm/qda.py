@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import materialise, packed, utf8, whole_text
 
-FEATURES = ("words", "symbols", "bars", "shouts", "capitals", "echoes", "variety", "word_size", "stops", "repeated_lines", "line_size", "worst_line")
-_UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
+FEATURES = ("words", "marks", "digits", "capitals", "echoes", "variety", "word_size", "stops", "repeated_lines", "line_size", "bare_lines")
+_UPPER, _LOWER, _DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789"
+_STOPS = b".,;:?!"
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c not in _STOPS + b"'\"()-")
+_LETTERS = _UPPER + _LOWER + bytes(range(128, 256))
 
 
 def _count(text: bytes, chars: bytes) -> int:
@@ -21,26 +24,29 @@ def _count(text: bytes, chars: bytes) -> int:
 
 
 def statistics(text: bytes) -> list[float]:
-    """FEATURES of one text, brought to a bell-like shape by logs and square roots; an empty text has zeros and ones that stand for "nothing odd"."""
+    """FEATURES of one text, brought to a bell-like shape by logs and square roots; an empty text has zeros and ones that stand for "nothing odd".
+
+    Marks are ASCII signs outside of usual punctuation; bare lines have letters in less
+    than half of their bytes, and any byte outside of ASCII is part of a letter.
+    """
     words = text.split()
-    n = max(len(words), 1)
+    n, size = max(len(words), 1), max(len(text), 1)
     lines = [x for x in text.split(b"\n") if x.strip()]
     upper, lower = _count(text, _UPPER), _count(text, _LOWER)
     echoes = sum(map(operator.eq, words[1:], words))
-    worst = max((_count(x, b"#*$%&|<>!") / (len(x) + 8) for x in lines), default=0.0)
+    bare = sum(2 * _count(x, _LETTERS) < len(x) for x in lines)
     return [
         np.log1p(len(words)),
-        (_count(text, b"#*$%&<>") / n) ** 0.5,
-        (_count(text, b"|") / n) ** 0.5,
-        (_count(text, b"!") / n) ** 0.5,
+        (_count(text, _MARKS) / size) ** 0.5,
+        (_count(text, _DIGITS) / size) ** 0.5,
         ((upper + 0.5) / (upper + lower + 1)) ** 0.5,
         (echoes / n) ** 0.5,
         np.log1p(len(set(words))) / np.log1p(n) if words else 1.0,
         np.log1p(sum(map(len, words)) / n),
-        (_count(text, b".,;:?") / n) ** 0.5,
+        (_count(text, _STOPS) / n) ** 0.5,
         ((len(lines) - len(set(lines))) / max(len(lines), 1)) ** 0.5,
         np.log1p(n / max(len(lines), 1)),
-        worst**0.5,
+        (bare / max(len(lines), 1)) ** 0.5,
     ]
 
 
