@@ -107,23 +107,32 @@ class Cascade:
         return rows.withColumn(to, verdict).drop("key", *names)
 
 
-def url_verdicts(pages: DataFrame, listed: Column, rules: tuple = RULES) -> DataFrame:
+def url_verdicts(pages: DataFrame, listed: DataFrame, rules: tuple = RULES) -> DataFrame:
     """page_id, host, path, rule and verdict: that of the longest fitting rule, else block for listed hosts.
 
-    `listed` is a condition on the column `key` (a host) that tells which hosts of the
-    corpus are on the list. Pages without a host are judged like any other: their host is
-    the empty text. No table of keys is broadcast or joined to the pages.
+    `listed` is the block list, a table with a column `key` (host, lower case); repeated
+    and null keys and keys that no page has change nothing. Pages without a host are judged
+    like any other: their host is the empty text. Rows that repeat a page_id stay separate
+    rows. Keys and list meet once, to build the cascade; pages are judged by its levels.
     """
     rows = with_host_and_path(pages).select("page_id", "host", "path")
-    universe = materialise(rows.select(F.col("host").alias("key")).distinct().withColumn("listed", F.coalesce(listed, F.lit(False))), "hosts")
+    keys = listed.select("key").distinct().withColumn("listed", F.lit(True))
+    hosts = rows.select(F.col("host").alias("key")).distinct()
+    universe = materialise(hosts.join(keys, "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False))), "hosts")
     judged = Cascade(universe).listed(rows, "host", "listed").withColumn("r", rule_of(rules))
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("listed"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "listed")
 
 
+def listed_hosts(pages: DataFrame, parts: tuple = LISTED_PARTS) -> DataFrame:
+    """(key): the block list of the query, hosts of pages that have one of `parts` between dots or dashes."""
+    hosts = with_host_and_path(pages).select(F.col("host").alias("key")).distinct()
+    return hosts.where(F.col("key").rlike(f"(^|[.-])({'|'.join(parts)})([.-]|$)"))
+
+
 def op9_bloom_cascade(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return url_verdicts(pages, F.col("key").rlike(f"(^|[.-])({'|'.join(LISTED_PARTS)})([.-]|$)"))
+    return url_verdicts(pages, listed_hosts(pages))
 
 
 OP9_SQL = rf"""

@@ -429,6 +429,31 @@ def test_quality_on_held_out_texts(spark):
     assert {r.score for r in none} == {0.5}
 
 
+def test_quality_scores_by_force(spark):
+    """Scores against a direct computation from the statistics, with the folds by crc32."""
+    rng = random.Random(12)
+    docs = [(i, data.words(rng, 60) if i % 2 else " ".join(rng.choice(["BUY", "##", "now!", "9%", "|"]) for _ in range(rng.randrange(5, 60))), "", "", 0, "", 0, 0, "") for i in range(120)]
+    quality = {i: i % 2 for i in range(120)}
+    labels = spark.createDataFrame([*quality.items(), (4, 1), (4, 0), (77, 9)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in qda.quality_scores(data.table(spark, docs), labels).collect()}
+    out = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(120)}
+    x = {r[0]: np.array(qda.statistics(body(r[1]))) for r in docs}
+    rows = {c: [x[i] for i, y in [*quality.items(), (4, 1), (4, 0)] if y == c and not out[i]] for c in (0, 1)}
+    n = {c: len(rows[c]) for c in rows}
+    mean = {c: np.mean(rows[c], axis=0) for c in rows}
+    cov = {c: np.cov(np.array(rows[c]).T, bias=True) for c in rows}
+    pooled = (cov[0] * n[0] + cov[1] * n[1]) / (n[0] + n[1])
+    scale = np.sqrt(np.diag(pooled) + 0.25 * (mean[0] - mean[1]) ** 2 + 1e-9)
+    for i in range(120):
+        density = {}
+        for c in (0, 1):
+            s = (0.85 * cov[c] + 0.15 * pooled) / np.outer(scale, scale) + 0.02 * np.eye(len(scale))
+            z = (x[i] - mean[c]) / scale
+            density[c] = -0.5 * z @ np.linalg.solve(s, z) - 0.5 * np.linalg.slogdet(s)[1]
+        odds = np.clip(math.log((n[1] + 1) / (n[0] + 1)) + density[1] - density[0], -500, 500)
+        assert got[i].held_out == out[i] and math.isclose(got[i].score, 1 / (1 + math.exp(-odds)), abs_tol=1e-6)
+
+
 # 8: pieces
 
 
@@ -454,7 +479,8 @@ def test_url_contract(spark):
         "http://notexample.com/de/": None, "http://x.org/fr/1#f": "org/fr/", "http://org/fr/": "org/fr/", "http://x.org/fr": None, "x/y": None, None: None, "a://b://c.net/": None, "http://c.net?x=/": None, "http://c.net#/": None,
     }
     pages = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
-    got = {r.page_id: r for r in urls.url_verdicts(pages, F.col("key").contains("b:")).collect()}
+    listed = spark.createDataFrame([("b:",), ("b:",), (None,), ("nowhere.org",)], "key string")
+    got = {r.page_id: r for r in urls.url_verdicts(pages, listed).collect()}
     assert [got[i].rule for i in range(len(cases))] == list(cases.values())
     assert got[10].host == "b:" and got[10].verdict == "block" and got[9].host == got[9].path == ""
 
@@ -468,6 +494,20 @@ def test_cascade_is_exact(spark, monkeypatch, shard, scalar):
     assert judged.where("listed <> found").count() == 0 and judged.count() == 3000
 
 
+def test_pages_by_a_large_list(spark, monkeypatch):
+    """Many hosts, a third of the pages on one of them, repeated page ids; scalar levels and levels read by their shards agree with the list itself."""
+    host = F.when(F.col("id") % 3 == 0, F.lit("hot.example.org")).otherwise(F.concat(F.lit("h"), F.pmod(F.xxhash64("id"), F.lit(20_000)).cast("string"), F.lit(".example.org")))
+    pages = spark.range(60_000).select(F.floor(F.col("id") / 2).alias("page_id"), F.concat(F.lit("http://"), host, F.lit("/x")).alias("url"))
+    listed = spark.range(20_000).where("id % 4 = 1").select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".example.org")).alias("key"))
+    for scalar in (1 << 26, 1 << 10):
+        monkeypatch.setattr(urls, "SCALAR_BITS", scalar)
+        monkeypatch.setattr(urls, "SHARD_BITS", 1 << 12)
+        judged = urls.url_verdicts(pages, listed)
+        truth = judged.join(listed.withColumn("on", F.lit(True)), F.col("host") == F.col("key"), "left")
+        assert truth.where("coalesce(on, false) <> listed or listed <> (verdict = 'block')").count() == 0
+        assert judged.count() == 60_000
+
+
 def test_cascade_without_listed_keys(spark):
     universe = spark.createDataFrame([("a", False)], "key string, listed boolean")
     assert not urls.Cascade(universe).listed(universe.select("key"), "key", "found").first().found
@@ -629,7 +669,7 @@ def test_alike_of_an_empty_table(spark):
 EMPTY = {
     "1": lambda s, d: repeats.removal_digest(d), "2": lambda s, d: mixing.mixed(d), "3": lambda s, d: brown.score(d), "4": lambda s, d: digest.edited_fingerprints(d),
     "6": lambda s, d: lines.verdicts(d), "7": lambda s, d: qda.quality_scores(d, s.createDataFrame([], "doc_id long, quality int")), "8": lambda s, d: pieces.encode(d), "10": lambda s, d: simhash.near_duplicates(d),
-    "5": lambda s, d: warc.resolve_revisits(warc.capture_log(s.createDataFrame([], "page_id long, url string, html string"))), "9": lambda s, d: urls.url_verdicts(s.createDataFrame([], "page_id long, url string"), F.lit(True)),
+    "5": lambda s, d: warc.resolve_revisits(warc.capture_log(s.createDataFrame([], "page_id long, url string, html string"))), "9": lambda s, d: urls.url_verdicts(s.createDataFrame([], "page_id long, url string"), s.createDataFrame([("a.org",)], "key string")),
 }
 
 
