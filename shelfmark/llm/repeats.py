@@ -1,21 +1,28 @@
 """Exact substring dedup: suffixes sorted only through `width` bytes, by most-significant-digit passes (operator 1).
 
 A string of `width` bytes that starts in two places makes two equal suffix heads, so
-equal groups of heads are exactly the repeats. Suffixes are not shuffled one by one.
-Each pass works on units, runs of consecutive suffixes of one document:
-
-1. suffixes whose head has its least `gram`-byte hash at the same place (the anchor)
-   form a unit; the digit is the anchor's gram, which all of their heads contain;
-2. units of `step` suffixes, aligned with the anchor; the digit is the part that all
-   of their heads contain;
-3. single suffixes; the digit is the whole head.
-
-A group with one member is done: nothing in it repeats. Members that agree with another
-on all bytes that their heads cover are done too: everything in them repeats. Of groups
-with several kinds of members, one of each kind goes on to the next pass, with the bytes
-around it, so whole texts move once for this and once to be cut. Groups are counted by partial aggregation and joined
-back, so a digit that a third of all units share needs no task of its own. Equality
-is judged by two independent 64-bit hashes.
+equal groups of heads are exactly the repeats. Suffixes are not shuffled one by one:
+two passes over units, runs of consecutive suffixes of one document, thin them out first.
+
+1. Suffixes whose head has its least `gram`-byte hash at the same place (the anchor) form
+   a unit; its key is the anchor's gram, which all of their heads contain.
+2. Units of `step` suffixes, aligned with the anchor; the key is the part that all of
+   their heads contain.
+3. What is left are single suffixes. Their heads are dealt by ranges of their digits (those
+   of `DIGITS` byte ranges, the most significant first) and sorted by them; runs of equal
+   heads are the repeats. A head that many share may fill several ranges, so the first and
+   the last head of each range are compared once more.
+
+In the first two passes a group with one member is done: nothing in it repeats. Members
+that agree with another on all bytes that their heads cover are done too: everything in
+them repeats. Of groups with several kinds of members, one of each kind goes on to the
+next pass, with the bytes around it, so whole texts move once for this and once to be cut.
+Groups are counted by partial aggregation and joined back, so a key that a third of all
+units share needs no task of its own.
+
+Byte ranges are compared by 64-bit hashes, and whole heads (or units) by a second,
+independent one. Different heads are taken for equal only if both hashes agree: among n
+heads with chance n * n / 2**129 at most, 2e-11 for the 10**14 heads of 100 TB.
 """
 
 from __future__ import annotations
@@ -31,6 +38,8 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import SLICE_BYTES, gather, materialise, sliding_argmin, spans, utf8, whole_text
 
 _CHUNK = 1 << 20
+#: Byte ranges of a head by which pass 3 sorts.
+DIGITS = 3
 #: Bytes around a unit that its context keeps: the longest run of pass 2.
 _MARGIN = 16
 _RANDOM = np.random.default_rng(20240229)
@@ -144,21 +153,67 @@ def _runs(width: int, step: int) -> Callable:
 
 
 def _singles(width: int, step: int) -> Callable:
-    """Units of pass 3: every suffix of a run, from the contexts with their runs."""
+    """Heads of pass 3: every suffix of a run, from the contexts with their runs; its digits, the second hash and its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, at = utf8(batch.column(4))
-            base = batch.column(2).to_numpy()
+            base, size = batch.column(2).to_numpy(), np.diff(at)
             lists = batch.column(3)
             runs, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(sizes)), sizes * step)
             begin = gather(runs, np.full(len(runs), step)) - base[row]
-            yield from _hashed(batch, body, at, row, begin, base, width, 1)
+            good = (begin >= 0) & (begin <= size[row] - width)
+            row, begin = row[good], begin[good]
+            if not len(row):
+                continue
+            one, two = Rolling(body, 0), Rolling(body, 1)
+            first = at[row] + begin
+            digits = [one.of(first + width * i // DIGITS, first + width * (i + 1) // DIGITS) for i in range(DIGITS)]
+            keys = [pa.array(x.view(np.int64)) for x in (*digits, two.of(first, first + width))]
+            whose = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*keys, batch.column(0).take(whose), batch.column(1).take(whose), pa.array(begin + base[row])], [*_DIGITS, "full", "doc_id", "th", "place"])
 
     return run
 
 
+_DIGITS = [f"d{i}" for i in range(DIGITS)]
+
+
+def _equal_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of heads in sorted order, each place (once) of those that two places of this range have; also the first and the last head, with their digits.
+
+    columns: digits, full, who, doc_id, th, place. No more than a batch and one row are held.
+    """
+    kept, known = None, False  # the row before, and whether it is among those given already
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if kept is None:
+            yield _named(batch.slice(0, 1).columns)
+        rows = batch if kept is None else pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
+        place, who = rows.column(rows.num_columns - 1).to_numpy(), rows.column(DIGITS + 1).to_numpy()
+        new = np.zeros(rows.num_rows, bool)
+        for i in range(DIGITS + 1):
+            digit = rows.column(i).to_numpy()
+            new[1:] |= digit[1:] != digit[:-1]
+        group = np.cumsum(new)
+        once = new | np.append(True, (place[1:] != place[:-1]) | (who[1:] != who[:-1]))
+        several = np.bincount(group[once]) > 1
+        several[0] |= known
+        given = once & several[group]
+        given[0] &= not known
+        out = rows.take(pa.array(np.flatnonzero(given)))
+        yield _named([*[pa.nulls(out.num_rows, pa.int64())] * (DIGITS + 1), *out.columns[DIGITS + 1 :]])
+        kept, known = rows.slice(rows.num_rows - 1), bool(several[-1])
+    if kept is not None:
+        yield _named(kept.columns)
+
+
+def _named(columns: list[pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(columns, [*_DIGITS, "full", "who", "doc_id", "th", "place"])
+
+
 def _hashed(batch: pa.RecordBatch, body: np.ndarray, at: np.ndarray, row: np.ndarray, begin: np.ndarray, base: np.ndarray, width: int, step: int) -> Iterator[pa.RecordBatch]:
     """Digit (what all heads of a unit contain) and hash of all that they cover; units without a whole head in their text are left out."""
     size = np.diff(at)
@@ -224,9 +279,14 @@ def repeated_spans(docs: DataFrame, width: int = 200, gram: int = 32, step: int
     lists = onward_runs.select("doc_id", "th", "place").groupBy("doc_id", "th").agg(F.collect_list("place").alias("runs"))
     near = F.filter("runs", lambda x: (x >= F.shiftright("place", 16) - step + 1) & (x <= F.shiftright("place", 16) + F.shiftright("place", 8).bitwiseAND(F.lit(255))))
     last = _joined(held, lists).withColumn("runs", near).where(F.size("runs") > 0).select("doc_id", "th", "base", "runs", "body")
-    suffixes = materialise(last.mapInArrow(_singles(width, step), unit), "suffixes")
-    heads = materialise(suffixes.groupBy("digit", "full").agg(_several(True).alias("several")).where("several").select("digit", "full"), "heads")
-    repeated = suffixes.join(heads, ["digit", "full"])
+    columns = f"{', '.join(f'{d} long' for d in _DIGITS)}, full long, doc_id {kind}, th int, place long"
+    heads = materialise(last.mapInArrow(_singles(width, step), columns), "suffixes").select(*_DIGITS, "full", F.xxhash64("doc_id", "th").alias("who"), "doc_id", "th", "place")
+    order = [*_DIGITS, "full", "who", "place"]
+    ranged = heads.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_equal_heads, f"{', '.join(f'{d} long' for d in _DIGITS)}, full long, who long, doc_id {kind}, th int, place long")
+    ranged = materialise(ranged, "heads")
+    borders = ranged.where("full is not null")  # two rows for each range
+    open_ = borders.groupBy(*_DIGITS, "full").agg(_several(True).alias("several")).where("several").drop("several")
+    repeated = ranged.where("full is null").select("doc_id", "th", "place").unionByName(borders.join(open_, [*_DIGITS, "full"], "left_semi").select("doc_id", "th", "place"))
     size = F.shiftright("place", 8).bitwiseAND(F.lit(255)) + 1
     parts = [
         whole.select("doc_id", "th", F.shiftright("place", 16).alias("start"), size.cast("long").alias("suffixes")),

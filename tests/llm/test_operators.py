@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -67,6 +68,30 @@ def test_a_cut_long_text_gives_the_same(spark, monkeypatch):
     assert got == cut_by_force(ROWS, 200)
 
 
+def test_heads_are_found_across_batches_and_ranges():
+    """Sorted heads in batches of any size, cut into ranges anywhere: places of heads that another place has."""
+    rng = random.Random(1)
+    rows = sorted((rng.randrange(2), rng.randrange(2), rng.randrange(3), 0, rng.randrange(3), rng.randrange(4)) for _ in range(60))  # digits, full, who, place
+    rows += [(5, 5, 5, 5, 1, 1)] * 3 + [(6, 0, 0, 0, 1, 2), (6, 0, 0, 0, 2, 2)]
+    places = defaultdict(set)
+    for r in rows:
+        places[r[:4]].add(r[4:])
+    want = {p for x in places.values() if len(x) > 1 for p in x}
+    names = [*repeats._DIGITS, "full", "who", "doc_id", "th", "place"]
+    for cut in range(0, len(rows), 7):
+        for size in (1, 4, 100):
+            sure, border = set(), defaultdict(set)
+            for part in (rows[:cut], rows[cut:]):
+                batches = [pa.RecordBatch.from_arrays([pa.array([(*r[:5], r[4], r[4], r[5])[k] for r in part[i : i + size]], pa.int64()) for k in range(8)], names) for i in range(0, len(part), size)]
+                for out in repeats._equal_heads(iter(batches)):
+                    for r in out.to_pylist():
+                        if r["full"] is None:
+                            sure.add((r["who"], r["place"]))
+                        else:
+                            border[r["d0"], r["d1"], r["d2"], r["full"]].add((r["who"], r["place"]))
+            assert sure | {p for x in border.values() if len(x) > 1 for p in x} == want
+
+
 # 2: mixing
 
 
