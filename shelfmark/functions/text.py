@@ -70,22 +70,18 @@ def padded(c: Column) -> Column:
     return F.concat(F.lit(" "), compare_key(c), F.lit(" "))
 
 
-_DURATION = "[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?"
+_STAMP = "[0-9]{1,2}(?::[0-9]{2}){1,2}"
+#: What may stand before a title, in any order: separators, a duration, its place in the list, an encore mark.
+_LEADS = ("[ :.;/-]", f"[\\[(]?{_STAMP}[\\])]?\\s", "(?:[0-9]{1,3} )?of [0-9]{1,3} ", "(?:e|enc|encore) ?: ")
+#: What may stand after it: separators, a duration with a remark, a tape flip, footnote marks, month and day.
+_TAILS = ("[ :.;/-]", f" ?[\\[(]?{_STAMP}[\\])]?(?: \\([^)]{{1,80}}\\))?", " tape flip", "(?<=[a-z0-9)]) ?[*†‡]+", "(?<=[a-z)]) [0-9]{1,2}[-_.][0-9]{1,2}")
+_TITLE = f"(?i)^(?:{'|'.join(_LEADS)})*(.*?)(?:{'|'.join(_TAILS)})*$"
 
 
 def clean_title(c: Column) -> Column:
-    """Title without duration, list position, encore mark, footnote marks and numeric date tail; without letter or digit it is empty."""
-    c = F.regexp_replace(compact(c), f"^[\\[(]?{_DURATION}[\\])]?\\s+", "")
-    c = F.regexp_replace(c, "(?i)\\s+tape flip$", "")
-    c = F.regexp_replace(c, f"\\s+{_DURATION}\\s+\\([^)]{{1,80}}\\)$", "")
-    c = F.regexp_replace(c, f"\\s*[\\[(]?{_DURATION}[\\])]?$", "")
-    c = F.regexp_replace(c, "^[ :.;/-]+|[ :.;/-]+$", "")
-    c = F.regexp_replace(c, "(?i)^([0-9]{1,3} )?of [0-9]{1,3} ", "")
-    c = F.regexp_replace(c, "([A-Za-z0-9)])\\s*[*]+$", "$1")
-    c = F.regexp_replace(c, "(?i)^(e|enc|encore)\\s*:\\s+", "")
-    c = F.regexp_replace(c, "([A-Za-z)])\\s+[0-9]{1,2}[-_.][0-9]{1,2}$", "$1")
-    c = compact(c)
-    return F.when(c.rlike("[A-Za-z0-9]"), c).otherwise("")
+    """The title itself out of a list line: what `_LEADS` and `_TAILS` describe goes; without letter or digit it is empty."""
+    inner = compact(F.regexp_extract(compact(c), _TITLE, 1))
+    return F.when(inner.rlike("[A-Za-z0-9]"), inner).otherwise("")
 
 
 def usable_title(c: Column) -> Column:

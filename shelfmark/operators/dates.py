@@ -46,24 +46,29 @@ def extract_dates(df: DataFrame, key: str, column: str, allow_slash: bool = Fals
     none = F.array().cast("array<struct<start:int,raw:string,rank:int>>")
     used = [(rank, kind, pattern, groups) for rank, (kind, pattern, groups) in enumerate(FAMILIES) if kind != "slash" or allow_slash]
     found = [F.when(value.rlike(p), F.transform(_spans(value, p), lambda x: F.struct(x["start"].alias("start"), x["raw"].alias("raw"), F.lit(rank).alias("rank")))).otherwise(none) for rank, _, p, _ in used]  # noqa: B023
-    rows = df.select(key, F.explode(F.flatten(F.array(*found))).alias("m")).select(key, "m.*")
+    # no family does without two digits, so most texts need no further test
+    spans = F.when(value.rlike("[0-9xX]{2}"), F.flatten(F.array(*found))).otherwise(none)
 
-    def part(i: int) -> Column:
+    def part(x: Column, i: int) -> Column:
         """Year, month or day of a match, by its family."""
         named = lambda kind, c: dates.month_number(c) if i == 1 and "month" in kind else c
-        return F.coalesce(*[F.when(F.col("rank") == rank, named(kind, F.regexp_extract("raw", p, groups[i])) if groups[i] else F.lit("xx")) for rank, kind, p, groups in used if groups])
-
-    kind = F.coalesce(*[F.when(F.col("rank") == rank, F.lit(name)) for rank, name, _, _ in used])
-    rows = rows.withColumns({"kind": kind, "y": part(0), "m": part(1), "d": part(2)})
-    rows = rows.withColumns({"ymd": dates.partial_date(F.col("y"), F.col("m"), F.col("d"), pivot), "ydm": dates.partial_date(F.col("y"), F.col("d"), F.col("m"), pivot)})
-    normal = F.when(F.col("kind") == "range", dates.year_range(F.col("raw"), pivot)).when(F.col("kind") == "mdy", F.coalesce("ymd", "ydm")).otherwise(F.col("ymd"))
-    every = rows.select(key, "start", "raw", normal.alias("normal"), "kind", "rank")
-    # no filter on normal: it would be pushed down and repeat all of its expression
-    span = F.struct("start", (F.col("start") + F.length("raw")).alias("end"), "rank", "raw", "normal", "kind")
-    spans = every.groupBy(key).agg(F.collect_list(F.when(F.col("normal").isNotNull(), span)).alias("all"))
+        return F.coalesce(*[F.when(x["rank"] == rank, named(kind, F.regexp_extract(x["raw"], p, groups[i])) if groups[i] else F.lit("xx")) for rank, kind, p, groups in used if groups])
+
+    def read(x: Column) -> Column:
+        kind = F.coalesce(*[F.when(x["rank"] == rank, F.lit(name)) for rank, name, _, _ in used])
+        return F.struct(x["start"].alias("start"), (x["start"] + F.length(x["raw"])).alias("end"), x["raw"].alias("raw"), x["rank"].alias("rank"), kind.alias("kind"), part(x, 0).alias("y"), part(x, 1).alias("m"), part(x, 2).alias("d"))
+
+    def dated(x: Column) -> Column:
+        ymd, ydm = dates.partial_date(x["y"], x["m"], x["d"], pivot), dates.partial_date(x["y"], x["d"], x["m"], pivot)
+        normal = F.when(x["kind"] == "range", dates.year_range(x["raw"], pivot)).when(x["kind"] == "mdy", F.coalesce(ymd, ydm)).otherwise(ymd)
+        return F.struct(*[x[f].alias(f) for f in ("start", "end", "raw", "rank", "kind")], normal.alias("normal"))
+
+    every = F.filter(F.transform(F.transform(spans, read), dated), lambda x: x["normal"].isNotNull())
     beats = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"]) & ((a["rank"] < b["rank"]) | ((a["rank"] == b["rank"]) & (a["start"] < b["start"])))
+    # overlaps are settled inside the row, so rows that share a key stay apart and nothing is shuffled
+    rows = df.select(key, every.alias("all")).where(F.size("all") > 0)
     clear = F.filter("all", lambda b: ~F.exists("all", lambda a: beats(a, b)))
-    return spans.select(key, F.explode(clear).alias("d")).select(key, "d.start", "d.raw", "d.normal", "d.kind")
+    return rows.select(key, F.explode(clear).alias("d")).select(key, "d.start", "d.raw", "d.normal", "d.kind")
 
 
 def partial_dates(df: DataFrame, key: str, year: str, month: str, day: str, pivot: int = 35) -> DataFrame:
@@ -100,18 +105,19 @@ def prefer_complete_dates(candidates: DataFrame, key: str) -> DataFrame:
 
 
 def split_around_date(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, before, date, after, abbreviation, required): the text around its first complete or partial date.
+    """(key, mention, before, date, after, abbreviation, required): the text around each of its complete or partial dates.
 
-    Texts that begin with the date have nothing before it and are not required matches. A
+    Required mentions have text before them; they come before the others, each by place. A
     short all-caps word glued to the date is an abbreviation.
     """
-    found = extract_dates(df, key, column).where("kind <> 'range'")
-    first = found.groupBy(key).agg(F.min(F.struct("start", "raw", "normal")).alias("d"))
-    rows = df.select(key, F.col(column).alias("__t")).join(first, key)
-    raw_before = F.substring(F.col("__t"), F.lit(1), F.col("d.start"))
+    rows = df.withColumn("__text", F.coalesce(F.col(column), F.lit(""))).withColumn("__key", F.struct(key, "__text"))
+    found = extract_dates(rows, "__key", "__text").where("kind <> 'range'").select(f"__key.{key}", F.col("__key.__text").alias("__t"), "start", "raw", "normal")
+    raw_before = F.substring(F.col("__t"), F.lit(1), F.col("start"))
     tidy = lambda c: F.regexp_replace(text.compact(c), "^[ ,;:_-]+|[ ,;:_-]+$", "")
-    after = F.substring(F.col("__t"), F.col("d.start") + F.length("d.raw") + 1, F.length("__t"))
-    return rows.select(key, tidy(raw_before).alias("before"), F.col("d.normal").alias("date"), tidy(after).alias("after"), raw_before.rlike("^[A-Z]{2,5}$").alias("abbreviation"), (tidy(raw_before) != "").alias("required"))
+    after = F.substring(F.col("__t"), F.col("start") + F.length("raw") + 1, F.length("__t"))
+    parts = found.select(key, "start", tidy(raw_before).alias("before"), F.col("normal").alias("date"), tidy(after).alias("after"), raw_before.rlike("(^|\\s)[A-Z]{2,5}$").alias("abbreviation"), (tidy(raw_before) != "").alias("required"))
+    order = Window.partitionBy(key).orderBy(F.desc("required"), "start")
+    return parts.withColumn("mention", F.row_number().over(order).cast("long")).select(key, "mention", "before", "date", "after", "abbreviation", "required")
 
 
 def split_on_dash(df: DataFrame, key: str, column: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions import dates, search, text
+from shelfmark.functions import search, text
 from shelfmark.operators import dates as date_jobs
 from shelfmark.operators import filters, groups, joins, ordering, windows
 from shelfmark.operators.projections import compose_names, document_key
@@ -21,7 +21,7 @@ def resolve_records(folders: DataFrame, terms: DataFrame, mentions: DataFrame, s
     Unresolved records keep a reason in words.
     """
     names = folders.select("id", "name")
-    around = date_jobs.split_around_date(names, "id", "name").select("id", F.col("before").alias("d_before"), F.col("date").alias("d_date"), F.col("after").alias("d_after"))
+    around = date_jobs.split_around_date(names, "id", "name").where("mention = 1").select("id", F.col("before").alias("d_before"), F.col("date").alias("d_date"), F.col("after").alias("d_after"))
     dashed = date_jobs.split_on_dash(names, "id", "name").select("id", "left", "right")
     rows = folders.join(around, "id", "left").join(dashed, "id", "left")
     candidates = F.array(*[F.struct(F.lit(i).alias("at"), text.blank_to_null(F.col(c)).alias("name")) for i, c in enumerate(("override", "tag", "d_before", "left"))])
@@ -90,6 +90,3 @@ def search_catalog(rows: DataFrame, columns: list[str], expression: str, documen
     found = filters.boolean_search(rows, columns, expression).select("id")
     return found.join(attached, "id", "left").select("id", "document", "tier", F.lit("row").alias("hit"))
 
-
-def complete_date(c: Column) -> Column:
-    return F.when(dates.is_complete(c), F.to_date(c))

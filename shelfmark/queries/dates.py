@@ -63,11 +63,14 @@ def d5(t):
 
 
 @query("d6_split_around_date", """
-SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 4 = 1 THEN 'ABC' ELSE c_name END AS before, strftime(o_orderdate, '%Y-%m-%d') AS date, n_name AS after, o_orderkey % 4 = 1 AS abbreviation, o_orderkey % 4 <> 0 AS required
-FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""")
+WITH n AS (SELECT o_orderkey, o_orderkey % 4 AS k, c_name, n_name, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%Y.%m.%d') AS e FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)
+SELECT o_orderkey, 1 AS mention, CASE k WHEN 0 THEN '' WHEN 1 THEN 'ABC' ELSE c_name END AS before, d AS date, n_name AS after, k = 1 AS abbreviation, k <> 0 AS required FROM n WHERE k < 3
+UNION ALL SELECT o_orderkey, 1, d || ' ' || n_name, d, c_name, false, true FROM n WHERE k = 3
+UNION ALL SELECT o_orderkey, 2, '', d, n_name || ' ' || e || ' ' || c_name, false, false FROM n WHERE k = 3""")
 def d6(t):
     n, date = F.col("o_orderkey") % 4, F.date_format("o_orderdate", "yyyy-MM-dd")
-    name = F.when(n == 0, F.concat_ws(" ", date, "n_name")).when(n == 1, F.concat(F.lit("ABC"), date, F.lit(" "), "n_name")).otherwise(F.concat_ws(" - ", "c_name", date, "n_name"))
+    both = F.concat_ws(" ", date, "n_name", F.date_format("o_orderdate", "yyyy.MM.dd"), "c_name")
+    name = F.when(n == 0, F.concat_ws(" ", date, "n_name")).when(n == 1, F.concat(F.lit("ABC"), date, F.lit(" "), "n_name")).when(n == 2, F.concat_ws(" - ", "c_name", date, "n_name")).otherwise(both)
     return op.split_around_date(titles(t).select("o_orderkey", name.alias("text")), "o_orderkey", "text")
 
 
