@@ -69,7 +69,7 @@ def _edges(body: np.ndarray, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]
     padded = np.concatenate([body, np.zeros(_KEY, np.uint8)])
     heads = np.flatnonzero(((body & 0xC0) != 0x80) & (body != 0))
     rows = np.lib.stride_tricks.sliding_window_view(padded, _KEY)[heads]
-    keep = np.cumsum(rows == 0, axis=1) == 0  # what lies behind the end of a part doesn't count
+    keep = np.cumsum(rows == 0, axis=1, dtype=np.uint8) == 0  # what lies behind the end of a part doesn't count
     rows = np.where(keep, rows, 0).astype(np.uint8)
     halves = rows.view(">u8").astype(np.uint64)
     order = np.lexsort((halves[:, 1], halves[:, 0]))
@@ -237,10 +237,22 @@ class Encoder:
         return self.ids[gather(self.begin[at], count)], total[ends] - total[ends - sizes]
 
 
-def encode(docs: DataFrame, path: str = MODEL, text: str = "text", to: str = "ids") -> DataFrame:
-    """Adds the ids of `text` as an array column `to` (replaced if there); null and empty texts have no ids."""
+def _texts(flat: np.ndarray, sizes: np.ndarray, surface: list[bytes]) -> pa.Array:
+    """Texts of ids: surfaces joined, without the space that encoding puts first."""
+    ends = np.cumsum(sizes).tolist()
+    texts = [b"".join(map(surface.__getitem__, flat[e - s : e].tolist())) for e, s in zip(ends, sizes.tolist(), strict=True)]
+    return pa.array([x[x[:1] == b" " :].decode("utf-8", "replace") for x in texts], pa.string())
+
+
+def encode(docs: DataFrame, path: str = MODEL, text: str = "text", to: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Adds the ids of `text` as an array column `to` (replaced if there); null and empty texts have no ids.
+
+    With `decoded`, the text that `decode` gives for these ids is added under that name, in
+    the same tasks.
+    """
     words = Vocabulary(path)
-    rest = [c for c in docs.columns if c != to]
+    rest = [c for c in docs.columns if c not in (to, decoded)]
+    names = ["row", to] + [decoded] * (decoded is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(words)
@@ -249,11 +261,13 @@ def encode(docs: DataFrame, path: str = MODEL, text: str = "text", to: str = "id
             for first, last in spans(at, 2 << 20):
                 ids, counts = encoder.encode(batch.column(0).slice(first, last - first).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, last - first), lists], ["row", to])
+                back = [_texts(ids, counts, words.surface)] if decoded is not None else []
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, last - first), lists, *back], names)
 
     rows = docs.select(whole_text(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
-    done = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {to} array<int>")
-    return done.select(*[F.col(f"row.`{c}`") for c in rest], to)
+    kind = f"row {rows.schema['row'].dataType.simpleString()}, {to} array<int>"
+    done = rows.mapInArrow(run, kind if decoded is None else f"{kind}, {decoded} string")
+    return done.select(*[F.col(f"row.`{c}`") for c in rest], *names[1:])
 
 
 def decode(encoded: DataFrame, path: str = MODEL, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -262,14 +276,10 @@ def decode(encoded: DataFrame, path: str = MODEL, ids: str = "ids", to: str = "d
     rest = [c for c in encoded.columns if c != to]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surface = words.surface
         for batch in batches:
             lists = batch.column(0)
             flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(sizes).tolist()
-            texts = [b"".join(map(surface.__getitem__, flat[e - s : e].tolist())) for e, s in zip(ends, sizes.tolist(), strict=True)]
-            out = pa.array([x[x[:1] == b" " :].decode("utf-8", "replace") for x in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(1), out], ["row", to])
+            yield pa.RecordBatch.from_arrays([batch.column(1), _texts(flat, sizes, words.surface)], ["row", to])
 
     rows = encoded.select(F.col(ids).alias("ids"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
     done = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {to} string")

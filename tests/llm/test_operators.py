@@ -493,6 +493,8 @@ def test_pieces_equal_the_library(spark):
     assert [got[i] for i in range(len(texts))] == want
     back = pieces.decode(pieces.encode(docs.withColumn("text", F.when(F.col("text") != "", F.col("text"))))).collect()
     assert all(r.decoded == (r.text or "").replace("▁", " ") for r in back)
+    both = pieces.encode(docs.withColumn("decoded", F.lit(1)), decoded="decoded").collect()
+    assert all(r.ids == got[r.doc_id] and r.decoded == r.text.replace("▁", " ") for r in both)
 
 
 # 9: urls
