@@ -40,23 +40,44 @@ def group_release_parts(folders: DataFrame, parent: str, name: str, count: str)
 
 
 def document_line_profile(docs: DataFrame, key: str, body: str) -> DataFrame:
-    """Per document over all its lines: line counts, content score, and whether it is unreadable or checksums only."""
-    rows = lines(docs, key, body).withColumn("line", F.trim("line")).where("line <> ''")
-    one = text.compact(F.col("line"))
-    checksum = one.rlike("[0-9]") & F.array_max(F.array(*[one.rlike(p) for p in rules.CHECKSUM_LINES]))
-    hits = sum((F.col("line").rlike(p).cast("int") for p in rules.LIST_LINES), F.lit(0))
-    words = F.size(F.split("line", "\\s+"))
-    info = ~checksum & ((hits > 0) | (F.regexp_count("line", F.lit("[A-Za-z]{2,}")) >= 2))
-    short = words.between(2, 10) & (F.length("line") < 80) & ~F.lower("line").rlike(rules.HOUSEKEEPING_WORDS)
-    score = 5 * hits + short.cast("int")
-    counted = rows.groupBy(key).agg(F.count("*").alias("n_lines"), F.count_if(checksum).alias("n_checksum"), F.count_if(info).alias("n_info"), F.sum(score).alias("score"))
-    letters = docs.select(key, (F.regexp_count(F.coalesce(F.col(body), F.lit("")), F.lit("[A-Za-z]")) < 3).alias("unreadable"))
-    out = letters.join(counted, key, "left").na.fill(0, ["n_lines", "n_checksum", "n_info", "score"])
+    """Per document over all its lines: line counts, content score, and whether it is unreadable or checksums only.
+
+    Lines of information have a list mark, a date or enough words and letters. A text is
+    unreadable without three letters, with a tenth of NULs, or with less than 60 %
+    printable characters. All counts are made inside the row.
+    """
+    whole = F.coalesce(F.col(body), F.lit(""))
+    size, count = F.length(whole), lambda p: F.regexp_count(whole, F.lit(p))
+    letters, nuls, odd = count("\\p{L}"), count("\\x00"), count("[\\p{Cntrl}\\uFFFD&&[^\\r\\n\\t]]")
+    unreadable = (letters < 3) | (10 * nuls >= size) | (10 * (size - odd) < 6 * size)
+
+    def judged(line: Column) -> Column:
+        one = text.compact(line)
+        checksum = one.rlike("[0-9]") & F.array_max(F.array(*[one.rlike(p) for p in rules.CHECKSUM_LINES]))
+        hits = sum((line.rlike(p).cast("int") for p in rules.LIST_LINES), F.lit(0))
+        alpha = F.regexp_count(line, F.lit("\\p{L}"))
+        dated = line.rlike("[0-9]") & line.rlike("(?<![0-9xX])(?:(?:19|20)?[0-9]{2}[-._ /][0-9xX]{1,2}[-._ /][0-9xX]{1,2}|[0-9xX]{1,2}[-._ /][0-9xX]{1,2}[-._ /](?:19|20)?[0-9]{2}|(?:19|20)[0-9]{6}|(?:19|20)[0-9]{2}[ -][0-9]{4})(?![0-9xX])")
+        named = line.rlike("(?i)(?<![a-z])(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[ ._,-]*(?:[0-9]{1,2}(?:st|nd|rd|th)?[ ._,-]*)?(?:19|20)?[0-9]{2}(?![a-z0-9])")
+        worded = (F.regexp_count(line, F.lit("[A-Za-z]{2,}")) >= 2) & (alpha >= 6)
+        marked = (alpha >= 8) & (line.contains(",") | line.contains(" - ") | line.contains("|") | line.contains("@"))
+        long = (alpha >= 12) & ~F.lower(line).rlike(rules.HOUSEKEEPING_WORDS)
+        info = ~checksum & ~line.rlike(_AUDIO_NAME) & ((hits > 0) | dated | named | worded | marked | long)
+        short = F.size(F.split(line, "\\s+")).between(2, 10) & (F.length(line) < 80) & ~F.lower(line).rlike(rules.HOUSEKEEPING_WORDS)
+        return F.struct(checksum.alias("checksum"), info.alias("info"), (5 * hits + short.cast("int")).alias("score"))
+
+    trimmed = F.filter(F.transform(F.split(F.regexp_replace(whole, "\r\n?", "\n"), "\n"), F.trim), lambda x: x != "")
+    rows = docs.select(key, unreadable.alias("unreadable"), F.transform(trimmed, judged).alias("l"))
+    tally = lambda field: F.size(F.filter("l", lambda x: x[field])).cast("long")
+    total = F.aggregate("l", F.lit(0), lambda a, x: a + x["score"])
+    out = rows.select(key, "unreadable", F.size("l").cast("long").alias("n_lines"), tally("checksum").alias("n_checksum"), tally("info").alias("n_info"), total.alias("score"))
     only = (F.col("n_lines") >= 3) & (F.col("n_info") == 0) & (F.col("n_checksum") >= F.greatest(F.lit(3), F.floor(F.col("n_lines") * 0.6)))
     out = out.withColumn("checksum_only", only & ~F.col("unreadable"))
     return out.withColumn("score", F.when(F.col("unreadable") | F.col("checksum_only"), -1000).otherwise(F.col("score")).cast("long"))
 
 
+_AUDIO_NAME = "(?i)^[\\w .()\\[\\]{}'&+-]+\\.(?:flac|shn|wav|mp3|m4a|aac|ogg|opus|aiff?|ape)$"
+
+
 def consensus(df: DataFrame, key: str, value: str, collision: Column | None = None) -> DataFrame:
     """(key, value, conflict): the one value of a record, or the conflict in words; values that lie inside a longer one give way to it."""
     rows = df.where(text.blank_to_null(F.col(value)).isNotNull()).groupBy(key, value).agg(F.bool_or(F.lit(False) if collision is None else collision).alias("collides"))
@@ -100,6 +121,13 @@ def capacity_rollup(moves: DataFrame, free: DataFrame) -> DataFrame:
     return need.join(free, "destination").where(F.col("required") > F.col("free_bytes")).withColumn("shortfall", F.col("required") - F.col("free_bytes"))
 
 
+def shortfall_sources(moves: DataFrame, free: DataFrame) -> DataFrame:
+    """(destination, source, required, shortfall): a row for each source that needs room at a destination without enough of it."""
+    short = capacity_rollup(moves, free).select("destination", "shortfall")
+    by_source = moves.where(~F.col("same_device")).groupBy("destination", "source").agg(F.sum("bytes").alias("required"))
+    return by_source.join(short, "destination").select("destination", "source", "required", "shortfall")
+
+
 def combine_documents(docs: DataFrame, record: str, ord_: str, body: str) -> DataFrame:
     """(record, text): bodies in order with a blank line between; bodies that only differ in blanks and case count once."""
     key = F.lower(F.array_join(F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n"))
@@ -128,15 +156,22 @@ def sibling_relations(folders: DataFrame, parent: str, name: str) -> DataFrame:
     return out.withColumn("may_share", (F.col("n_children") == 1) | F.col("related") | F.col("shared_lead"))
 
 
-def conflict_summary(conflicts: DataFrame, blank: DataFrame) -> DataFrame:
+def conflict_summary(conflicts: DataFrame, blank: DataFrame, block: int = 10_000) -> DataFrame:
     """(ord, source, message): conflicts, then blank-title records; the first of each message, with the last root seen before it.
 
-    Both have ord, root (null where the line names none), source and message.
+    Both have ord, root (null where the line names none), source and message. A source's
+    rows are dealt into blocks by ord; the last root of each block is carried to later ones.
     """
-    both = conflicts.withColumn("part", F.lit(0)).unionByName(blank.withColumn("part", F.lit(1)))
-    rooted = both.withColumn("root", F.last("root", ignorenulls=True).over(Window.partitionBy("source").orderBy("part", "ord").rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.row_number().over(Window.partitionBy("message").orderBy("part", "ord", "source"))
-    return rooted.withColumn("first", first).where("first = 1").select("part", "ord", "root", "source", "message")
+    both = conflicts.withColumn("part", F.lit(0)).unionByName(blank.withColumn("part", F.lit(1))).withColumn("__block", F.expr(f"ord div {block}"))
+    at = F.when(F.col("root").isNotNull(), F.struct("part", "ord", "root"))
+    lasts = both.groupBy("source", "part", "__block").agg(F.max(at).alias("__last"))
+    w = Window.partitionBy("source").orderBy("part", "__block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    carried = lasts.select("source", "part", "__block", F.max("__last").over(w)["root"].alias("__carried"))
+    inside = Window.partitionBy("source", "part", "__block").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("root", F.last("root", ignorenulls=True).over(inside))
+    rooted = near.join(carried, ["source", "part", "__block"]).withColumn("root", F.coalesce("root", "__carried"))
+    least = rooted.groupBy("message").agg(F.min(F.struct("part", "ord", "source", "root")).alias("f"))
+    return least.select("f.part", "f.ord", "f.root", "f.source", "message")
 
 
 def evidence_table(df: DataFrame, key: str, fields: dict[str, tuple[Column, str, Column]]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import paths, text
 from shelfmark.operators.filters import lines
 from shelfmark.operators.projections import term_variants
+from shelfmark.operators.windows import RICH
 
 
 def resolve_aliases(df: DataFrame, key: str, name: str, terms: DataFrame) -> DataFrame:
@@ -223,16 +224,18 @@ def manifest_diff(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def confirm_titles(titles: DataFrame, docs: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, n_titles, confirmed): a record's titles hold only if every one of their words of two or more letters is in its text."""
-    words = lambda c: F.filter(F.split(text.compare_key(c), " "), lambda w: F.length(w) > 1)
-    wanted = titles.select(key, "title", F.explode_outer(F.array_distinct(words(F.col("title")))).alias("word"))
+    """(key, n_titles, confirmed): a record's titles hold only if every one of their words of two or more letters is in its text; of titles without such a word all words count."""
+    words = lambda c: F.filter(F.split(text.compare_key(c), " "), lambda w: w != "")
+    every = words(F.col("title"))
+    long = F.filter(every, lambda w: F.length(w) > 1)
+    wanted = titles.select(key, "title", F.explode_outer(F.array_distinct(F.when(F.size(long) > 0, long).otherwise(every))).alias("word"))
     have = docs.select(key, F.explode(F.array_distinct(words(F.col(body)))).alias("word")).withColumn("there", F.lit(True))
     judged = wanted.join(have, [key, "word"], "left").groupBy(key, "title").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("ok"))
     return judged.groupBy(key).agg(F.count("*").alias("n_titles"), F.bool_and("ok").alias("confirmed"))
 
 
 def candidate_documents(folders: DataFrame, documents: DataFrame, allowed_parents: DataFrame | None = None) -> DataFrame:
-    """(folder, document, tier): 1 own folder, 2 parent (if allowed), 3 info-named siblings, 4 folders below; the least tier of a pair.
+    """(folder, document, tier, rank): 1 own folder, 2 parent (if allowed), 3 info-named siblings, 4 folders below; the least tier of a pair, and the order of candidates.
 
     folders: folder. documents: document (path).
     """
@@ -247,4 +250,9 @@ def candidate_documents(folders: DataFrame, documents: DataFrame, allowed_parent
     beside = folders.withColumn("up", parent).join(info, "up").where("place <> folder").select("folder", "document", F.lit(3).alias("tier"))
     below = docs.select("document", F.explode(F.filter(paths.ancestors(F.col("place")), lambda a: a != F.col("place"))).alias("folder")).join(folders, "folder").select("folder", "document", F.lit(4).alias("tier"))
     every = own.select("folder", "document", "tier").unionByName(above).unionByName(beside).unionByName(below)
-    return every.groupBy("folder", "document").agg(F.min("tier").cast("long").alias("tier"))
+    best = every.groupBy("folder", "document").agg(F.min("tier").cast("long").alias("tier"))
+    # own folder, parent with its info folders, folders below; rich formats before the others in each
+    near = F.when(F.col("tier") == 1, 1).when(F.col("tier") == 4, 3).otherwise(2)
+    rich = F.lower(F.regexp_extract("document", "\\.([^./]*)$", 1)).isin(*RICH)
+    order = Window.partitionBy("folder").orderBy(near, (~rich).cast("int"), "tier", F.lower("document"), "document")
+    return best.withColumn("rank", F.row_number().over(order).cast("long"))

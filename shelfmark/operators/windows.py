@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark import rules
-from shelfmark.functions import text
-from shelfmark.operators.filters import lines
+from shelfmark.functions import dates, text
+from shelfmark.operators.filters import is_prose, lines
 
 RICH = ("doc", "docx", "rtf", "pdf")
 # Marks of a document name and what they add to its score.
@@ -31,21 +31,28 @@ def rank_documents(docs: DataFrame, folder: str, path: str, content_score: str)
     return scored.withColumn("rank", rank.cast("long"))
 
 
+#: What a date mention scores by the label of its line, and the labels of a place.
+LABEL_SCORES = {"date": 110, "venue": 105, "location": 80, "loc": 80, "city": 80, "state": 80, "region": 80, "province": 80, "country": 80, "place": 80}
+OTHER_LABEL, HEADER, CLUE, PROSE_CLUE, PROSE = 70, 70, 20, 12, 5
+COMPLETE, RANGE, PART, RANGE_LOSS = 30, 5, 8, 8
+
+
 def rank_date_mentions(mentions: DataFrame, key: str) -> DataFrame:
     """(key, raw, normal, score): best date mention of each document.
 
-    mentions: key, line (position), start, text, raw, normal, kind. Labelled dates score
-    110, dates alone on a line 105, header lines (first ten) 70, lines with a date word 20,
-    prose 12 or 5; known parts add 30, 8 or 5; a range in prose loses 8.
+    mentions: key, line (position), start, text, raw, normal, kind. A labelled line scores
+    by its label (date, venue, places, others), others as prose, as lines with a word such
+    as "live", or as header lines. A complete date adds 30, a range 5, another date 8 for
+    each known part; a range in prose or beside such a word loses 8.
     """
-    alone = F.trim("text") == F.trim("raw")
-    label = F.lower("text").rlike("^\\s*(date|when|recorded)\\s*[:=-]")
-    words = F.size(F.split(F.trim("text"), "\\s+"))
+    label = F.lower(F.regexp_extract("text", "^\\s*([A-Za-z][A-Za-z ]{1,20}?)\\s*[:=]", 1))
+    scores = F.create_map(*[F.lit(x) for pair in LABEL_SCORES.items() for x in pair])
     clue = F.lower("text").rlike("\\b(live|recorded|taped|show|concert)\\b")
-    prose = words >= 10
-    context = F.when(label, 110).when(alone, 105).when((F.col("line") < 10) & ~prose, 70).when(clue, 20).when(F.col("line") < 10, 12).otherwise(5)
-    known = F.when(F.col("kind") == "range", 5).when(F.col("normal").contains("xx-xx"), 5).when(F.col("normal").contains("x"), 8).otherwise(30)
-    score = context + known - F.when((F.col("kind") == "range") & prose, 8).otherwise(0)
+    prose = is_prose(F.col("text"))
+    context = F.when(label != "", F.coalesce(scores[label], F.lit(OTHER_LABEL))).when(prose & clue, PROSE_CLUE).when(prose, PROSE).when(clue, CLUE).otherwise(HEADER)
+    ranged = F.col("kind") == "range"
+    known = F.when(ranged, RANGE).when(dates.is_complete(F.col("normal")), COMPLETE).otherwise(PART * dates.specificity(F.col("normal")))
+    score = context + known - F.when(ranged & (label == "") & (prose | clue), RANGE_LOSS).otherwise(0)
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "line", "start"))
     return mentions.withColumn("score", score.cast("long")).withColumn("rank", rank).where("rank = 1").select(key, "raw", "normal", "score")
 
@@ -86,6 +93,31 @@ def sequence_runs(items: DataFrame, key: str, pos: str, number: str, longest_gap
     return runs.groupBy(key, "run").agg(F.min(number).cast("long").alias("first"), F.max(number).cast("long").alias("last"), F.count("*").alias("n"), F.min(pos).cast("long").alias("starts"))
 
 
+def sequence_parts(items: DataFrame, key: str, pos: str, number: str, section: str | None = None, longest_gap: int = 3) -> DataFrame:
+    """(key, pos, number, part): the lines that belong to a document's numbered list, with its parts counted from 1.
+
+    A line belongs to the list if it goes on from the line before it, or begins a part: with
+    0 or 1 where `section` (a boolean column: a heading stands before it) is true, or with
+    1 where the next line is 2. A single line that fits neither, between two lines of which
+    the second goes on from the first, is left out, and so is what follows the last part
+    without going on.
+    """
+    w = Window.partitionBy(key).orderBy(pos)
+    headed = F.lit(False) if section is None else F.coalesce(F.col(section), F.lit(False))
+    follows = lambda a, b: F.coalesce((b - a).between(1, longest_gap) | ((b > 100) & (b % 100 == 1) & (F.floor(b / 100) == F.floor(a / 100) + 1)), F.lit(False))
+    n, before, after = F.col(number), F.lag(number).over(w), F.lead(number).over(w)
+    begins = (headed & n.isin(0, 1)) | ((n == 1) & F.coalesce(after == 2, F.lit(False)))
+    stray = ~begins & ~follows(before, n) & follows(before, after)
+    rows = items.withColumns({"__begins": begins, "__stray": stray}).where(~F.col("__stray"))
+    goes_on = follows(F.lag(number).over(w), n)
+    rows = rows.withColumn("__step", F.when(F.col("__begins"), 1).when(goes_on, 0).otherwise(2))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    # what follows a break belongs to no part until the next one begins
+    rows = rows.withColumn("part", F.sum((F.col("__step") == 1).cast("long")).over(upto))
+    broken = F.max((F.col("__step") == 2).cast("int")).over(Window.partitionBy(key, "part").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__broken", broken).where("part > 0 and __broken = 0").select(key, pos, number, "part")
+
+
 def best_run(runs: DataFrame, key: str, expected: DataFrame | None = None) -> DataFrame:
     """One run per document: one of the expected length if there is one, else the longest, the earliest of equals. expected: key, expected."""
     rows = runs if expected is None else runs.join(expected, key, "left")
@@ -94,18 +126,21 @@ def best_run(runs: DataFrame, key: str, expected: DataFrame | None = None) -> Da
     return rows.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
-def fill_sequence_gaps(items: DataFrame, expected: DataFrame, key: str, other: DataFrame | None = None) -> DataFrame:
+def fill_sequence_gaps(items: DataFrame, expected: DataFrame, key: str, other: DataFrame | None = None, least_run: int = 3) -> DataFrame:
     """(key, number, title, filled): numbers 1 to N of each record with at most max(3, N / 5) missing; gaps take the other list's title or Unknown.
 
-    items and other: key, number, title. expected: key, n.
+    A list of at least `least_run` titles without a gap that ends before N is padded to N,
+    however many are missing. items and other: key, number, title. expected: key, n.
     """
     wanted = expected.select(key, "n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("number"))
     joined = wanted.join(items.select(key, "number", "title"), [key, "number"], "left")
     if other is not None:
         joined = joined.join(other.select(key, "number", F.col("title").alias("__other")), [key, "number"], "left")
-    missing = F.count_if(F.col("title").isNull()).over(Window.partitionBy(key))
+    whole = Window.partitionBy(key)
+    joined = joined.withColumns({"missing": F.count_if(F.col("title").isNull()).over(whole), "__top": F.max(F.when(F.col("title").isNotNull(), F.col("number"))).over(whole)})
+    run = F.col("n") - F.col("missing")
     spare = F.col("__other") if other is not None else F.lit(None).cast("string")
-    out = joined.withColumn("missing", missing).where(F.col("missing") <= F.greatest(F.lit(3), F.floor(F.col("n") / 5)))
+    out = joined.where((F.col("missing") <= F.greatest(F.lit(3), F.floor(F.col("n") / 5))) | ((F.col("__top") == run) & (run >= least_run)))
     return out.select(key, F.col("number").cast("long").alias("number"), F.coalesce("title", spare, F.lit("Unknown")).alias("title"), F.col("title").isNull().alias("filled"))
 
 
@@ -135,16 +170,31 @@ def order_files(files: DataFrame, folder: str, name: str) -> DataFrame:
     return rows.select(folder, name, "disc", "track", number.cast("long").alias("number"), title.alias("title"))
 
 
-def header_section(docs: DataFrame, key: str, body: str, limit: int = 80) -> DataFrame:
-    """(key, pos, line): non-blank lines before the first section label, or the first of two list lines in a row, or of two checksum lines."""
-    rows = lines(docs, key, body, limit).where(F.trim("line") != "")
-    listed = F.col("line").rlike(rules.LIST_LINES[0]) | text.compact(F.col("line")).rlike(rules.CHECKSUM_LINES[1])
+_DATE_LINE = "^[0-9]{1,4}[-./ ][0-9]{1,2}[-./ ][0-9]{1,4}$"
+_FIELD_LINE = f"(?i)^({'|'.join(rules.FIELD_LABELS)})\\s*[:=-]"
+
+
+def header_section(docs: DataFrame, key: str, body: str, limit: int = 80, ahead: int = 8, evidence: int = 3) -> DataFrame:
+    """(key, pos, line): lines before the first boundary, without blank lines and rules.
+
+    Boundaries are section labels, and list or checksum lines that another one follows
+    within `ahead` lines, rules aside. In short texts one such line is enough: after
+    `evidence` header lines, with at most one line among the next three. Dates and labelled
+    fields never end a header.
+    """
+    rows = lines(docs, key, body, limit).where(F.trim("line").rlike("[A-Za-z0-9]") | ((F.trim("line") != "") & (F.length(F.trim("line")) < 3)))
+    one = text.compact(F.col("line"))
+    field = one.rlike(_DATE_LINE) | one.rlike(_FIELD_LINE)
+    checksum = one.rlike("[0-9]") & F.array_max(F.array(*[one.rlike(p) for p in rules.CHECKSUM_LINES]))
+    listed = (F.col("line").rlike(rules.LIST_LINES[0]) | checksum) & ~field
     label = F.lower(F.trim("line")).rlike("^(tracks?|track list|setlist|set list|songs)\\s*:?$|^(set|disc|cd)\\s*[0-9]+\\s*:?$")
-    rows = rows.withColumns({"listed": listed, "label": label})
-    w = Window.partitionBy(key)
-    following = F.lead("listed").over(w.orderBy("pos"))
-    rows = rows.withColumn("edge", F.col("label") | (F.col("listed") & F.coalesce(following, F.lit(True))))
-    cut = F.min(F.when(F.col("edge"), F.col("pos"))).over(w)
+    told = ~listed & (field | ~is_prose(F.col("line")))
+    w = Window.partitionBy(key).orderBy("pos")
+    rows = rows.withColumns({"listed": listed, "label": label, "told": told.cast("int")})
+    again = F.coalesce(F.lead("listed").over(w) & (F.lead("pos").over(w) < F.col("pos") + ahead), F.lit(False))
+    left, before = F.count("*").over(w.rangeBetween(0, 3)), F.coalesce(F.sum("told").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("edge", F.col("label") | (F.col("listed") & (again | ((before >= evidence) & (left <= 2)))))
+    cut = F.min(F.when(F.col("edge"), F.col("pos"))).over(Window.partitionBy(key))
     return rows.withColumn("cut", cut).where(F.col("cut").isNull() | (F.col("pos") < F.col("cut"))).select(key, "pos", "line")
 
 
@@ -191,18 +241,20 @@ def positional_fill(items: DataFrame, lists: DataFrame, key: str) -> DataFrame:
 
 
 def structured_header(header: DataFrame, key: str) -> DataFrame:
-    """(key, shape, entity, date, venue, location): the first four-line shape with a date and a location ("a, b") line.
+    """(key, shape, entity, date, venue, location): the first shape of lines that a location line anchors.
 
-    header: key, pos, line. Shapes: entity/venue/location/date and entity/date/venue/location.
+    header: key, pos, line. Shapes: entity/venue/location/date, entity/date/venue/location,
+    and entity/combined/date, whose second line is "venue, city, country". A location is
+    "a, b".
     """
     w = Window.partitionBy(key).orderBy("pos")
-    nxt = {f"l{i}": F.lead("line", i).over(w) for i in (1, 2, 3)}
-    rows = header.withColumns(nxt)
+    rows = header.withColumns({f"l{i}": F.lead("line", i).over(w) for i in (1, 2, 3)})
     date, place = lambda c: F.trim(c).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), lambda c: F.trim(c).rlike("^[^,0-9]+, *[^,0-9]+$")
-    plain = ~date("line") & ~place("line")
-    one = plain & place("l2") & date("l3")
-    two = plain & date("l1") & place("l3")
-    shaped = rows.withColumn("shape", F.when(one, "entity/venue/location/date").when(two, "entity/date/venue/location")).where("shape is not null")
+    joined = "^([^,]+), *([^,0-9]+, *[^,0-9]+)$"
+    plain = ~date("line") & ~F.col("line").contains(",")
+    shapes = {"entity/venue/location/date": plain & place("l2") & date("l3"), "entity/date/venue/location": plain & date("l1") & place("l3"), "entity/combined/date": plain & F.trim("l1").rlike(joined) & date("l2")}
+    shaped = rows.withColumn("shape", F.coalesce(*[F.when(fits, name) for name, fits in shapes.items()])).where("shape is not null")
     first = shaped.withColumn("__rank", F.row_number().over(w)).where("__rank = 1")
-    is_one = F.col("shape") == "entity/venue/location/date"
-    return first.select(key, "shape", F.trim("line").alias("entity"), F.trim(F.when(is_one, F.col("l3")).otherwise(F.col("l1"))).alias("date"), F.trim(F.when(is_one, F.col("l1")).otherwise(F.col("l2"))).alias("venue"), F.trim(F.when(is_one, F.col("l2")).otherwise(F.col("l3"))).alias("location"))
+    by = lambda *columns: F.trim(F.coalesce(*[F.when(F.col("shape") == name, c) for name, c in zip(shapes, columns, strict=True)]))
+    part = lambda i: F.regexp_extract(F.trim("l1"), joined, i)
+    return first.select(key, "shape", F.trim("line").alias("entity"), by(F.col("l3"), F.col("l1"), F.col("l2")).alias("date"), by(F.col("l1"), F.col("l2"), part(1)).alias("venue"), by(F.col("l2"), F.col("l3"), part(2)).alias("location"))

@@ -33,19 +33,34 @@ def s2(t):
     return files.read_catalog(rows.sparkSession, path)
 
 
-def _s3(spark, sf_dir):
-    return files.scan_files(spark, [sf_dir]).groupBy("ext").agg(F.count("*").alias("n_files"), F.countDistinct("name").alias("n_names"))
-
-
-QUERIES["s3_scan_files"] = _s3
-SQL["s3_scan_files"] = "SELECT 'parquet' AS ext, 14::BIGINT AS n_files, 14::BIGINT AS n_names"
-
-
-@query("s4_read_documents", "SELECT doc_id, md5(text) AS text_md5, CASE WHEN doc_id % 3 = 0 THEN 'utf-8' WHEN doc_id % 3 = 1 THEN 'utf-16-le' ELSE 'utf-16-be' END AS encoding FROM documents WHERE length(text) > 20")
+@query("s3_scan_files", """
+SELECT 'nation' AS place, sum(length(n_name) + 1)::BIGINT AS length, true AS recent FROM nation
+UNION ALL SELECT 'deep', sum(length(c_name) + 1)::BIGINT, true FROM customer""")
+def s3(t):
+    nation, customer = t("nation").select("n_name"), t("customer").select("c_name")
+    root = files.scratch(nation.sparkSession, "scan")
+    nation.write.text(f"{root}/nation")
+    customer.write.text(f"{root}/customer/deep")
+    customer.write.text(f"{root}/old-ignoredir/customer")
+    found = files.scan_files(nation.sparkSession, [root]).where("name like 'part-%'").withColumn("place", F.regexp_extract("folder", "([^/]*)$", 1))
+    return found.groupBy("place").agg(F.sum("length").alias("length"), F.bool_and(F.col("modified") > F.date_sub(F.current_date(), 2)).alias("recent"))
+
+
+@query("s4_read_documents", "SELECT doc_id, md5(text) AS text_md5, CASE WHEN text IS NULL THEN NULL WHEN text = '' OR doc_id % 3 = 0 THEN 'utf-8' WHEN doc_id % 3 = 1 THEN 'utf-16-le' ELSE 'utf-16-be' END AS encoding FROM documents")
 def s4(t):
     n = F.col("doc_id") % 3
     content = F.when(n == 0, F.encode("text", "UTF-8")).when(n == 1, F.encode("text", "UTF-16LE")).otherwise(F.encode("text", "UTF-16BE"))
-    return files.decode_documents(t("documents").where("length(text) > 20").select("doc_id", content.alias("content"))).select("doc_id", F.md5("text").alias("text_md5"), "encoding")
+    return files.decode_documents(t("documents").select("doc_id", content.alias("content"))).select("doc_id", F.md5("text").alias("text_md5"), "encoding")
+
+
+@query("s4_read_files", """
+SELECT c_nationkey::BIGINT AS nation, 'windows-1252' AS encoding, count(*) AS n_lines, sum(length(c_name || ' café «' || c_mktsegment || '»') + 1)::BIGINT AS n_chars FROM customer GROUP BY 1""")
+def s4_files(t):
+    rows = t("customer").select(F.col("c_nationkey").cast("long").alias("nation"), F.concat("c_name", F.lit(" café «"), "c_mktsegment", F.lit("»")).alias("line"))
+    root = files.scratch(rows.sparkSession, "western")
+    rows.repartition("nation").write.partitionBy("nation").option("encoding", "ISO-8859-1").option("quote", "").option("sep", "\t").csv(root)
+    read = files.read_documents(rows.sparkSession, root, "*.csv")
+    return read.select(F.regexp_extract("path", "nation=([0-9]+)", 1).cast("long").alias("nation"), "encoding", (F.length(F.regexp_replace("text", "[^\n]", ""))).cast("long").alias("n_lines"), F.length("text").cast("long").alias("n_chars"))
 
 
 @query("s5_read_block_log", "SELECT 'S' || o_orderkey AS show, '/p/' || o_orderkey AS path, o_orderstatus AS artist, o_orderkey % 4 = 0 AS has_conflict FROM orders WHERE o_orderkey % 10 <> 0")

@@ -110,6 +110,14 @@ def a8(t):
     return op.capacity_rollup(moves, free)
 
 
+@query("a8_shortfall_sources", """
+WITH n AS (SELECT l_suppkey AS destination, l_partkey AS source, sum(l_quantity) AS required FROM lineitem WHERE l_linestatus <> 'F' GROUP BY 1, 2), s AS (SELECT destination, sum(required) - 6000.0::DOUBLE AS shortfall FROM n GROUP BY 1)
+SELECT destination, source, required, shortfall FROM n JOIN s USING (destination) WHERE shortfall > 0""")
+def a8_sources(t):
+    moves = t("lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("destination"), F.col("l_quantity").alias("bytes"), (F.col("l_linestatus") == "F").alias("same_device"))
+    return op.shortfall_sources(moves, t("supplier").select(F.col("s_suppkey").alias("destination"), F.lit(6000.0).alias("free_bytes")))
+
+
 @query("a9_combine_documents", """
 WITH k AS (SELECT conv_id, turn, text, lower(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))) AS key FROM conversations),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, key ORDER BY turn) AS rn FROM k WHERE key <> '')

@@ -164,11 +164,11 @@ def j12(t):
     return op.remove_rows(rows, rows.where("o_orderstatus = 'F' and o_custkey % 2 = 0"), ["o_orderkey", "o_custkey"])
 
 
-_ROOTS = rf"SELECT label, CASE WHEN page_id % 3 = 0 THEN regexp_extract(path, '^(/[^/]*)', 1) ELSE path END AS root FROM ({_HOSTS}) WHERE page_id % 2 = 0 AND path <> ''"
+_ROOTS = rf"SELECT label, CASE WHEN page_id % 3 = 0 THEN regexp_extract(path, '^(/[^/]*)', 1) ELSE path END AS root FROM ({_HOSTS}) WHERE path <> ''"
 
 
 def roots_of(t):
-    return hosts(t).where("page_id % 2 = 0 and path <> ''").select("label", F.when(F.col("page_id") % 3 == 0, F.regexp_extract("path", "^(/[^/]*)", 1)).otherwise(F.col("path")).alias("root"))
+    return hosts(t).where("path <> ''").select("label", F.when(F.col("page_id") % 3 == 0, F.regexp_extract("path", "^(/[^/]*)", 1)).otherwise(F.col("path")).alias("root"))
 
 
 @query("j13_overlapping_roots", f"""
@@ -181,13 +181,13 @@ def j13(t):
 
 
 @query("j14_classify_root_relation", f"""
-WITH n AS (SELECT DISTINCT CASE WHEN label LIKE 'm.%' THEN '' ELSE label END AS label, path AS root FROM ({_HOSTS}) WHERE page_id % 2 = 1 AND path <> ''), s AS (SELECT DISTINCT label, root FROM ({_ROOTS})),
+WITH n AS (SELECT DISTINCT CASE WHEN label LIKE 'm.%' THEN '' ELSE label END AS label, path AS root FROM ({_HOSTS}) WHERE path <> ''), s AS (SELECT DISTINCT label, root FROM ({_ROOTS})),
 r AS (SELECT n.label, n.root, CASE WHEN s.root = n.root THEN 'exact' WHEN starts_with(n.root, s.root || '/') THEN 'child' ELSE 'parent' END AS rel
   FROM n JOIN s ON n.label = s.label AND (s.root = n.root OR starts_with(n.root, s.root || '/') OR starts_with(s.root, n.root || '/'))),
 g AS (SELECT label, root, array_to_string(list_sort(list(DISTINCT rel)), ',') AS relation FROM r GROUP BY 1, 2)
 SELECT label, root, coalesce(relation, 'unrelated') AS relation, CASE WHEN label = '' THEN 'append_blank' WHEN relation IS NULL THEN 'new' ELSE 'reinventory' END AS action FROM n LEFT JOIN g USING (label, root)""")
 def j14(t):
-    new = hosts(t).where("page_id % 2 = 1 and path <> ''").select(F.when(F.col("label").startswith("m."), "").otherwise(F.col("label")).alias("label"), F.col("path").alias("root")).distinct()
+    new = hosts(t).where("path <> ''").select(F.when(F.col("label").startswith("m."), "").otherwise(F.col("label")).alias("label"), F.col("path").alias("root")).distinct()
     return op.classify_root_relation(new, roots_of(t).distinct())
 
 
@@ -230,12 +230,13 @@ def j18(t):
 
 
 @query("j19_candidate_documents", rf"""
-WITH d AS (SELECT DISTINCT path AS document, regexp_replace(path, '/[^/]*$', '') AS place FROM ({PATHS})),
-f AS (SELECT DISTINCT place AS folder FROM d UNION SELECT DISTINCT regexp_replace(place, '/[^/]*$', '') FROM d WHERE place LIKE '/%/%')
-SELECT folder, document, CASE WHEN place = folder THEN 1 WHEN place = regexp_replace(folder, '/[^/]*$', '') THEN 2 ELSE 4 END AS tier FROM f JOIN d
-  ON place = folder OR place = regexp_replace(folder, '/[^/]*$', '') OR starts_with(place, folder || '/') WHERE folder <> ''""")
+WITH d AS (SELECT DISTINCT path || CASE WHEN length(path) % 3 = 0 THEN '.doc' ELSE '' END AS document, regexp_replace(path, '/[^/]*$', '') AS place FROM ({PATHS})),
+f AS (SELECT DISTINCT place AS folder FROM d UNION SELECT DISTINCT regexp_replace(place, '/[^/]*$', '') FROM d WHERE place LIKE '/%/%'),
+r AS (SELECT folder, document, CASE WHEN place = folder THEN 1 WHEN place = regexp_replace(folder, '/[^/]*$', '') THEN 2 ELSE 4 END AS tier FROM f JOIN d
+  ON place = folder OR place = regexp_replace(folder, '/[^/]*$', '') OR starts_with(place, folder || '/') WHERE folder <> '')
+SELECT folder, document, tier, row_number() OVER (PARTITION BY folder ORDER BY CASE tier WHEN 1 THEN 1 WHEN 4 THEN 3 ELSE 2 END, NOT regexp_matches(lower(document), '[.](doc|docx|rtf|pdf)$'), tier, lower(document), document) AS rank FROM r""")
 def j19(t):
-    docs = page_paths(t).select(F.col("path").alias("document")).distinct()
+    docs = page_paths(t).select(F.concat("path", F.when(F.length("path") % 3 == 0, ".doc").otherwise("")).alias("document")).distinct()
     place = F.regexp_replace("document", "/[^/]*$", "")
     folders = docs.select(place.alias("folder")).union(docs.where(place.rlike("^/.*/")).select(F.regexp_replace(place, "/[^/]*$", ""))).distinct().where("folder <> ''")
     return op.candidate_documents(folders, docs).withColumn("tier", F.col("tier").cast("int"))

@@ -45,12 +45,12 @@ def p3(t):
 
 
 @query("p4_path_components", r"""
-WITH p AS (SELECT page_id, list_filter(string_split(regexp_extract(url, '://([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages),
+WITH p AS (SELECT page_id, list_filter(string_split(regexp_extract(url, '://([^?#]*)', 1) || CASE WHEN page_id % 3 = 0 THEN '/CD2' ELSE '' END, '/'), lambda x: x <> '') AS parts FROM pages),
 r AS (SELECT page_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM p),
 c AS (SELECT page_id, CAST(len(parts) - i + 1 AS BIGINT) AS depth, regexp_replace(parts[i], '(\.[A-Za-z][A-Za-z0-9]{1,4})+$', '') AS part, '/' || array_to_string(parts[1:i], '/') AS folder FROM r)
-SELECT * FROM c WHERE length(part) > 1 AND NOT regexp_matches(part, '^[0-9]+$')""")
+SELECT * FROM c WHERE length(part) > 1 AND NOT regexp_matches(part, '^[0-9]+$') AND lower(part) NOT IN ('info', 'cd2')""")
 def p4(t):
-    return op.path_components(t("pages").select("page_id", F.regexp_extract("url", "://([^?#]*)", 1).alias("path")), "page_id", "path", eligible_only=True)
+    return op.path_components(t("pages").select("page_id", F.concat(F.regexp_extract("url", "://([^?#]*)", 1), F.when(F.col("page_id") % 3 == 0, "/CD2").otherwise("")).alias("path")), "page_id", "path", eligible_only=True)
 
 
 @query("p5_storage_identity", r"""

@@ -1,5 +1,6 @@
 """Window operators."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfmark.operators import windows as op
@@ -10,17 +11,15 @@ _NUMBERED = "SELECT l_orderkey, l_linenumber, p_partkey, p_name FROM (SELECT l_o
 
 
 @query("w1_rank_documents", """
-WITH d AS (SELECT doc_id, source, source || '/' || CASE WHEN doc_id % 5 = 0 THEN 'info.txt' WHEN doc_id % 7 = 0 THEN 'Setlist' || doc_id || '.doc' ELSE 'notes' || doc_id || '.txt' END AS path, doc_id % 13 AS score0 FROM documents),
+WITH d AS (SELECT doc_id, source, source || '/' || CASE WHEN doc_id % 5 = 0 THEN doc_id || '/info.txt' WHEN doc_id % 7 = 0 THEN 'Setlist' || doc_id || '.doc' ELSE 'notes' || doc_id || '.txt' END AS path, doc_id % 13 AS score0 FROM documents),
 s AS (SELECT doc_id, source, path, CASE WHEN path LIKE '%.doc' THEN 1 ELSE 2 END AS tier,
   round(CASE WHEN path LIKE '%.doc' THEN 25 - length(split_part(path, '/', 2)) / 100 WHEN path LIKE '%/info.txt' THEN 3 * score0 + 48 - 0.08 ELSE 3 * score0 - length(split_part(path, '/', 2)) / 100 END, 4) AS score FROM d)
-SELECT doc_id, tier, row_number() OVER (PARTITION BY source ORDER BY tier, score DESC, lower(path), path, doc_id) AS rank FROM s WHERE path NOT LIKE '%info.txt'
-UNION ALL SELECT doc_id, tier, 0 FROM s WHERE path LIKE '%info.txt'""")
+SELECT doc_id, tier, row_number() OVER (PARTITION BY source ORDER BY tier, score DESC, lower(path), path) AS rank FROM s""")
 def w1(t):
     n = F.col("doc_id")
-    name = F.when(n % 5 == 0, "info.txt").when(n % 7 == 0, F.concat_ws("", F.lit("Setlist"), n, F.lit(".doc"))).otherwise(F.concat_ws("", F.lit("notes"), n, F.lit(".txt")))
+    name = F.when(n % 5 == 0, F.concat_ws("/", n, F.lit("info.txt"))).when(n % 7 == 0, F.concat_ws("", F.lit("Setlist"), n, F.lit(".doc"))).otherwise(F.concat_ws("", F.lit("notes"), n, F.lit(".txt")))
     docs = t("documents").select("doc_id", "source", F.concat("source", F.lit("/"), name).alias("path"), (n % 13).alias("c"))
-    one = op.rank_documents(docs.where("path not like '%info.txt'"), "source", "path", "c")
-    return one.select("doc_id", F.col("tier").cast("int").alias("tier"), "rank").union(docs.where("path like '%info.txt'").select("doc_id", F.lit(2), F.lit(0).cast("long")))
+    return op.rank_documents(docs, "source", "path", "c").select("doc_id", F.col("tier").cast("int").alias("tier"), "rank")
 
 
 @query("w2_rank_date_mentions", """
@@ -70,15 +69,35 @@ def w5_best(t):
     return op.best_run(runs, "l_orderkey", expected).select("l_orderkey", "starts", "n")
 
 
+@query("w5_sequence_parts", f"""
+WITH n AS ({_NUMBERED}), r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM n),
+i AS (
+  SELECT l_orderkey AS id, l_linenumber AS pos, l_linenumber AS number, false AS head FROM n
+  UNION ALL SELECT DISTINCT l_orderkey, 50, 55, false FROM n WHERE l_orderkey % 4 = 0
+  UNION ALL SELECT l_orderkey, 100 + l_linenumber, k - CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END, l_orderkey % 3 = 0 AND k = 1 FROM r),
+f AS (SELECT *, lag(number) OVER w AS b, lead(number) OVER w AS a FROM i WINDOW w AS (PARTITION BY id ORDER BY pos)),
+g AS (SELECT *, (head AND number IN (0, 1)) OR (number = 1 AND coalesce(a = 2, false)) AS begins, coalesce(number - b BETWEEN 1 AND 3, false) AS f1, coalesce(a - b BETWEEN 1 AND 3, false) AS f2 FROM f),
+k AS (SELECT *, coalesce(number - lag(number) OVER w BETWEEN 1 AND 3, false) AS goes FROM g WHERE begins OR f1 OR NOT f2 WINDOW w AS (PARTITION BY id ORDER BY pos)),
+p AS (SELECT *, sum(begins::INT) OVER (PARTITION BY id ORDER BY pos) AS part FROM k),
+q AS (SELECT *, max((NOT begins AND NOT goes)::INT) OVER (PARTITION BY id, part ORDER BY pos) AS broken FROM p)
+SELECT id, pos::BIGINT AS pos, number::BIGINT AS number, part::BIGINT AS part FROM q WHERE part > 0 AND broken = 0""")
+def w5_parts(t):
+    rows = numbered(t).select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("pos"))
+    k = F.row_number().over(Window.partitionBy("id").orderBy("pos")).cast("long")
+    again = rows.withColumn("k", k).select("id", (F.col("pos") + 100).alias("pos"), (F.col("k") - (F.col("id") % 3 == 0).cast("long")).alias("number"), ((F.col("id") % 3 == 0) & (F.col("k") == 1)).alias("head"))
+    odd = rows.where("id % 4 = 0").select("id", F.lit(50).cast("long").alias("pos"), F.lit(55).cast("long").alias("number"), F.lit(False).alias("head")).distinct()
+    return op.sequence_parts(rows.select("id", "pos", F.col("pos").alias("number"), F.lit(False).alias("head")).union(odd).union(again), "id", "pos", "number", "head")
+
+
 @query("w6_fill_sequence_gaps", f"""
-WITH n AS ({_NUMBERED}), e AS (SELECT l_orderkey, max(l_linenumber) AS n FROM n GROUP BY 1),
-w AS (SELECT e.l_orderkey, e.n, i AS number FROM e, range(1, 8) t(i) WHERE i <= e.n),
+WITH n AS ({_NUMBERED}), e AS (SELECT l_orderkey, max(l_linenumber) + CASE WHEN l_orderkey % 5 = 0 THEN 10 ELSE 0 END AS n FROM n GROUP BY 1),
+w AS (SELECT e.l_orderkey, e.n, i AS number FROM e, range(1, 18) t(i) WHERE i <= e.n),
 j AS (SELECT w.*, p_name AS title FROM w LEFT JOIN n ON n.l_orderkey = w.l_orderkey AND n.l_linenumber = w.number),
-m AS (SELECT *, count(*) FILTER (title IS NULL) OVER (PARTITION BY l_orderkey) AS missing FROM j)
-SELECT l_orderkey, number, coalesce(title, CASE WHEN number % 2 = 0 THEN 'other ' || number END, 'Unknown') AS title, title IS NULL AS filled FROM m WHERE missing <= greatest(3, n // 5)""")
+m AS (SELECT *, count(*) FILTER (title IS NULL) OVER (PARTITION BY l_orderkey) AS missing, max(number) FILTER (title IS NOT NULL) OVER (PARTITION BY l_orderkey) AS top FROM j)
+SELECT l_orderkey, number, coalesce(title, CASE WHEN number IN (2, 4, 6) THEN 'other ' || number END, 'Unknown') AS title, title IS NULL AS filled FROM m WHERE missing <= greatest(3, n // 5) OR (top = n - missing AND top >= 3)""")
 def w6(t):
     items = numbered(t).select("l_orderkey", F.col("l_linenumber").alias("number"), F.col("p_name").alias("title"))
-    expected = items.groupBy("l_orderkey").agg(F.max("number").alias("n"))
+    expected = items.groupBy("l_orderkey").agg(F.max("number").alias("n")).withColumn("n", F.col("n") + F.when(F.col("l_orderkey") % 5 == 0, 10).otherwise(0))
     other = expected.select("l_orderkey", F.explode(F.array(F.lit(2), F.lit(4), F.lit(6))).alias("number")).withColumn("title", F.concat_ws("", F.lit("other "), "number"))
     return op.fill_sequence_gaps(items, expected, "l_orderkey", other)
 
@@ -109,13 +128,11 @@ def w9(t):
 
 @query("w10_split_blocks", f"""
 WITH {BUILT}, c AS (SELECT l_orderkey AS doc_id, count(*) AS n FROM numbered GROUP BY 1)
-SELECT doc_id, 2 AS first_block, 2 AS last_block FROM built JOIN c USING (doc_id) WHERE doc_id % 3 <> 0 AND n <> 2""")
+SELECT doc_id, b AS first_block, b AS last_block FROM (SELECT doc_id, CASE WHEN n = 2 THEN 1 WHEN doc_id % 3 <> 0 THEN 2 END AS b FROM built JOIN c USING (doc_id)) WHERE b IS NOT NULL""")
 def w10(t):
-    docs = built_docs(t)
-    blocks = op.split_blocks(docs, "doc_id", "text")
+    blocks = op.split_blocks(built_docs(t), "doc_id", "text")
     expected = numbered(t).groupBy(F.col("l_orderkey").alias("doc_id")).agg((F.count("*") + 1).alias("expected"))
-    found = op.blocks_of_total(blocks, expected, "doc_id").where("doc_id % 3 <> 0 and first_block = 2")
-    return found.select("doc_id", F.col("first_block").cast("int"), F.col("last_block").cast("int"))
+    return op.blocks_of_total(blocks, expected, "doc_id").select("doc_id", F.col("first_block").cast("int"), F.col("last_block").cast("int"))
 
 
 @query("w11_select_source", """
@@ -142,11 +159,11 @@ def w12(t):
 
 
 @query("w13_structured_header", """
-SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'entity/venue/location/date' ELSE 'entity/date/venue/location' END AS shape, 'Act ' || c_custkey AS entity, strftime(o_orderdate, '%Y-%m-%d') AS date, c_mktsegment AS venue, 'Town, Land' AS location
+SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'entity/venue/location/date' WHEN 1 THEN 'entity/date/venue/location' ELSE 'entity/combined/date' END AS shape, 'Act ' || c_custkey AS entity, strftime(o_orderdate, '%Y-%m-%d') AS date, c_mktsegment AS venue, 'Town, Land' AS location
 FROM orders JOIN customer ON c_custkey = o_custkey""")
 def w13(t):
     rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    entity, date, place = F.concat_ws(" ", F.lit("Act"), "c_custkey"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("Town, Land")
-    text = F.when(F.col("o_orderkey") % 2 == 0, F.concat_ws("\n", entity, "c_mktsegment", place, date)).otherwise(F.concat_ws("\n", entity, date, "c_mktsegment", place))
+    entity, date, place, n = F.concat_ws(" ", F.lit("Act"), "c_custkey"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("Town, Land"), F.col("o_orderkey") % 3
+    text = F.when(n == 0, F.concat_ws("\n", entity, "c_mktsegment", place, date)).when(n == 1, F.concat_ws("\n", entity, date, "c_mktsegment", place)).otherwise(F.concat_ws("\n", entity, F.concat_ws(", ", "c_mktsegment", place), date))
     docs = rows.select(F.col("o_orderkey").alias("doc_id"), F.concat(text, F.lit("\n\n1. a\n2. b")).alias("text"))
     return op.structured_header(op.header_section(docs, "doc_id", "text"), "doc_id")

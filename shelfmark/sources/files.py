@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -17,9 +18,11 @@ END_OF_BLOCK = "END_SHOW_METADATA"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """New path in the shared folder of the cluster; a temporary one is set only where none is, as in tests."""
+    """New path in the shared folder of the cluster (`spark.checkpoint.dir`); a temporary one is set only where none is and all tasks run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
