@@ -357,8 +357,10 @@ def word_classes(chunks: DataFrame, k: int = 64, core_words: int = 512, rounds:
     bound = least_gain * (unigrams.agg(F.sum("n")).first()[0] or 0)
     now, reached = best, -np.inf
     for left in range(rounds, 0, -1):
-        placed = lean.mapInArrow(_places(True), "h long, chunk long, at int").join(now, "h").select("chunk", "at", "class")
+        # a table of its own, so that what its join has shuffled is gone before the rest is
+        placed = materialise(lean.mapInArrow(_places(True), "h long, chunk long, at int").join(now, "h").select("chunk", "at", "class"), "placed")
         words, grid = counted(lean.groupBy("chunk").cogroup(placed.groupBy("chunk")).applyInArrow(_round_contexts, kind))
+        discard(placed)
         gain = likelihood(grid) - reached
         if gain < 0:
             discard(words, now)
