@@ -2,39 +2,55 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import search, text
 from shelfmark.operators import dates as date_jobs
 from shelfmark.operators import filters, groups, joins, ordering, windows
-from shelfmark.operators.projections import compose_names, document_key
+from shelfmark.operators.projections import compose_names, document_key, path_components
 
 
-def resolve_records(folders: DataFrame, terms: DataFrame, mentions: DataFrame, sources: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Flexible resolution: (id, entity, date, venue, location, title, reason).
+def resolve_records(folders: DataFrame, terms: DataFrame, mentions: DataFrame, sources: list[tuple[str, DataFrame]], files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Flexible resolution: records (id, entity, date, venue, location, title, reason), and where sources disagree (entity, date, field, kept, offered, source).
 
-    folders: id, name, override, tag. The entity comes from the override, the tag, the part
-    before the date, or the left side of a spaced dash, whichever resolves first (terms:
-    entity, term); the date from the name, checked against the document's dates
-    (mentions: id, date). sources (entity, date, venue, location) fill what is blank.
-    Unresolved records keep a reason in words.
+    folders: id, name, override, tag, path. The entity comes from the override, the tag, the
+    part before the date, the left side of a spaced dash, path components as "entity date",
+    or path components, the deepest first, whichever resolves first (terms: entity, term).
+    The date comes from the name, else the path, else names of files (files: id, name), else
+    the document (mentions: id, date), and is checked against the document's dates. sources
+    (entity, date, venue, location) fill what is blank. Unresolved records keep a reason in
+    words.
     """
     names = folders.select("id", "name")
     around = date_jobs.split_around_date(names, "id", "name").where("mention = 1").select("id", F.col("before").alias("d_before"), F.col("date").alias("d_date"), F.col("after").alias("d_after"))
     dashed = date_jobs.split_on_dash(names, "id", "name").select("id", "left", "right")
     rows = folders.join(around, "id", "left").join(dashed, "id", "left")
-    candidates = F.array(*[F.struct(F.lit(i).alias("at"), text.blank_to_null(F.col(c)).alias("name")) for i, c in enumerate(("override", "tag", "d_before", "left"))])
-    tried = rows.select("id", F.explode(candidates).alias("c")).select(F.struct("id", "c.at").alias("try"), "c.name").where("name is not null")
+    parts = path_components(folders, "id", "path", eligible_only=True).select("id", "depth", "part")
+    dated_parts = date_jobs.split_around_date(parts.withColumn("at", F.struct("id", "depth")), "at", "part").where("mention = 1").select("at.id", "at.depth", "before", "date")
+
+    candidates = F.array(*[F.struct(F.lit(i).cast("long").alias("at"), text.blank_to_null(F.col(c)).alias("name")) for i, c in enumerate(("override", "tag", "d_before", "left"))])
+    tried = rows.select("id", F.explode(candidates).alias("c")).select("id", "c.at", "c.name")
+    tried = tried.unionByName(dated_parts.select("id", (F.col("depth") + 100).alias("at"), F.col("before").alias("name"))).unionByName(parts.select("id", (F.col("depth") + 10_000).alias("at"), F.col("part").alias("name")))
+    tried = tried.where("name is not null").select(F.struct("id", "at").alias("try"), "name")
     hits = joins.resolve_aliases(tried, "try", "name", terms).where("status = 'matched'").groupBy(F.col("try.id").alias("id")).agg(F.min_by(F.col("candidates")[0], F.col("try.at")).alias("entity"))
-    dated = rows.where("d_date is not null").select("id", F.col("d_date").alias("date"))
-    agreed = date_jobs.match_compatible_dates(date_jobs.prefer_complete_dates(dated, "id"), mentions, "id").select("id", "date", F.col("conflict").alias("date_conflict"))
+
+    told = [rows.where("d_date is not null").select("id", F.lit(1).alias("rank"), F.col("d_date").alias("date")), dated_parts.select("id", F.lit(2).alias("rank"), "date"), mentions.select("id", F.lit(4).alias("rank"), "date")]
+    if files is not None:
+        named = files.withColumn("at", F.struct("id", "name"))
+        told.append(date_jobs.extract_dates(named, "at", "name").where("kind <> 'range'").select("at.id", F.lit(3).alias("rank"), F.col("normal").alias("date")))
+    ranked = reduce(DataFrame.unionByName, told).groupBy("id", "rank").agg(F.collect_set("date").alias("dates"))
+    first = ranked.groupBy("id").agg(F.min_by("dates", "rank").alias("dates")).select("id", F.explode("dates").alias("date"))
+    agreed = date_jobs.match_compatible_dates(date_jobs.prefer_complete_dates(first, "id"), mentions, "id").select("id", "date", F.col("conflict").alias("date_conflict"))
+
     out = rows.select("id", text.blank_to_null(F.coalesce("d_after", "right")).alias("venue")).join(hits, "id", "left").join(agreed, "id", "left").withColumn("location", F.lit(None).cast("string"))
-    filled, _ = joins.enrich_fill_blanks(out, sources, ["entity", "date"], ["venue", "location"], ["venue", "location"])
+    filled, conflicts = joins.enrich_fill_blanks(out, sources, ["entity", "date"], ["venue", "location"], ["venue", "location"])
     title = compose_names(F.col("entity"), F.col("date"), [F.col("venue"), F.col("location")], F.lit(""))
     titled = filled.withColumn("title", F.when(F.col("date_conflict").isNull(), title))
     reason = F.when(F.col("title").isNull(), F.concat_ws("; ", F.lit("blank name"), F.when(F.col("entity").isNull(), "blank entity"), F.when(F.col("date_conflict").isNotNull(), "in conflict")))
-    return titled.select("id", "entity", "date", "venue", "location", "title", reason.alias("reason"))
+    return titled.select("id", "entity", "date", "venue", "location", "title", reason.alias("reason")), conflicts
 
 
 def resolve_records_strict(folders: DataFrame, terms: DataFrame) -> DataFrame:
@@ -57,9 +73,12 @@ def resolve_records_strict(folders: DataFrame, terms: DataFrame) -> DataFrame:
     return out.select("id", "pattern", "entity", "date", "tail", title.alias("title"))
 
 
-def build_catalog(records: DataFrame, documents: DataFrame, titles: DataFrame, catalog: DataFrame, roots: DataFrame) -> dict[str, DataFrame]:
+def build_catalog(records: DataFrame, documents: DataFrame, titles: DataFrame, catalog: DataFrame, roots: DataFrame, conflicts: DataFrame | None = None) -> dict[str, DataFrame]:
     """Catalog, document and report tables of a run.
 
+    conflicts: ord, root, source, message; the summary holds them and the records without
+    a title.
+
     records: id, ord, title, entity, date, venue, location, label, path. documents: id, ord,
     text. titles: id, number, title. catalog: title, label, path. roots: label, root that
     were scanned again. Records without documents get a generated one; documents of one
@@ -75,7 +94,9 @@ def build_catalog(records: DataFrame, documents: DataFrame, titles: DataFrame, c
     kept, replaced = joins.replace_scopes(catalog, "label", "path", roots)
     rows = ordering.refresh_catalog(kept.select("title", "label", "path"), named.select("title", "label", "path"))
     unresolved = filters.unresolved_records(records, F.col("title"), F.col("entity"), F.lit(False)).select("id", "reason")
-    return {"catalog": rows, "documents": placed, "replaced": replaced, "unresolved": unresolved}
+    blank = records.join(unresolved, "id").select("ord", F.lit(None).cast("string").alias("root"), F.coalesce("path", F.lit("")).alias("source"), F.concat_ws(" ", "label", "path", "reason").alias("message"))
+    summary = groups.conflict_summary(blank.limit(0) if conflicts is None else conflicts, blank)
+    return {"catalog": rows, "documents": placed, "replaced": replaced, "unresolved": unresolved, "summary": summary}
 
 
 def search_catalog(rows: DataFrame, columns: list[str], expression: str, documents: DataFrame, deep: bool = False) -> DataFrame:

@@ -24,18 +24,32 @@ def known_terms(t):
     return t("customer").select(F.col("c_name").alias("entity"), F.col("c_name").alias("term"))
 
 
-@query("e1_resolve_records", """
-WITH r AS (SELECT o_orderkey AS id, c_name, n_name, o_orderkey % 5 AS n, o_orderkey % 10 AS m, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
-e AS (SELECT id, CASE WHEN n = 1 AND m <> 1 THEN NULL ELSE c_name END AS entity, CASE WHEN n = 0 OR id % 15 = 2 THEN NULL ELSE d END AS date, CASE WHEN n = 4 THEN NULL ELSE n_name END AS v, id % 15 = 2 AS bad, n FROM r),
-f AS (SELECT *, n = 4 AS filled FROM e)
-SELECT id, entity, date, CASE WHEN filled THEN 'Hall' ELSE v END AS venue, CASE WHEN entity IS NOT NULL AND date IS NOT NULL THEN 'Town' END AS location,
-  CASE WHEN entity IS NOT NULL AND NOT bad THEN entity || ' ' || coalesce(date, 'xxxx-xx-xx') || ' ' || CASE WHEN filled THEN 'Hall' ELSE v END || CASE WHEN date IS NOT NULL THEN ' Town' ELSE '' END END AS title,
+_E1 = """
+WITH r AS (SELECT o_orderkey AS id, c_name, n_name, c_mktsegment, o_orderkey % 5 AS n, o_orderkey % 10 AS m, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+e AS (SELECT *, CASE WHEN n = 1 AND m <> 1 AND id % 3 <> 0 THEN NULL ELSE c_name END AS entity, CASE WHEN (n = 0 AND id % 2 = 1) OR id % 15 = 2 THEN NULL ELSE d END AS date, id % 15 = 2 AS bad FROM r),
+f AS (SELECT *, CASE WHEN n = 4 THEN c_mktsegment ELSE n_name END AS venue, CASE WHEN entity IS NOT NULL AND date IS NOT NULL THEN 'Town of ' || n_name END AS location FROM e)"""
+
+
+def _resolved(t):
+    rows = folders(t).withColumn("path", F.concat(F.lit("/store/"), F.when(F.col("id") % 3 == 0, F.concat("c_name", F.lit("/cd1"))).otherwise("misc")))
+    mentions = rows.where("id % 15 = 2").select("id", F.lit("1900-01-01").alias("date")).unionByName(rows.where("id % 20 = 10").select("id", F.col("d").alias("date")))
+    files = rows.where("id % 20 = 0").select("id", F.concat(F.lit("t01 "), "d", F.lit(".flac")).alias("name"))
+    places = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_name", F.col("c_mktsegment").alias("venue"), F.concat(F.lit("Town of "), "n_name").alias("location"))
+    performances = rows.select("c_name", F.col("d").alias("date")).distinct().join(places, "c_name").withColumnRenamed("c_name", "entity")
+    return op.resolve_records(rows.select("id", "name", "override", "tag", "path"), known_terms(t), mentions, [("store", performances)], files)
+
+
+@query("e1_resolve_records", _E1 + """
+SELECT id, entity, date, venue, location,
+  CASE WHEN entity IS NOT NULL AND NOT bad THEN entity || ' ' || coalesce(date, 'xxxx-xx-xx') || ' ' || venue || coalesce(' ' || location, '') END AS title,
   CASE WHEN entity IS NULL THEN 'blank name; blank entity' WHEN bad THEN 'blank name; in conflict' END AS reason FROM f""")
 def e1(t):
-    rows = folders(t)
-    mentions = rows.where("id % 15 = 2").select("id", F.lit("1900-01-01").alias("date"))
-    performances = rows.select(F.col("c_name").alias("entity"), F.col("d").alias("date"), F.lit("Hall").alias("venue"), F.lit("Town").alias("location")).distinct()
-    return op.resolve_records(rows.select("id", "name", "override", "tag"), known_terms(t), mentions, [("store", performances)])
+    return _resolved(t)[0]
+
+
+@query("e1_conflicts", _E1 + " SELECT entity, date, 'venue' AS field, n_name AS kept, c_mktsegment AS offered, 'store' AS source FROM f WHERE n <> 4 AND entity IS NOT NULL AND date IS NOT NULL")
+def e1_conflicts(t):
+    return _resolved(t)[1]
 
 
 @query("e2_resolve_records_strict", """
@@ -65,6 +79,13 @@ def e3_documents(t):
     return _built(t)["documents"].select("id", "document", F.md5("text").alias("text_md5"))
 
 
+@query("e3_summary", """
+SELECT 1 AS part, o_orderkey AS ord, c_mktsegment || ' /' || c_nationkey || '/' || o_orderkey || ' blank name' AS message FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderdate >= TIMESTAMP '1999-01-01' AND o_orderkey % 20 = 0
+UNION ALL SELECT 0, o_orderkey, 'date of ' || c_name FROM (SELECT *, row_number() OVER (PARTITION BY c_name ORDER BY o_orderkey) AS k FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 7 = 0) WHERE k = 1""")
+def e3_summary(t):
+    return _built(t)["summary"].select("part", "ord", "message")
+
+
 def _built(t):
     rows = titles(t).withColumns({"date": F.date_format("o_orderdate", "yyyy-MM-dd"), "label": F.col("c_mktsegment"), "path": F.concat_ws("/", F.lit(""), "c_nationkey", "o_orderkey")})
     rows = rows.withColumn("title", F.concat_ws(" ", "c_name", "date"))
@@ -74,17 +95,18 @@ def _built(t):
     listed = numbered(t).select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("number"), F.col("p_name").alias("title"))
     old = rows.where("o_orderdate < timestamp '1999-01-01'").select("title", "label", "path")
     roots = t("region").where("r_regionkey = 0").select(F.lit("building").alias("label"), F.lit("/3").alias("root"))
-    return op.build_catalog(records, documents, listed, old, roots)
+    conflicts = rows.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("ord"), F.col("label").alias("root"), F.col("path").alias("source"), F.concat(F.lit("date of "), "c_name").alias("message"))
+    return op.build_catalog(records, documents, listed, old, roots, conflicts)
 
 
 @query("e4_search_catalog", """
-SELECT p_partkey AS id, doc_id AS document, CASE WHEN doc_id IS NULL THEN NULL WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS tier, 'row' AS hit FROM part LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) ON doc_id = p_partkey
+SELECT p_partkey AS id, doc_id AS document, CASE WHEN doc_id IS NULL THEN NULL WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS tier, 'row' AS hit FROM part LEFT JOIN documents ON doc_id = p_partkey
 WHERE (p_name LIKE '%bolt%' AND p_size > 0 AND p_type = 'PROMO') OR p_brand = 'Brand#7'
-UNION ALL SELECT doc_id, doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END, 'document' FROM documents JOIN part ON p_partkey = doc_id WHERE doc_id % 2 = 0 AND contains(lower(text), 'license')""")
+UNION ALL SELECT doc_id, doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END, 'document' FROM documents JOIN part ON p_partkey = doc_id WHERE contains(lower(text), 'license')""")
 def e4(t):
     rows = t("part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("K"), F.col("p_partkey").cast("string")).alias("key"), "p_name", "p_type", F.concat(F.lit("<"), "p_brand", F.lit(">")).alias("brand"))
     key = F.concat(F.lit("K"), F.col("doc_id").cast("string"))
-    documents = t("documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("document"), F.when(F.col("doc_id") % 3 == 0, F.concat(key, F.lit("(alt1)"))).otherwise(key).alias("key"), "text")
+    documents = t("documents").select(F.col("doc_id").alias("document"), F.when(F.col("doc_id") % 3 == 0, F.concat(key, F.lit("(alt1)"))).otherwise(key).alias("key"), "text")
     plain = op.search_catalog(rows, ["p_name", "p_type", "brand"], "bolt |AND| promo |OR| '<Brand#7>'", documents)
     return plain.unionByName(op.search_catalog(rows, ["p_name"], "license", documents, deep=True)).withColumn("tier", F.col("tier").cast("int"))
 
