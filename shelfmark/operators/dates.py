@@ -139,12 +139,14 @@ def labelled_fields(docs: DataFrame, key: str, body: str, labels: dict[str, str]
     return rows.groupBy(key).agg(*[F.min_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("pos"))).alias(f) for f in fields])
 
 
-_ITEM = ("^(?:track|trk)\\s*([0-9]{1,3})\\s*[.:)_ -]\\s*(\\S.*)$", "^(?:d|cd|disc|s|set)\\s*[0-9]{1,2}[ -]*t\\s*([0-9]{1,3})[ ._-]*(\\S.*)$", "^[\\[(]([0-9]{1,3})[\\])]\\s*[.:-]?\\s*(\\S.*)$", "^([0-9]{1,3})[a-b]?\\s*[.):]\\s*(\\S.*)$", "^([0-9]{1,3})\\s*-\\s*(\\S.*)$", "^([0-9]{1,3})\\s+([A-Za-z].*)$")
+#: A line that can be an item begins like this; one test spares most lines the others.
+_ITEM_BEGIN = "^(?:[0-9\\[(]|t|d|cd|s|[a-d][0-9])"
+_ITEM = ("^[0-9]-([0-9]{2})\\s*[.):-]?\\s+(\\S.*)$", "^[a-d]([0-9]{1,2})\\s*[.):-]\\s*(\\S.*)$", "^(?:track|trk)\\s*([0-9]{1,3})\\s*[.:)_ -]\\s*(\\S.*)$", "^(?:d|cd|disc|s|set)\\s*[0-9]{1,2}[ -]*t\\s*([0-9]{1,3})[ ._-]*(\\S.*)$", "^[\\[(]([0-9]{1,3})[\\])]\\s*[.:-]?\\s*(\\S.*)$", "^([0-9]{1,3})[a-b]?\\s*[.):]\\s*(\\S.*)$", "^([0-9]{1,3})\\s*-\\s*(\\S.*)$", "^([0-9]{1,3})\\s+([A-Za-z].*)$")
 
 
 def numbered_items(docs: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, pos, number, title): lines of numbered lists; checksum lines, dates, bare durations and headings are none."""
-    rows = lines(docs, key, body).withColumn("line", F.trim("line"))
+    """(key, pos, number, title): lines of numbered lists; checksum lines, dates, bare durations and headings are none. Numbers may have a disc ("1-03") or a side ("A1.") before them."""
+    rows = lines(docs, key, body).withColumn("line", F.trim("line")).where(F.col("line").rlike(f"(?i){_ITEM_BEGIN}"))
     one = text.compact(F.col("line"))
     checksum = one.rlike("[0-9]") & F.array_max(F.array(*[one.rlike(p) for p in rules.CHECKSUM_LINES]))
     other = one.rlike("^[0-9]{1,4}[-./][0-9]{1,2}[-./][0-9]{1,4}") | one.rlike("^[0-9]{1,2}:[0-9]{2}")

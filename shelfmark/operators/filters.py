@@ -89,9 +89,9 @@ def is_prose(line: Column) -> Column:
     return (bare == "") | (prose & ~label)
 
 
-def prose_line_filter(docs: DataFrame, key: str, body: str, limit: int = 80) -> DataFrame:
+def prose_line_filter(docs: DataFrame, key: str, body: str) -> DataFrame:
     """(key, pos, line, role): header for short lines, prose for sentences, leading for prose before the first header line."""
-    rows = lines(docs, key, body, limit).withColumn("prose", is_prose(F.col("line")))
+    rows = lines(docs, key, body).withColumn("prose", is_prose(F.col("line")))
     first = F.min(F.when(~F.col("prose"), F.col("pos"))).over(Window.partitionBy(key))
-    role = F.when(~F.col("prose"), "header").when(F.col("pos") < F.coalesce(first, F.lit(limit)), "leading").otherwise("prose")
+    role = F.when(~F.col("prose"), "header").when(first.isNull() | (F.col("pos") < first), "leading").otherwise("prose")
     return rows.select(key, "pos", "line", role.alias("role"))

@@ -56,26 +56,45 @@ def scan_phrases(df: DataFrame, key: str, line: str, phrases: DataFrame, widest:
     return hits.join(best, [key, "width"]).select(key, "phrase", F.col("width").cast("long").alias("width"))
 
 
+# Score of a dictionary hit.
+HIT, LETTERS, EARLY, FIRST_LINES = 72, 20.0, 15, 10
+
+
 def best_dictionary_hit(docs: DataFrame, key: str, body: str, phrases: DataFrame, widest: int = 4) -> DataFrame:
-    """(key, phrase, line, score): best entry by 72 + min(20, size / 4) - line / 2, and 15 more in the first ten lines; ties by line, then entry."""
-    hits = grams(lines(docs, key, body, 100), [key, "pos"], "line", widest).join(_phrases(phrases), "gram")
-    first = hits.groupBy(key, "phrase").agg(F.min("pos").alias("line"))
-    score = 72 + F.least(F.lit(20.0), F.length("phrase") / 4) - F.col("line") / 2 + F.when(F.col("line") < 10, 15).otherwise(0)
+    """(key, phrase, line, score): best entry by 72 + min(20, size / 4) - line / 2, and 15 more in the first ten lines; ties by line, then entry.
+
+    Word windows of a document are reduced to distinct ones with their first line inside
+    the row, so each goes to the dictionary once.
+    """
+    split = F.split(F.regexp_replace(F.coalesce(F.col(body), F.lit("")), "\r\n?", "\n"), "\n")
+
+    def windows(line: Column, pos: Column) -> Column:
+        words = F.split(text.compare_key(line), " ")
+        wide = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.struct(F.array_join(F.slice(words, i, n), " ").alias("gram"), pos.alias("pos")))
+        return wide(F.lit(1)) if widest == 1 else F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(widest), F.size(words))), wide))
+
+    every = docs.select(key, F.array_sort(F.flatten(F.transform(split, windows))).alias("g"))
+    first_of = F.filter("g", lambda x, i: (x["gram"] != "") & ((i == 0) | (F.get("g", i - 1)["gram"] != x["gram"])))
+    found = every.select(key, F.explode(first_of).alias("x")).select(key, "x.gram", F.col("x.pos").alias("line"))
+    first = found.join(_phrases(phrases), "gram").groupBy(key, "phrase").agg(F.min("line").alias("line"))
+    score = HIT + F.least(F.lit(LETTERS), F.length("phrase") / 4) - F.col("line") / 2 + F.when(F.col("line") < FIRST_LINES, EARLY).otherwise(0)
     best = first.withColumn("score", score).groupBy(key).agg(F.min(F.struct(-F.col("score"), F.col("line").alias("line"), F.col("phrase").alias("phrase"), F.col("score").alias("score"))).alias("b"))
     return best.select(key, "b.phrase", F.col("b.line").cast("long").alias("line"), "b.score")
 
 
 def geo_resolve(df: DataFrame, key: str, tail: str, places: DataFrame, widest: int = 4) -> DataFrame:
-    """(key, rest, city, region, country) of a free text whose end names places.
+    """(key, rest, venue, city, region, country) of a free text whose end names places.
 
-    places: term, kind (country, region or city), canonical, region, country. The longest
-    country, region and city term are taken off the end in this order; a place fills the
-    wider fields that its row knows. A countryless region or city must agree with what is
-    already known.
+    places: term, kind (country, region, city or venue), canonical, region, country. The
+    longest country, region, city and venue term are taken off the end in this order; a
+    place fills the wider fields that its row knows, so a short form such as "nyc" anchors
+    all of them. A region with its country in one term, and a countryless region or city,
+    must agree with what is already known.
     """
-    known = places.select(text.compare_key(F.col("term")).alias("term"), "kind", "canonical", "region", "country")
-    out = df.select(key, text.compare_key(F.col(tail)).alias("rest")).withColumns({"city": F.lit(None).cast("string"), "region": F.lit(None).cast("string"), "country": F.lit(None).cast("string")})
-    for kind in ("country", "region", "city"):
+    both = places.where("kind = 'region' and country is not null").select(F.concat_ws(" ", "term", "country").alias("term"), F.lit("region").alias("kind"), "canonical", "region", "country")
+    known = places.select("term", "kind", "canonical", "region", "country").unionByName(both).select(text.compare_key(F.col("term")).alias("term"), "kind", "canonical", "region", "country")
+    out = df.select(key, text.compare_key(F.col(tail)).alias("rest")).withColumns({"city": F.lit(None).cast("string"), "region": F.lit(None).cast("string"), "country": F.lit(None).cast("string"), "venue": F.lit(None).cast("string")})
+    for kind in ("country", "region", "city", "venue"):
         words = F.split("rest", " ")
         ends = F.transform(F.sequence(F.lit(1), F.least(F.lit(widest), F.size(words))), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(words, F.size(words) - n + 1, n), " ").alias("term")))  # noqa: B023
         own = known.where(F.col("kind") == kind).select("term", "canonical", F.col("region").alias("p_region"), F.col("country").alias("p_country"))
@@ -86,7 +105,7 @@ def geo_resolve(df: DataFrame, key: str, tail: str, places: DataFrame, widest: i
             "rest": F.when(F.col("b").isNotNull(), F.array_join(F.slice(words, 1, F.greatest(F.size(words) + F.col("b.n"), F.lit(0))), " ")).otherwise(F.col("rest")),
             kind: F.coalesce(F.col("b.canonical"), kind),
             **({} if kind == "country" else {"country": F.coalesce("country", F.col("b.p_country"))}),
-            **({"region": F.coalesce("region", F.col("b.p_region"))} if kind == "city" else {}),
+            **({"region": F.coalesce("region", F.col("b.p_region"))} if kind in ("city", "venue") else {}),
         }).drop("b")
     return out
 

@@ -74,14 +74,35 @@ def s5(t):
 
 
 @query("s6_write_audit_log", """
-SELECT field, count(*) AS n, CAST(sum(confidence) AS BIGINT) AS confidence FROM (
-  SELECT 'name' AS field, 80 AS confidence FROM customer UNION ALL SELECT 'segment', 50 FROM customer WHERE c_mktsegment <> 'BUILDING') GROUP BY field""")
+SELECT kind, field, count(*) AS n, CAST(sum(confidence) AS BIGINT) AS confidence, CAST(sum(length(value)) AS BIGINT) AS chars FROM (
+  SELECT 'evidence' AS kind, 'name' AS field, 80 AS confidence, c_name AS value FROM customer UNION ALL SELECT 'evidence', 'segment', 50, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING'
+  UNION ALL SELECT 'conflict', 'segment', NULL, c_mktsegment || ' | ' || c_nationkey FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT 'observation', 'note', NULL, c_name FROM customer WHERE c_custkey % 5 = 0) GROUP BY kind, field""")
 def s6(t):
+    customer = t("customer")
     fields = {"name": (F.col("c_name"), "customer", F.lit(80)), "segment": (F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")), "customer", F.lit(50))}
-    evidence = groups.evidence_table(t("customer"), "c_custkey", fields)
+    evidence = groups.evidence_table(customer, "c_custkey", fields)
+    conflicts = customer.where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("record"), F.lit("segment").alias("field"), F.col("c_mktsegment").alias("kept"), F.col("c_nationkey").cast("string").alias("offered"), F.lit("nation").alias("source"))
+    notes = customer.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("record"), F.col("c_name").alias("text"))
     path = files.scratch(evidence.sparkSession, "audit")
-    files.write_audit_log(evidence, path)
-    return evidence.sparkSession.read.parquet(path).groupBy("field").agg(F.count("*").alias("n"), F.sum("confidence").alias("confidence")).select(F.col("field").cast("string").alias("field"), "n", "confidence")
+    files.write_audit_log(evidence, path, conflicts, notes)
+    found = evidence.sparkSession.read.parquet(path).groupBy("kind", "field").agg(F.count("*").alias("n"), F.sum("confidence").alias("confidence"), F.sum(F.length("value")).alias("chars"))
+    return found.select(F.col("kind").cast("string").alias("kind"), F.col("field").cast("string").alias("field"), "n", "confidence", "chars")
+
+
+@query("s7_entity_terms", """
+SELECT c_custkey AS entity_id, c_name AS entity, lower(c_name) AS term, 0::BIGINT AS "order" FROM customer
+UNION ALL SELECT c_custkey, c_name, 'also ' || c_custkey, 1 FROM customer WHERE c_custkey % 2 = 0""".replace("lower(c_name) AS term", "trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS term"))
+def s7_terms(t):
+    """Dictionary files with headers, comments and blank lines, read back."""
+    customer = t("customer").where("c_name is not null")
+    spark, path = customer.sparkSession, files.scratch(customer.sparkSession, "dictionary")
+    key = F.col("c_custkey").cast("string")
+    names = customer.select(F.explode(F.array(F.concat_ws("^", key, "c_name"), F.lit("# comment"), F.lit("  "))).alias("value"))
+    aliases = customer.where("c_custkey % 2 = 0").select(F.explode(F.array(F.concat_ws("^", key, F.concat(F.lit("Also "), key)), F.concat_ws("^", key, F.concat(F.lit("ALSO, "), key)))).alias("value"))
+    names.write.text(f"{path}/names")
+    aliases.write.text(f"{path}/aliases")
+    read = tables.read_dictionary
+    return tables.entity_terms(read(spark, f"{path}/names", ["id", "name"]), read(spark, f"{path}/aliases", ["id", "alias"])).withColumn("entity_id", F.col("entity_id").cast("long"))
 
 
 @query("s7_read_reference_tables", """

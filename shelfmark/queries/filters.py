@@ -78,13 +78,13 @@ def f8(t):
 
 
 @query("f9_prose_line_filter", r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))[:80]) AS line, unnest(range(0, least(80, len(string_split(text, chr(10)))))) AS pos FROM documents),
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),
 b AS (SELECT *, regexp_replace(line, '^[\s*_=#~-]+|[\s*_=#~-]+$', '', 'g') AS bare FROM l),
 w AS (SELECT *, len(regexp_extract_all(bare, '[A-Za-z]+')) AS words, len(regexp_extract_all(bare, '(^|[^A-Za-z])[a-z]')) AS low, regexp_matches(bare, '[.!?;]') AS marks FROM b),
 p AS (SELECT *, bare = '' OR ((words = 0 OR words >= 10 OR (words >= 7 AND (marks OR low / greatest(words, 1) >= 0.45)) OR (words >= 5 AND marks AND low / greatest(words, 1) >= 0.3))
   AND NOT regexp_matches(bare, '^[A-Za-z]+\s*:')) AS prose FROM w),
 r AS (SELECT *, min(CASE WHEN NOT prose THEN pos END) OVER (PARTITION BY doc_id) AS first_ FROM p)
-SELECT CASE WHEN NOT prose THEN 'header' WHEN pos < coalesce(first_, 80) THEN 'leading' ELSE 'prose' END AS role, doc_id, count(*) AS n FROM r GROUP BY ALL""")
+SELECT CASE WHEN NOT prose THEN 'header' WHEN first_ IS NULL OR pos < first_ THEN 'leading' ELSE 'prose' END AS role, doc_id, count(*) AS n FROM r GROUP BY ALL""")
 def f9(t):
     return op.prose_line_filter(t("documents"), "doc_id", "text").groupBy("role", "doc_id").agg(F.count("*").alias("n"))
 

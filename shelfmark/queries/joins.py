@@ -52,36 +52,44 @@ def j3(t):
     return op.scan_phrases(part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_name").alias("line")), "id", "line", phrases)
 
 
-_FREQUENT = "SELECT word AS phrase FROM (SELECT unnest(string_split(trim(regexp_replace(replace(lower(text), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), ' ')) AS word FROM documents) WHERE length(word) >= 6 GROUP BY word HAVING count(*) BETWEEN 20 AND 60"
+_FREQUENT = """c AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(trim(regexp_replace(replace(lower(text), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), ' ')) AS word FROM documents) GROUP BY word),
+d AS (SELECT word AS phrase FROM c WHERE length(word) >= 6 AND 100000 * n BETWEEN 5 * (SELECT sum(n) FROM c) AND 20 * (SELECT sum(n) FROM c))"""
 
 
 @query("j4_best_dictionary_hit", f"""
-WITH d AS ({_FREQUENT}),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))[:100]) AS line, unnest(range(0, least(100, len(string_split(text, chr(10)))))) AS pos FROM documents),
+WITH {_FREQUENT},
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),
 g AS (SELECT DISTINCT doc_id, pos, unnest({_LINE_WORDS}) AS gram FROM l),
 f AS (SELECT doc_id, phrase, min(pos) AS line FROM g JOIN d ON phrase = gram GROUP BY 1, 2),
 s AS (SELECT *, 72 + least(20.0, length(phrase) / 4) - line / 2 + CASE WHEN line < 10 THEN 15 ELSE 0 END AS score FROM f)
 SELECT doc_id, phrase, line, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line, phrase) AS rn FROM s) WHERE rn = 1""")
 def j4(t):
     docs = t("documents")
-    words = docs.select(F.explode(F.split(text.compare_key(F.col("text")), " ")).alias("phrase")).where("length(phrase) >= 6").groupBy("phrase").count()
-    return op.best_dictionary_hit(docs, "doc_id", "text", words.where("count between 20 and 60").select("phrase"), widest=1)
+    words = docs.select(F.explode(F.split(text.compare_key(F.col("text")), " ")).alias("phrase")).groupBy("phrase").count()
+    total = words.agg(F.sum("count").alias("total"))
+    frequent = words.where("length(phrase) >= 6").crossJoin(F.broadcast(total)).where("100000 * count between 5 * total and 20 * total")  # one row
+    return op.best_dictionary_hit(docs, "doc_id", "text", frequent.select("phrase"), widest=1)
 
 
 @query("j5_geo_resolve", """
-SELECT c_custkey, CASE c_custkey % 3 WHEN 2 THEN 'hall ' ELSE 'club ' END || c_custkey AS rest, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) || ' town' END AS city,
-  CASE WHEN c_custkey % 3 < 2 THEN n_name END AS region, r_name AS country
-FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""")
+WITH c AS (SELECT c_custkey, c_custkey % 5 AS k, lower(c_mktsegment) AS seg, n_name, r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
+SELECT c_custkey, CASE k WHEN 2 THEN 'hall ' WHEN 4 THEN 'old' ELSE 'club ' END || CASE WHEN k = 4 THEN '' ELSE c_custkey::VARCHAR END AS rest, CASE WHEN k = 4 THEN 'great ' || seg END AS venue,
+  CASE WHEN k IN (0, 4) THEN seg || ' town' WHEN k = 3 THEN 'capital of ' || n_name END AS city, CASE WHEN k <> 2 THEN n_name END AS region, r_name AS country FROM c""")
 def j5(t):
     nation, region = t("nation"), t("region")
     spots = t("customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
-    n = F.col("c_custkey") % 3
-    tail = F.concat_ws(", ", F.concat(F.when(n == 2, "Hall ").otherwise("Club "), F.col("c_custkey").cast("string")), F.when(n == 0, F.concat("c_mktsegment", F.lit(" Town"))), F.when(n < 2, F.col("n_name")), "r_name")
+    n = F.col("c_custkey") % 5
+    name = F.when(n == 4, F.concat(F.lit("Old, Great "), "c_mktsegment")).otherwise(F.concat(F.when(n == 2, "Hall ").otherwise("Club "), F.col("c_custkey").cast("string")))
+    # 0 and 4 with town, 1 region and country, 2 country, 3 a short form that anchors city, region and country
+    place = F.when(n.isin(0, 4), F.concat_ws(", ", F.concat("c_mktsegment", F.lit(" Town")), "n_name", "r_name")).when(n == 1, F.concat_ws(", ", "n_name", "r_name")).when(n == 2, F.col("r_name")).otherwise(F.concat(F.lit("CX"), "c_nationkey"))
     none = F.lit(None).cast("string")
     lands = region.select(F.col("r_name").alias("term"), F.lit("country").alias("kind"), F.col("r_name").alias("canonical"), none.alias("region"), none.alias("country"))
-    parts = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", F.lit("region"), "n_name", none, "r_name")
+    whole = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    parts = whole.select("n_name", F.lit("region"), "n_name", none, "r_name")
     towns = t("customer").select(F.concat(F.col("c_mktsegment"), F.lit(" Town")).alias("a"), F.lit("city"), F.concat(F.lower("c_mktsegment"), F.lit(" town")).alias("b"), none, none).distinct()
-    return op.geo_resolve(spots.select("c_custkey", tail.alias("tail")), "c_custkey", "tail", lands.union(parts).union(towns))
+    short = whole.select(F.concat(F.lit("CX"), "n_nationkey"), F.lit("city"), F.concat(F.lit("capital of "), "n_name"), "n_name", "r_name")
+    halls = t("customer").select(F.concat(F.lit("Great "), "c_mktsegment").alias("a"), F.lit("venue"), F.concat(F.lit("great "), F.lower("c_mktsegment")).alias("b"), none, none).distinct()
+    return op.geo_resolve(spots.select("c_custkey", F.concat_ws(", ", name, place).alias("tail")), "c_custkey", "tail", lands.union(parts).union(towns).union(short).union(halls))
 
 
 @query("j6_enrich_fill_blanks", """

@@ -1,7 +1,5 @@
 """Plans and streams."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from shelfmark.plans import catalog as op
@@ -151,9 +149,7 @@ def t2(t):
 @query("t3_running_reason_counts", "SELECT code, count(*) AS n FROM (SELECT CASE WHEN event_type = 'error' THEN regexp_extract(props, '([0-9]+)', 1) WHEN event_id % 5 = 0 THEN 'WARNING' END AS code FROM events) WHERE code IS NOT NULL GROUP BY code")
 def t3(t):
     log = log_lines(t)
-    spark, path, name = log.sparkSession, scratch(log.sparkSession, "log"), f"reasons_{uuid.uuid4().hex}"
+    spark, path = log.sparkSession, scratch(log.sparkSession, "log")
     log.select("line").write.text(f"{path}/lines")
-    arrivals.running_reason_counts(spark, f"{path}/lines", f"{path}/state", name).awaitTermination()
-    return spark.table(name)
-
-
+    arrivals.running_reason_counts(spark, f"{path}/lines", f"{path}/state", f"{path}/counts").awaitTermination()
+    return spark.read.parquet(f"{path}/counts")

@@ -113,6 +113,17 @@ def read_block_log(spark: SparkSession, path: str, keys: Sequence[str]) -> DataF
     return rows.where(F.coalesce("show", F.lit("")).cast("string").rlike("\\S") | F.coalesce("path", F.lit("")).rlike("\\S"))
 
 
-def write_audit_log(evidence: DataFrame, path: str) -> None:
-    """Audit rows (record, field, value, source, confidence) as Parquet, by field."""
-    evidence.write.partitionBy("field").parquet(path)
+def write_audit_log(evidence: DataFrame, path: str, conflicts: DataFrame | None = None, observations: DataFrame | None = None) -> None:
+    """Audit rows (record, kind, field, value, source, confidence) as Parquet, by kind and field.
+
+    evidence: record, field, value, source, confidence. conflicts: record, field, kept,
+    offered, source. observations: record, text.
+    """
+    rows = evidence.toDF("record", "field", "value", "source", "confidence").withColumn("kind", F.lit("evidence"))
+    none = F.lit(None)
+    if conflicts is not None:
+        told = F.concat_ws(" | ", "kept", "offered")
+        rows = rows.unionByName(conflicts.select("record", "field", told.alias("value"), "source", none.cast("long").alias("confidence"), F.lit("conflict").alias("kind")))
+    if observations is not None:
+        rows = rows.unionByName(observations.select("record", F.lit("note").alias("field"), F.col("text").alias("value"), none.cast("string").alias("source"), none.cast("long").alias("confidence"), F.lit("observation").alias("kind")))
+    rows.write.partitionBy("kind", "field").parquet(path)

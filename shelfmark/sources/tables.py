@@ -4,15 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text
 
-#: Tables and columns that an entity dictionary needs.
+# Tables and columns of an entity dictionary.
 REQUIRED = {"artists": ("artist_id", "source_row_number", "master_name"), "aliases": ("alias_id", "artist_id", "alias_text", "alias_order"), "terms": ("term_id", "artist_id", "term_text", "term_type", "term_order")}
 
 
+def read_dictionary(spark: SparkSession, path: str, columns: Sequence[str], sep: str = "^") -> DataFrame:
+    """Rows of a dictionary file as text columns; blank lines, comments (#) and missing trailing columns are allowed."""
+    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.trim("value").startswith("#"))
+    return lines.select(F.from_csv("value", ", ".join(f"`{c}` string" for c in columns), {"sep": sep}).alias("r")).select("r.*")
+
+
+def entity_terms(entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(entity_id, entity, term, order): comparison keys under which entities are found, the name first; of one entity's equal terms the first stays.
+
+    entities: id, name. aliases: id, alias.
+    """
+    names = entities.select("id", "name", F.col("name").alias("raw"), F.lit(0).cast("long").alias("order"))
+    more = aliases.join(entities, "id").select("id", "name", F.col("alias").alias("raw"), F.lit(1).cast("long").alias("order"))
+    keyed = names.unionByName(more).withColumn("term", text.compare_key(F.col("raw"))).where("term <> ''")
+    return keyed.groupBy(F.col("id").alias("entity_id"), F.col("name").alias("entity"), "term").agg(F.min("order").alias("order"))
+
+
 def place_dimension(countries: DataFrame, regions: DataFrame, cities: DataFrame, venues: DataFrame) -> DataFrame:
     """(key, kind, canonical, region, country, n_tokens): one row a key and kind, the first by canonical name.
 

@@ -14,11 +14,13 @@ from shelfmark.operators.joins import remove_rows
 def route(batch: DataFrame, catalog: DataFrame) -> DataFrame:
     """Adds route: duplicate where the title's comparison key is in the catalog or came earlier in the batch (by ord, name), error without a key, else new.
 
-    batch: name, ord, title. catalog: title.
+    batch: name, ord, title. catalog: title, or key.
     """
     keyed = batch.withColumn("key", text.compare_key(F.coalesce("title", F.lit(""))))
-    known = catalog.select(text.compare_key(F.col("title")).alias("key")).distinct().withColumn("known", F.lit(True))
-    first = F.row_number().over(Window.partitionBy("key").orderBy("ord", "name"))
+    keys = catalog.select("key" if "key" in catalog.columns else text.compare_key(F.col("title")).alias("key"))
+    known = keys.distinct().withColumn("known", F.lit(True))
+    # rows without a key are errors, each by itself
+    first = F.row_number().over(Window.partitionBy("key", F.when(F.col("key") == "", F.col("name"))).orderBy("ord", "name"))
     out = keyed.withColumn("nth", first).join(known, "key", "left")
     return out.withColumn("route", F.when(F.col("key") == "", "error").when(F.col("known") | (F.col("nth") > 1), "duplicate").otherwise("new")).drop("nth", "known")
 
@@ -28,16 +30,19 @@ def ingest_arrivals(arrivals: DataFrame, catalog_path: str, sink: str, checkpoin
 
     A batch that runs again after a failure overwrites its own output and is not judged
     against it, so each arrival counts once. The catalog is the first one (Parquet with
-    title) and all earlier batches' new rows.
+    title) and all earlier batches' new rows, of which only the keys are read, as one table.
     """
+    keys = f"{sink.rstrip('/')}-keys"
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        base = spark.read.parquet(catalog_path).select("title")
+        base = spark.read.parquet(catalog_path).select(text.compare_key(F.col("title")).alias("key"))
         if number:
-            earlier = spark.read.schema("name string, ord long, title string, key string, route string").parquet(*[f"{sink}/batch={n}" for n in range(number)])
-            base = base.unionByName(earlier.where("route = 'new'").select("title"))
-        route(batch, base).select("name", F.col("ord").cast("long").alias("ord"), "title", "key", "route").write.mode("overwrite").parquet(f"{sink}/batch={number}")
+            base = base.unionByName(spark.read.schema("key string, batch long").parquet(keys).where(F.col("batch") < number).select("key"))
+        routed = route(batch, base).select("name", F.col("ord").cast("long").alias("ord"), "title", "key", "route")
+        routed.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        done = spark.read.schema(routed.schema).parquet(f"{sink}/batch={number}")
+        done.where("route = 'new'").select("key").write.mode("overwrite").parquet(f"{keys}/batch={number}")
 
     return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -63,8 +68,12 @@ def resolve_duplicates(catalog: DataFrame, decisions: DataFrame, gone: DataFrame
     return remove_rows(catalog, gone, ["title", "path"]).unionByName(decisions.where("accept").select("title", "path"))
 
 
-def running_reason_counts(spark: SparkSession, path: str, checkpoint: str, name: str) -> StreamingQuery:
-    """Counts of reason codes over log lines that arrive as text files, as an in-memory table of that name."""
+def running_reason_counts(spark: SparkSession, path: str, checkpoint: str, sink: str) -> StreamingQuery:
+    """Counts of reason codes over log lines that arrive as text files, as a Parquet table at `sink` that every batch replaces."""
     log = spark.readStream.format("text").load(path).withColumnRenamed("value", "line")
     counts = reason_rows(log).groupBy("code").agg(F.count("*").alias("n"))
-    return counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(sink)
+
+    return counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
