@@ -133,3 +133,56 @@ def test_built_catalog_counts(spark):
     assert sorted(r.title for r in out["catalog"].collect()) == ["A 1999", "stays"]
     assert out["documents"].first().text == "Artist: A\nDate: 1999-01-01\nVenue: V\n\nTRACKS:\n01. Song"
     assert out["unresolved"].first().reason == "blank name"
+
+
+def test_dates_of_rows_that_share_a_key(spark):
+    rows = spark.createDataFrame([(1, "2001-04-14"), (1, "ab 2002-05-01"), (1, None)], "id int, t string")
+    assert sorted(r.normal for r in date_jobs.extract_dates(rows, "id", "t").collect()) == ["2001-04-14", "2002-05-01"]
+
+
+def test_every_mention_has_a_row(spark):
+    rows = spark.createDataFrame([(1, "1999-01-02 Hall 2000-03-04 Town")], "id int, t string")
+    got = [(r.mention, r.before, r.date, r.after, r.required) for r in date_jobs.split_around_date(rows, "id", "t").orderBy("mention").collect()]
+    assert got == [(1, "1999-01-02 Hall", "2000-03-04", "Town", True), (2, "", "1999-01-02", "Hall 2000-03-04 Town", False)]
+
+
+def test_item_forms(spark):
+    text_ = "A1. First\nb2) Second\n1-03 Third\n[4] Fourth\ntrack 5 - Fifth\n6. 2001-01-02\n2001-01-02\nplain words"
+    got = date_jobs.numbered_items(spark.createDataFrame([(1, text_)], "id int, t string"), "id", "t").orderBy("pos").collect()
+    assert [(r.number, r.title) for r in got][:5] == [(1, "First"), (2, "Second"), (3, "Third"), (4, "Fourth"), (5, "Fifth")]
+
+
+@pytest.mark.parametrize(
+    ("shown", "want"),
+    [("4 of 28 Song Title", "Song Title"), ("E: Midnight Hour", "Midnight Hour"), ("The Dance/ [12:25] tape flip", "The Dance"), ("Song 12:20 (end cut)", "Song"), ("[3:05] Song**", "Song"), ("Introduction 11-26", "Introduction"), ("-- 4:05 --", ""), ("1999", "1999"), ("...", "")],
+)
+def test_clean_titles(spark, shown, want):
+    assert value(spark, text.clean_title(F.col("s")), s=shown) == want
+
+
+def test_parts_of_a_list(spark):
+    rows = [(1, i, n, h) for i, (n, h) in enumerate([(1, False), (2, False), (77, False), (3, False), (1, False), (2, False), (0, True), (1, False), (9, False), (10, False)])]
+    got = windows.sequence_parts(spark.createDataFrame(rows, "id int, pos int, n int, head boolean"), "id", "pos", "n", "head").orderBy("pos").collect()
+    assert [(r.n, r.part) for r in got] == [(1, 1), (2, 1), (3, 1), (1, 2), (2, 2), (0, 3), (1, 3)]
+
+
+def test_headers_of_short_texts_and_rules(spark):
+    docs = spark.createDataFrame([(1, "Act\nHall\nTown\n-----\n1. Only"), (2, "Act\n27. Jazz Festival\nTown\nHall\nmore"), (3, "Act\n1. One\n=====\n2. Two\nthree")], "id int, t string")
+    got = {}
+    for r in windows.header_section(docs, "id", "t").orderBy("id", "pos").collect():
+        got.setdefault(r.id, []).append(r.line)
+    assert got == {1: ["Act", "Hall", "Town"], 2: ["Act", "27. Jazz Festival", "Town", "Hall", "more"], 3: ["Act"]}
+
+
+def test_unreadable_and_checksum_texts(spark):
+    sums = "\n".join(f"{i:032x} *t{i}.flac" for i in range(4))
+    docs = spark.createDataFrame([(1, "ab"), (2, "a\x00b\x00c\x00"), (3, sums), (4, "14 May 1999\nLive at the hall\n1. One"), (5, None), (6, "x" * 20 + "\x01" * 30)], "id int, t string")
+    got = {r.id: (r.unreadable, r.checksum_only, r.n_info) for r in groups.document_line_profile(docs, "id", "t").collect()}
+    assert {i: x[0] for i, x in got.items()} == {1: True, 2: True, 3: False, 4: False, 5: True, 6: True}
+    assert got[3][1] and got[3][2] == 0 and got[4][2] == 3
+
+
+def test_titles_of_single_letters(spark):
+    titles = spark.createDataFrame([(1, "A"), (2, "B")], "id int, title string")
+    docs = spark.createDataFrame([(1, "Side A of it"), (2, "Side A of it")], "id int, text string")
+    assert {r.id: r.confirmed for r in joins.confirm_titles(titles, docs, "id", "text").collect()} == {1: True, 2: False}
