@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import SLICE_BYTES, gather, materialise, sliding_argmin, spans, utf8, whole_text
+from shelfmark.llm.common import SLICE_BYTES, gather, materialise, sliding_argmin, spans, text_hash, utf8, whole_text
 
 _CHUNK = 1 << 20
 #: Byte ranges of a head by which pass 3 sorts.
@@ -270,19 +270,19 @@ def repeated_spans(docs: DataFrame, width: int = 200, gram: int = 32, step: int
     """
     texts = keyed(docs)
     kind = texts.schema["doc_id"].dataType.simpleString()
-    unit = f"digit long, full long, doc_id {kind}, th int, place long"
+    unit = f"digit long, full long, doc_id {kind}, th long, place long"
     whole, onward = _classified(texts.mapInArrow(_anchored(width, gram), unit), "anchors")
     wanted = onward.groupBy("doc_id", "th").agg(F.collect_list("place").alias("places"))
-    contexts = materialise(_joined(texts, wanted).mapInArrow(_context_table(width), f"doc_id {kind}, th int, base long, place long, body binary"), "contexts")
+    contexts = materialise(_joined(texts, wanted).mapInArrow(_context_table(width), f"doc_id {kind}, th long, base long, place long, body binary"), "contexts")
     whole_runs, onward_runs = _classified(contexts.mapInArrow(_runs(width, step), unit), "runs", overlapping=True)
     held = contexts.select("doc_id", "th", "base", "place", "body")
     lists = onward_runs.select("doc_id", "th", "place").groupBy("doc_id", "th").agg(F.collect_list("place").alias("runs"))
     near = F.filter("runs", lambda x: (x >= F.shiftright("place", 16) - step + 1) & (x <= F.shiftright("place", 16) + F.shiftright("place", 8).bitwiseAND(F.lit(255))))
     last = _joined(held, lists).withColumn("runs", near).where(F.size("runs") > 0).select("doc_id", "th", "base", "runs", "body")
-    columns = f"{', '.join(f'{d} long' for d in _DIGITS)}, full long, doc_id {kind}, th int, place long"
+    columns = f"{', '.join(f'{d} long' for d in _DIGITS)}, full long, doc_id {kind}, th long, place long"
     heads = materialise(last.mapInArrow(_singles(width, step), columns), "suffixes").select(*_DIGITS, "full", F.xxhash64("doc_id", "th").alias("who"), "doc_id", "th", "place")
     order = [*_DIGITS, "full", "who", "place"]
-    ranged = heads.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_equal_heads, f"{', '.join(f'{d} long' for d in _DIGITS)}, full long, who long, doc_id {kind}, th int, place long")
+    ranged = heads.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_equal_heads, f"{', '.join(f'{d} long' for d in _DIGITS)}, full long, who long, doc_id {kind}, th long, place long")
     ranged = materialise(ranged, "heads")
     borders = ranged.where("full is not null")  # two rows for each range
     open_ = borders.groupBy(*_DIGITS, "full").agg(_several(True).alias("several")).where("several").drop("several")
@@ -298,7 +298,7 @@ def repeated_spans(docs: DataFrame, width: int = 200, gram: int = 32, step: int
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.hash(whole_text()).alias("th"), whole_text().alias("text"))
+    return docs.select("doc_id", text_hash().alias("th"), whole_text().alias("text"))
 
 
 def removed_mask(n: int, runs: np.ndarray, suffixes: np.ndarray, width: int) -> np.ndarray:
@@ -356,7 +356,7 @@ def without_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
 
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     whole = F.struct(F.lit(0).alias("doc_id"), *[F.col(f"`{c}`") for c in rest])  # never an empty struct
-    texts = docs.select("doc_id", F.hash(whole_text()).alias("th"), whole_text().alias("text"), F.col("text").isNull().alias("was_null"), whole.alias("rest"))
+    texts = docs.select("doc_id", text_hash().alias("th"), whole_text().alias("text"), F.col("text").isNull().alias("was_null"), whole.alias("rest"))
     joined = _joined(texts, repeated_spans(docs, width), "left").select("doc_id", "th", "text", "runs", "was_null", "rest")
     done = joined.mapInArrow(run, joined.schema)
     text = F.when(~F.col("was_null"), F.col("text"))
