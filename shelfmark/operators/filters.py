@@ -85,6 +85,7 @@ def is_prose(line: Column) -> Column:
     lower = F.regexp_count(bare, F.lit("(^|[^A-Za-z])[a-z]")) / F.greatest(words, F.lit(1))
     marks = bare.rlike("[.!?;]")
     label = bare.rlike("^[A-Za-z]+\\s*:")
+    # How many words, marks and lower-case words make a sentence.
     prose = (words == 0) | (words >= 10) | ((words >= 7) & (marks | (lower >= 0.45))) | ((words >= 5) & marks & (lower >= 0.3))
     return (bare == "") | (prose & ~label)
 
