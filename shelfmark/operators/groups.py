@@ -61,7 +61,8 @@ def document_line_profile(docs: DataFrame, key: str, body: str) -> DataFrame:
         worded = (F.regexp_count(line, F.lit("[A-Za-z]{2,}")) >= 2) & (alpha >= 6)
         marked = (alpha >= 8) & (line.contains(",") | line.contains(" - ") | line.contains("|") | line.contains("@"))
         long = (alpha >= 12) & ~F.lower(line).rlike(rules.HOUSEKEEPING_WORDS)
-        info = ~checksum & ~line.rlike(_AUDIO_NAME) & ((hits > 0) | dated | named | worded | marked | long)
+        file_name = F.lower(F.regexp_extract(line, "\\.([A-Za-z0-9]{2,5})$", 1)).isin(*paths.AUDIO) & ~line.contains("/")
+        info = ~checksum & ~file_name & ((hits > 0) | dated | named | worded | marked | long)
         short = F.size(F.split(line, "\\s+")).between(2, 10) & (F.length(line) < 80) & ~F.lower(line).rlike(rules.HOUSEKEEPING_WORDS)
         return F.struct(checksum.alias("checksum"), info.alias("info"), (5 * hits + short.cast("int")).alias("score"))
 
@@ -75,9 +76,6 @@ def document_line_profile(docs: DataFrame, key: str, body: str) -> DataFrame:
     return out.withColumn("score", F.when(F.col("unreadable") | F.col("checksum_only"), -1000).otherwise(F.col("score")).cast("long"))
 
 
-_AUDIO_NAME = "(?i)^[\\w .()\\[\\]{}'&+-]+\\.(?:flac|shn|wav|mp3|m4a|aac|ogg|opus|aiff?|ape)$"
-
-
 def consensus(df: DataFrame, key: str, value: str, collision: Column | None = None) -> DataFrame:
     """(key, value, conflict): the one value of a record, or the conflict in words; values that lie inside a longer one give way to it."""
     rows = df.where(text.blank_to_null(F.col(value)).isNotNull()).groupBy(key, value).agg(F.bool_or(F.lit(False) if collision is None else collision).alias("collides"))
