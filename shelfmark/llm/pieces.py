@@ -258,7 +258,7 @@ def encode(docs: DataFrame, path: str = MODEL, text: str = "text", to: str = "id
         encoder = Encoder(words)
         for batch in batches:
             _, at = utf8(batch.column(0))
-            for first, last in spans(at, 2 << 20):
+            for first, last in spans(at, 1 << 20):
                 ids, counts = encoder.encode(batch.column(0).slice(first, last - first).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids))
                 back = [_texts(ids, counts, words.surface)] if decoded is not None else []
