@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import audit, brown, digest, lines, mixing, pieces, qda, repeats, simhash, urls, warc
+from shelfmark.llm import audit, brown, digest, lines, mixing, packing, pieces, qda, repeats, simhash, urls, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_sentencepiece_suffix_array": pieces.op8_sentencepiece_suffix_array,
         "op9_bloom_cascade": urls.op9_bloom_cascade,
         "op10_simhash_gray_index": simhash.op10_simhash_gray_index,
+        "op11_bin_slack_packing": packing.op11_bin_slack_packing,
         "op13_filter_interactions": audit.op13_filter_interactions,
     }
 
