@@ -14,7 +14,9 @@ and find their sequence and offset by binary search in the plan.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,43 +27,89 @@ from shelfmark.llm.common import SLICE_BYTES, gather, materialise, spans, text_h
 from shelfmark.llm.scans import chunked, running
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
-_CACHE_WORDS = 1 << 18
+_CACHE_WORDS = 1 << 19
 _LONG_WORD = 256
 _SPACES = b" \t\n\r\x0b\x0c"
+_ENDS = re.compile(rb"[.,;:!?](?<=[A-Za-z0-9].)(?=[ \t\n\r])")
+#: Letters below are composed already, and their lower case is that of every Unicode version.
+_LATIN_END = "\u0250"
+
+
+class _Words(dict):
+    """Word -> its number; a new one gets the next and is noted in `fresh`."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.fresh.append(word)
+        found = self[word] = len(self)
+        return found
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level BPE uses for each byte: visible Latin-1 for itself, the others in order from U+0100."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) if b in visible else chr(0x100 + hidden.index(b)) for b in range(256)}
 
 
 class Coder:
-    """Ids of texts by a tokenizer that drops white space and never joins over it: words are coded once and kept."""
+    """Ids of texts by a tokenizer that lower-cases, drops white space and never joins over it: words are coded once and kept.
+
+    A single point or comma at the end of a word is a part of its own for such a tokenizer,
+    so it is cut off; that and lower case (of ASCII) leave fewer different words. Words of
+    Latin letters alone need no more than the tokenizer's BPE itself.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.merges, self.letters = self.model.model, _byte_letters()
+        self.marks = [x.content.encode() for x in self.model.get_added_tokens_decoder().values()]
+        self.plain = True
+        self.plain = all(self._code([w]) == [self.model.encode(w.decode(), add_special_tokens=False).ids] for w in (b"a", b"tokenizers", "Étude".encode(), "ĳßǆ".encode()))
+        self.lower = self.plain and self.model.encode("ABC d").ids == self.model.encode("abc D").ids
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.begin, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        coded = [x.ids for x in self.model.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-        sizes = np.array([len(x) for x in coded], np.int64)
-        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.ids = np.concatenate([self.ids, *[np.array(x, np.uint32) for x in coded]])
-        self.count = np.concatenate([self.count, sizes])
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.known, self.ids, self.begin, self.count = _Words(), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _split(self, text: bytes) -> list[bytes]:
+        """Words at ASCII white space. Letters keep their case where a mark may follow them, as marks are composed first, and where lower case could make a special token."""
+        low = text.lower() if self.lower and b"\xcc" not in text and b"\xcd" not in text else text
+        if low is not text and any(m in low for m in self.marks):
+            low = text
+        return (_ENDS.sub(rb" \g<0>", low) if self.plain else low).split()
+
+    def _code(self, words: list[bytes]) -> list[list[int]]:
+        texts, out, rest = [w.decode() for w in words], [], []
+        for text in texts:
+            if self.plain and text.isalpha() and max(text) < _LATIN_END and "\u0130" not in text:  # whose lower case has a mark
+                out.append([t.id for t in self.merges.tokenize(text.lower().encode().decode("latin-1").translate(self.letters))])
+            else:
+                rest.append(text)
+                out.append(None)
+        coded = iter(self.model.encode_batch_fast(rest, add_special_tokens=False) if rest else ())
+        return [next(coded).ids if x is None else x for x in out]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
-        split = [x.split() for x in texts]  # at ASCII white space
         if len(self.known) > _CACHE_WORDS:
             self._forget()
-        fresh = sorted({w for words in split for w in words} - self.known.keys())
-        if fresh:
-            self._learn(fresh)
+        split = [self._split(x) for x in texts]
         sizes = np.array([len(x) for x in split], np.int64)
-        at = np.fromiter((self.known[w] for words in split for w in words), np.int64, int(sizes.sum()))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        fresh, self.known.fresh = self.known.fresh, []
+        if fresh:
+            coded = self._code(fresh)
+            each = np.fromiter(map(len, coded), np.int64, len(coded))
+            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(each) - each])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(coded), np.uint32, int(each.sum()))])
+            self.count = np.concatenate([self.count, each])
         count = self.count[at]
         total = np.concatenate([[0], np.cumsum(count)])
         ends = np.cumsum(sizes)
