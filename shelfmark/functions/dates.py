@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfmark.functions.folds import let
+
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _FULL = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 _RANGE = "^[0-9]{4}-[0-9]{4}$"
@@ -12,9 +14,12 @@ _RANGE = "^[0-9]{4}-[0-9]{4}$"
 
 def year_of(c: Column, pivot: int = 35) -> Column:
     """Four-digit form of a year of two or four characters; below the pivot two digits mean 20xx. Null if it is none."""
-    low = F.lower(F.trim(c))
-    two = low.rlike("^[0-9]{2}$")
-    return F.when(low.rlike("^(19|20)([0-9]{2}|[0-9]x|xx)$"), low).when(two & (F.when(two, low).try_cast("int") < pivot), F.concat(F.lit("20"), low)).when(two, F.concat(F.lit("19"), low))
+
+    def read(low: Column) -> Column:
+        two = low.rlike("^[0-9]{2}$")
+        return F.when(two, F.concat(F.when(low.try_cast("int") < pivot, "20").otherwise("19"), low)).when(low.rlike("^(19|20)([0-9]{2}|[0-9]x|xx)$"), low)
+
+    return let(F.lower(F.trim(c)), read)
 
 
 def month_number(c: Column) -> Column:
@@ -24,18 +29,23 @@ def month_number(c: Column) -> Column:
 
 
 def _part(c: Column, most: int) -> Column:
-    low = F.lower(F.trim(c))
-    number = F.when(low.rlike("^[0-9]{1,2}$"), low).try_cast("int")
     tens = "[01]" if most == 12 else "[0-3]"
-    return F.when(low.rlike("^(0|00|x|xx)$"), "xx").when(number.between(1, most), F.lpad(number.cast("string"), 2, "0")).when(low.rlike(f"^{tens}x$"), low)
+
+    def read(low: Column) -> Column:
+        number = F.when(low.rlike("^[0-9]{1,2}$"), low).try_cast("int")
+        return F.when(low.isin("0", "00", "x", "xx"), "xx").when(number.between(1, most), F.lpad(low, 2, "0")).when(low.rlike(f"^{tens}x$"), low)
+
+    return let(F.lower(F.trim(c)), read)
 
 
 def partial_date(year: Column, month: Column, day: Column, pivot: int = 35) -> Column:
     """Normal form of three parts, or null: unknown digits may only stand at the right end, and complete dates must exist."""
-    value = F.concat_ws("-", year_of(year, pivot), _part(month, 12), _part(day, 31))
-    whole = F.regexp_replace(value, "-", "")
-    valid = (F.length(value) == 10) & whole.rlike("^[0-9]+x*$") & (~value.rlike(_FULL) | F.try_to_date(value, "yyyy-MM-dd").isNotNull())
-    return F.when(valid, value)
+
+    def checked(value: Column) -> Column:
+        valid = value.rlike("^[0-9]{4}-(xx-xx|[0-9]x-xx|[0-9]{2}-(xx|[0-9]x))$|^[0-9]{3}x-xx-xx$|^[0-9]{2}xx-xx-xx$") | (value.rlike(_FULL) & F.try_to_date(value, "yyyy-MM-dd").isNotNull())
+        return F.when(valid, value)
+
+    return let(F.concat_ws("-", year_of(year, pivot), _part(month, 12), _part(day, 31)), checked)
 
 
 def specificity(c: Column) -> Column:

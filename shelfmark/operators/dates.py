@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from shelfmark import rules
 from shelfmark.functions import dates, text
+from shelfmark.functions.folds import let, scan
 from shelfmark.operators.filters import lines
 
+# Years and English month names.
 _YEAR = "(?:19|20)[0-9]{2}"
 _NAME = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?|JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)"
 _SEP = "[\\s._,-]*"
@@ -27,48 +29,77 @@ FAMILIES = (
 )
 
 
-def _spans(column: Column, pattern: str) -> Column:
-    """(start, raw) of every match, from the lengths of matches and of the gaps between them."""
-    found, gaps = F.regexp_extract_all(column, F.lit(pattern), 0), F.split(column, pattern)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(F.coalesce(F.length(g), F.lit(0)).alias("g"), F.length(m).alias("m")))
-    places = F.aggregate(pairs, start, lambda s, x: F.struct((s["at"] + x["g"] + F.coalesce(x["m"], F.lit(0))).alias("at"), F.concat(s["out"], F.array(s["at"] + x["g"])).alias("out")), lambda s: s["out"])
-    return F.filter(F.zip_with(found, places, lambda m, p: F.struct(p.alias("start"), m.alias("raw"))), lambda x: x["raw"].isNotNull())
+# Marks that stand around a match and between its parts while it is taken out of a text.
+_BEGIN, _PART = "\u0001", "\u0002"
+_FOUND = "struct<start:int,end:int,raw:string,rank:int,y:string,m:string,d:string>"
+
+
+def _found(value: Column, rank: int, pattern: str, groups: tuple[int, ...], month: int | None) -> Column:
+    """Every match of one family with its place and parts. The pattern is evaluated once: it puts marks into the text, which is then cut at them."""
+    parts = [f"${g}" if g else "" for g in groups] or ["", "", ""]
+    marked = F.regexp_replace(value, pattern, _BEGIN + _PART.join([*parts, "$0", ""]))
+    none = F.array().cast(f"array<{_FOUND}>")
+
+    def taken(cuts: Column) -> Column:
+        def step(at: Column, cut: Column) -> Column:
+            def read(x: Column) -> Column:
+                end = at + F.length(x[3])
+                named = [dates.month_number(x[i]) if i == month else x[i] if groups and groups[i] else F.lit("xx") for i in range(3)]
+                one = F.struct(at.alias("start"), end.alias("end"), x[3].alias("raw"), F.lit(rank).alias("rank"), *[c.alias(n) for c, n in zip(named, "ymd", strict=True)])
+                return F.struct((end + F.length(x[4])).alias("state"), one.alias("out"))
+
+            return let(F.split(cut, _PART), read)
+
+        return scan(F.slice(cuts, 2, F.size(cuts)), F.length(cuts[0]), step, _FOUND)
+
+    return let(marked, lambda m: F.when(m.contains(_BEGIN), let(F.split(m, _BEGIN), taken)).otherwise(none))
+
+
+def _clear(every: Column, kind: str, ranks: int) -> Column:
+    """Mentions that no mention of an earlier family overlaps; every is sorted by start. One sweep forwards keeps the furthest end of each family and those before it, one backwards the nearest start."""
+    ints = lambda n: F.array(*[F.lit(n)] * ranks)
+    better = lambda marks, x: F.when(x["rank"] > 0, F.get(marks, x["rank"] - 1))
+    marked = f"struct<x:{kind},hit:boolean>"
+
+    def ahead(ends: Column, x: Column) -> Column:
+        hit = F.coalesce(better(ends, x) > x["start"], F.lit(False))
+        return F.struct(F.transform(ends, lambda e, r: F.when(r >= x["rank"], F.greatest(e, x["end"])).otherwise(e)).alias("state"), F.struct(x.alias("x"), hit.alias("hit")).alias("out"))
+
+    def back(starts: Column, y: Column) -> Column:
+        x = y["x"]
+        hit = y["hit"] | F.coalesce(better(starts, x) < x["end"], F.lit(False))
+        return F.struct(F.transform(starts, lambda s, r: F.when(r >= x["rank"], F.least(s, x["start"])).otherwise(s)).alias("state"), F.struct(x.alias("x"), hit.alias("hit")).alias("out"))
+
+    swept = scan(F.reverse(scan(every, ints(-1), ahead, marked)), ints(2**31 - 1), back, marked)
+    return F.reverse(F.transform(F.filter(swept, lambda y: ~y["hit"]), lambda y: y["x"]))
 
 
 def extract_dates(df: DataFrame, key: str, column: str, allow_slash: bool = False, pivot: int = 35) -> DataFrame:
     """(key, start, raw, normal, kind): date mentions of each text; of overlapping ones the first family in FAMILIES stays.
 
     Mixed separators are no date. Eight or four joined digits must be a real date.
-    Slashed dates count only on request.
+    Slashed dates count only on request. Every pattern is evaluated once, and the time is
+    linear in the number of mentions.
     """
-    value = F.coalesce(F.col(column), F.lit(""))
-    none = F.array().cast("array<struct<start:int,raw:string,rank:int>>")
+    # the marks are taken out first; what they become is part of no date
+    value = F.translate(F.coalesce(F.col(column), F.lit("")), _BEGIN + _PART, "\u0003\u0003")
     used = [(rank, kind, pattern, groups) for rank, (kind, pattern, groups) in enumerate(FAMILIES) if kind != "slash" or allow_slash]
-    found = [F.when(value.rlike(p), F.transform(_spans(value, p), lambda x: F.struct(x["start"].alias("start"), x["raw"].alias("raw"), F.lit(rank).alias("rank")))).otherwise(none) for rank, _, p, _ in used]  # noqa: B023
+    found = lambda v: F.flatten(F.array(*[_found(v, rank, p, groups, 1 if "month" in kind else None) for rank, kind, p, groups in used]))
     # no family does without two digits, so most texts need no further test
-    spans = F.when(value.rlike("[0-9xX]{2}"), F.flatten(F.array(*found))).otherwise(none)
-
-    def part(x: Column, i: int) -> Column:
-        """Year, month or day of a match, by its family."""
-        named = lambda kind, c: dates.month_number(c) if i == 1 and "month" in kind else c
-        return F.coalesce(*[F.when(x["rank"] == rank, named(kind, F.regexp_extract(x["raw"], p, groups[i])) if groups[i] else F.lit("xx")) for rank, kind, p, groups in used if groups])
-
-    def read(x: Column) -> Column:
-        kind = F.coalesce(*[F.when(x["rank"] == rank, F.lit(name)) for rank, name, _, _ in used])
-        return F.struct(x["start"].alias("start"), (x["start"] + F.length(x["raw"])).alias("end"), x["raw"].alias("raw"), x["rank"].alias("rank"), kind.alias("kind"), part(x, 0).alias("y"), part(x, 1).alias("m"), part(x, 2).alias("d"))
+    spans = let(value, lambda v: F.when(v.rlike("[0-9xX]{2}"), found(v)).otherwise(F.array().cast(f"array<{_FOUND}>")))
+    kinds = F.array(*[F.lit(kind) for kind, _, _ in FAMILIES])
+    mention = "struct<start:int,rank:int,end:int,raw:string,kind:string,normal:string>"
 
     def dated(x: Column) -> Column:
         ymd, ydm = dates.partial_date(x["y"], x["m"], x["d"], pivot), dates.partial_date(x["y"], x["d"], x["m"], pivot)
-        normal = F.when(x["kind"] == "range", dates.year_range(x["raw"], pivot)).when(x["kind"] == "mdy", F.coalesce(ymd, ydm)).otherwise(ymd)
-        return F.struct(*[x[f].alias(f) for f in ("start", "end", "raw", "rank", "kind")], normal.alias("normal"))
+        kind = F.get(kinds, x["rank"])
+        normal = F.when(kind == "range", dates.year_range(x["raw"], pivot)).when(kind == "mdy", F.coalesce(ymd, ydm)).otherwise(ymd)
+        return F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["raw"].alias("raw"), kind.alias("kind"), normal.alias("normal"))
 
-    every = F.filter(F.transform(F.transform(spans, read), dated), lambda x: x["normal"].isNotNull())
-    beats = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"]) & ((a["rank"] < b["rank"]) | ((a["rank"] == b["rank"]) & (a["start"] < b["start"])))
     # overlaps are settled inside the row, so rows that share a key stay apart and nothing is shuffled
-    rows = df.select(key, every.alias("all")).where(F.size("all") > 0)
-    clear = F.filter("all", lambda b: ~F.exists("all", lambda a: beats(a, b)))
-    return rows.select(key, F.explode(clear).alias("d")).select(key, "d.start", "d.raw", "d.normal", "d.kind")
+    every = F.sort_array(F.filter(F.transform(spans, dated), lambda x: x["normal"].isNotNull()))
+    clear = let(every, lambda e: F.when(F.size(e) > 1, _clear(e, mention, len(FAMILIES))).otherwise(e))
+    return df.select(key, F.explode(clear).alias("d")).select(key, "d.start", "d.raw", "d.normal", "d.kind")
 
 
 def partial_dates(df: DataFrame, key: str, year: str, month: str, day: str, pivot: int = 35) -> DataFrame:
@@ -129,8 +160,8 @@ def split_on_dash(df: DataFrame, key: str, column: str) -> DataFrame:
     return rows.withColumn("date", date).withColumn("right", F.when(F.col("date").isNull(), F.col("right")).otherwise(""))
 
 
-def labelled_fields(docs: DataFrame, key: str, body: str, labels: dict[str, str] = rules.FIELD_LABELS, limit: int = 80) -> DataFrame:
-    """(key, one column for each field): the first non-blank value of "Label: value" or "Label - value" header lines."""
+def labelled_fields(docs: DataFrame, key: str, body: str, labels: dict[str, str] = rules.FIELD_LABELS, limit: int | None = None) -> DataFrame:
+    """(key, one column for each field): the first non-blank value of "Label: value" or "Label - value" lines, of the first `limit` ones if it is given."""
     fields = sorted(set(labels.values()))
     pattern = f"(?i)^\\s*({'|'.join(labels)})\\s*[:=-]\\s*(\\S.*?)\\s*$"
     known = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths, text
-from shelfmark.operators.filters import lines
+from shelfmark.functions.folds import let
+from shelfmark.functions.sketch import key_filter
 from shelfmark.operators.projections import term_variants
 from shelfmark.operators.windows import RICH
+from shelfmark.sources.files import scratch
 
 
 def resolve_aliases(df: DataFrame, key: str, name: str, terms: DataFrame) -> DataFrame:
@@ -34,24 +36,55 @@ def entity_terms(terms: DataFrame, search: DataFrame) -> DataFrame:
     return hits.join(listed, "entity").select("search", "entity", F.transform("rows", lambda r: r["term"]).alias("terms"))
 
 
-def grams(df: DataFrame, keys: Sequence[str], line: str, widest: int) -> DataFrame:
-    """(keys, width, gram): word windows of a line's comparison key, 1 to `widest` words."""
-    words = df.select(*keys, F.split(text.compare_key(F.col(line)), " ").alias("words"))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(widest), F.size("words"))), lambda n: F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.struct(n.alias("width"), F.array_join(F.slice("words", i, n), " ").alias("gram")))))
-    return words.select(*keys, F.explode(pairs).alias("g")).select(*keys, "g.width", "g.gram")
-
-
 def _phrases(phrases: DataFrame) -> DataFrame:
     keyed = phrases.select("phrase", text.compare_key(F.col("phrase")).alias("gram")).where("gram <> ''")
     return keyed.groupBy("gram").agg(F.min("phrase").alias("phrase"))
 
 
+def _dictionary_windows(df: DataFrame, key: str, line_keys: Column, phrases: DataFrame, widest: int) -> tuple[DataFrame, DataFrame]:
+    """(key, x) of every text with x, the array of (gram, width, pos) of word windows that the dictionary may hold, and the dictionary (gram, phrase) itself.
+
+    line_keys are the comparison keys of a text's lines. Filters of the first words and of
+    the whole grams are probed where the windows are made, so nearly all others never leave
+    their row. The time is linear in the number of words.
+    """
+    known = _phrases(phrases)
+    path = scratch(phrases.sparkSession, "dictionary")
+    known.write.parquet(path)
+    known = phrases.sparkSession.read.schema(known.schema).parquet(path)
+    count = known.count()
+    begins = known.select(F.substring_index("gram", " ", 1).alias("word")).distinct()
+    whole, holds = key_filter(known, "gram", count)
+    first, begun = key_filter(begins, "word", count)
+
+    def of_line(words: Column, bits: Column, pos: Column) -> Column:
+        gram = lambda i, n: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)])
+        window = lambda c, n: F.struct(c.alias("gram"), F.lit(n).alias("width"), pos.alias("pos"))
+        there = lambda x: (x["gram"] != "") & holds(bits["whole"], x["gram"])
+        if widest == 1:
+            return F.transform(F.filter(words, lambda w: (w != "") & holds(bits["whole"], w)), lambda w: window(w, 1))
+        starts = F.filter(F.transform(words, lambda w, i: F.when(begun(bits["first"], w), i)), lambda i: i.isNotNull())
+        return F.flatten(F.transform(starts, lambda i: F.filter(F.array(*[window(F.when(i + n <= F.size(words), gram(i, n)), n) for n in range(1, widest + 1)]), there)))
+
+    every = lambda bits: F.flatten(F.transform("__lines", lambda line, p: let(F.split(F.trim(line), " "), lambda words: of_line(words, bits, p))))
+    rows = df.select(key, line_keys.alias("__lines"), F.struct(whole.alias("whole"), first.alias("first")).alias("__bits"))
+    return rows.select(key, let(F.col("__bits"), every).alias("x")), known
+
+
+def _line_keys(c: Column) -> Column:
+    """Comparison keys of the lines of a text, by one pass over the whole of it."""
+    low = F.replace(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), "\r\n?", "\n")), F.lit("&"), F.lit(" and "))
+    return F.split(F.regexp_replace(low, "[^a-z0-9\n]+", " "), "\n")
+
+
 def scan_phrases(df: DataFrame, key: str, line: str, phrases: DataFrame, widest: int = 4) -> DataFrame:
     """(key, phrase, width): dictionary phrases inside a text, all those of the widest width that has one.
 
     `widest` is the number of words of the longest phrase.
     """
-    hits = grams(df, [key], line, widest).join(_phrases(phrases), "gram").select(key, "phrase", "width").distinct()
+    rows, known = _dictionary_windows(df, key, F.array(text.compare_key(F.col(line))), phrases, widest)
+    found = rows.select(key, F.explode("x").alias("x")).select(key, "x.gram", "x.width").distinct()
+    hits = found.join(known, "gram").select(key, "phrase", "width").distinct()
     best = hits.groupBy(key).agg(F.max("width").alias("width"))
     return hits.join(best, [key, "width"]).select(key, "phrase", F.col("width").cast("long").alias("width"))
 
@@ -63,20 +96,14 @@ HIT, LETTERS, EARLY, FIRST_LINES = 72, 20.0, 15, 10
 def best_dictionary_hit(docs: DataFrame, key: str, body: str, phrases: DataFrame, widest: int = 4) -> DataFrame:
     """(key, phrase, line, score): best entry by 72 + min(20, size / 4) - line / 2, and 15 more in the first ten lines; ties by line, then entry.
 
-    Word windows of a document are reduced to distinct ones with their first line inside
-    the row, so each goes to the dictionary once.
+    Windows that the dictionary may hold are reduced to distinct ones with their first line
+    inside the row, so each goes to the dictionary once.
     """
-    split = F.split(F.regexp_replace(F.coalesce(F.col(body), F.lit("")), "\r\n?", "\n"), "\n")
-
-    def windows(line: Column, pos: Column) -> Column:
-        words = F.split(text.compare_key(line), " ")
-        wide = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.struct(F.array_join(F.slice(words, i, n), " ").alias("gram"), pos.alias("pos")))
-        return wide(F.lit(1)) if widest == 1 else F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(widest), F.size(words))), wide))
-
-    every = docs.select(key, F.array_sort(F.flatten(F.transform(split, windows))).alias("g"))
-    first_of = F.filter("g", lambda x, i: (x["gram"] != "") & ((i == 0) | (F.get("g", i - 1)["gram"] != x["gram"])))
-    found = every.select(key, F.explode(first_of).alias("x")).select(key, "x.gram", F.col("x.pos").alias("line"))
-    first = found.join(_phrases(phrases), "gram").groupBy(key, "phrase").agg(F.min("line").alias("line"))
+    rows, known = _dictionary_windows(docs, key, _line_keys(F.col(body)), phrases, widest)
+    by_gram = F.sort_array(F.transform("x", lambda x: F.struct(x["gram"], x["pos"])))
+    first_of = let(by_gram, lambda g: F.filter(g, lambda x, i: (i == 0) | (F.get(g, i - 1)["gram"] != x["gram"])))
+    found = rows.select(key, F.explode(first_of).alias("x")).select(key, "x.gram", F.col("x.pos").alias("line"))
+    first = found.join(known, "gram").groupBy(key, "phrase").agg(F.min("line").alias("line"))
     score = HIT + F.least(F.lit(LETTERS), F.length("phrase") / 4) - F.col("line") / 2 + F.when(F.col("line") < FIRST_LINES, EARLY).otherwise(0)
     best = first.withColumn("score", score).groupBy(key).agg(F.min(F.struct(-F.col("score"), F.col("line").alias("line"), F.col("phrase").alias("phrase"), F.col("score").alias("score"))).alias("b"))
     return best.select(key, "b.phrase", F.col("b.line").cast("long").alias("line"), "b.score")

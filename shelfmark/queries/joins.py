@@ -66,8 +66,8 @@ SELECT doc_id, phrase, line, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_
 def j4(t):
     docs = t("documents")
     words = docs.select(F.explode(F.split(text.compare_key(F.col("text")), " ")).alias("phrase")).groupBy("phrase").count()
-    total = words.agg(F.sum("count").alias("total"))
-    frequent = words.where("length(phrase) >= 6").crossJoin(F.broadcast(total)).where("100000 * count between 5 * total and 20 * total")  # one row
+    total = words.agg(F.sum("count").alias("total")).scalar()
+    frequent = words.where(F.length("phrase") >= 6).where((F.col("count") * 100_000).between(5 * total, 20 * total))
     return op.best_dictionary_hit(docs, "doc_id", "text", frequent.select("phrase"), widest=1)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import tempfile
 import uuid
 from collections.abc import Sequence
