@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"""(?P<op>\|and\||\|or\|)|(?P<paren>[()])|(?P<term>(?:"[^"]*"|'[^']*'|(?!\|and\||\|or\|)[^()"'])+)|(?P<bad>.)""", re.IGNORECASE | re.DOTALL)
 
 
+T = TypeVar("T")
+
+
 class SearchError(ValueError):
     """The expression can't be read."""
 
@@ -24,12 +29,12 @@ def _tokens(expression: str) -> list[tuple[str, str]]:
     return out
 
 
-def _term(token: str, haystack: Column) -> Column:
+def _term(token: str) -> str:
     if len(token) > 1 and token[0] == token[-1] and token[0] in "\"'":
         token = token[1:-1]
     if not token.strip():
         raise SearchError("empty term")
-    return haystack.contains(F.lower(F.lit(token)))
+    return token
 
 
 def matches(expression: str, haystack: Column) -> Column:
@@ -37,13 +42,18 @@ def matches(expression: str, haystack: Column) -> Column:
     if not expression.strip():
         return F.lit(True)
     haystack = F.lower(haystack)
-    values: list[Column] = []
+    return fold(expression, lambda term: haystack.contains(F.lower(F.lit(term))), Column.__and__, Column.__or__)
+
+
+def fold(expression: str, leaf: Callable[[str], T], both: Callable[[T, T], T], either: Callable[[T, T], T]) -> T:
+    """Value of an expression that is not blank, from what leaf gives for its terms."""
+    values: list[T] = []
     waiting: list[str] = []
 
     def reduce_while(strength: int) -> None:
         while waiting and waiting[-1] != "(" and (2 if waiting[-1] == "&" else 1) >= strength:
             right, left = values.pop(), values.pop()
-            values.append(left & right if waiting.pop() == "&" else left | right)
+            values.append(both(left, right) if waiting.pop() == "&" else either(left, right))
 
     want_term = True
     for kind, token in _tokens(expression):
@@ -53,7 +63,7 @@ def matches(expression: str, haystack: Column) -> Column:
             if token == "(":
                 waiting.append("(")
             else:
-                values.append(_term(token, haystack))
+                values.append(leaf(_term(token)))
                 want_term = False
         elif want_term:
             raise SearchError(f"term expected before {token!r}")

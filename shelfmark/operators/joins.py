@@ -188,14 +188,36 @@ def lookup_by_entity_date(requests: DataFrame, performances: DataFrame) -> DataF
     return found.withColumn("any_exact", any_exact).where("exact or not any_exact").select("request", "id", "exact")
 
 
+def _substrings(key: Column) -> Column:
+    """Distinct runs of one to three characters of a comparison key."""
+    each = [F.regexp_extract_all(key, F.lit(f"(?=({'.' * n}))"), 1) for n in (1, 2, 3)]
+    return F.array_distinct(F.concat(*each))
+
+
 def match_potential_duplicates(new: DataFrame, catalog: DataFrame) -> DataFrame:
     """(id, title): catalog titles that hold the date of a new record and one of its names, or lie inside such a name.
 
-    new: id, date, name (a row for each alias). Dates make the join; the names are compared inside the few rows of one date.
+    new: id, date, name (a row for each alias). What lies inside another text shares all its
+    runs of three characters, so names meet titles by date and the rarest run of the one
+    that lies inside, and are compared then; a date with very many rows is not compared
+    pair by pair. Keys have 37 characters, so the counts of runs have at most 52,059 rows.
     """
-    dated = catalog.select("title", F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit("[0-9]{4}-[0-9]{2}-[0-9]{2}"), 0))).alias("date"), text.compare_key(F.col("title")).alias("t"))
-    named = new.select("id", "date", text.compare_key(F.col("name")).alias("n")).where("n <> ''")
-    return named.join(dated, "date").where(F.col("t").contains(F.col("n")) | F.col("n").contains(F.col("t"))).select("id", "title").distinct()
+    date = F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit("[0-9]{4}-[0-9]{2}-[0-9]{2}"), 0)))
+    named = new.select("id", F.col("date").cast("string").alias("date"), text.compare_key(F.col("name")).alias("n")).where("n <> '' and date is not null").distinct()
+    dated = catalog.select("title", date.alias("date"), text.compare_key(F.col("title")).alias("t")).distinct().join(named.select("date").distinct(), "date", "left_semi")
+    runs = lambda df, key: df.select("*", F.explode(_substrings(F.col(key))).alias("run"))
+    title_runs, name_runs = runs(dated, "t"), runs(named, "n")
+    counts = title_runs.select("run").unionByName(name_runs.select("run")).groupBy("run").agg(F.count("*").alias("rows"))
+
+    def rarest(df: DataFrame, key: str) -> DataFrame:
+        """Every row with the rarest of its longest runs."""
+        longest = F.length("run") == F.least(F.length(key), F.lit(3))
+        rest = [c for c in df.columns if c != "run"]
+        return df.where(longest).join(F.broadcast(counts), "run").groupBy(*rest).agg(F.min(F.struct("rows", "run")).alias("r")).select(*rest, "r.run")
+
+    holds = rarest(name_runs, "n").join(title_runs, ["date", "run"]).where(F.col("t").contains(F.col("n")))
+    inside = rarest(title_runs, "t").join(name_runs, ["date", "run"]).where(F.col("n").contains(F.col("t")))
+    return holds.select("id", "title").unionByName(inside.select("id", "title")).distinct()
 
 
 def exact_key_duplicates(new: DataFrame, catalog: DataFrame, id_: str, title: str) -> DataFrame:

@@ -11,6 +11,7 @@ from shelfmark.functions import search, text
 from shelfmark.operators import dates as date_jobs
 from shelfmark.operators import filters, groups, joins, ordering, windows
 from shelfmark.operators.projections import compose_names, document_key, path_components
+from shelfmark.operators.search_index import SearchIndex
 
 
 def resolve_records(folders: DataFrame, terms: DataFrame, mentions: DataFrame, sources: list[tuple[str, DataFrame]], files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -99,15 +100,15 @@ def build_catalog(records: DataFrame, documents: DataFrame, titles: DataFrame, c
     return {"catalog": rows, "documents": placed, "replaced": replaced, "unresolved": unresolved, "summary": summary}
 
 
-def search_catalog(rows: DataFrame, columns: list[str], expression: str, documents: DataFrame, deep: bool = False) -> DataFrame:
+def search_catalog(rows: DataFrame, columns: list[str], expression: str, documents: DataFrame, deep: bool = False, index: SearchIndex | None = None) -> DataFrame:
     """(id, document, tier, hit): rows that fit the expression, or, with deep, whose documents do, each with its documents.
 
-    rows: id, key and display columns. documents: document, key, text.
+    rows: id, key and display columns. documents: document, key, text. With an index of
+    the documents a deep search reads the texts of candidates only.
     """
     attached = joins.attach_documents(rows.select("id", "key"), documents.select("document", "key"))
     if deep:
-        bodies = documents.where(F.col("text").isNotNull() & search.matches(expression, F.col("text"))).select("document")
-        return attached.join(bodies, "document", "left_semi").select("id", "document", "tier", F.lit("document").alias("hit"))
+        bodies = documents.where(F.col("text").isNotNull() & search.matches(expression, F.col("text"))) if index is None else index.search(expression)
+        return attached.join(bodies.select("document"), "document", "left_semi").select("id", "document", "tier", F.lit("document").alias("hit"))
     found = filters.boolean_search(rows, columns, expression).select("id")
     return found.join(attached, "id", "left").select("id", "document", "tier", F.lit("row").alias("hit"))
-

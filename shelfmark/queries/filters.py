@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from shelfmark.functions import paths
 from shelfmark.operators import filters as op
 from shelfmark.operators import groups, ordering
+from shelfmark.operators.search_index import SearchIndex
 from shelfmark.queries import query
 from shelfmark.queries.keys import titles
+from shelfmark.sources.files import scratch
 
 _TITLES = "SELECT o_orderkey, c_name || ' ' || strftime(o_orderdate, '%Y-%m-%d') || ' ' || n_name AS title, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
 
@@ -30,6 +32,19 @@ def f2(t):
     return op.deep_search(docs, '(license |AND| "lang=en" |AND| the) |OR| rights reserved', "path", "body").select("doc_id", "path")
 
 
+@query("f2_search_index", """
+SELECT doc_id, source || '/' || doc_id || '.txt' AS path FROM documents
+WHERE (contains(lower(text), 'license') AND contains(lower(text), 'warrant')) OR contains(lower(text), 'rights reserved') OR (contains(lower(text), '@example') AND contains(lower(text), 'a'))""")
+def f2_index(t):
+    """Two deliveries are indexed; the search reads the bodies that its trigrams leave."""
+    docs = t("documents").withColumn("path", F.concat_ws("", "source", F.lit("/"), "doc_id", F.lit(".txt")))
+    index = SearchIndex(docs.sparkSession, scratch(docs.sparkSession, "index"))
+    early = F.col("lang").isin("en", "de")
+    index.add(docs.where(early), "path", "text")
+    index.add(docs.where(~early | F.col("lang").isNull()), "path", "text")
+    return index.search('(license |AND| warrant) |OR| rights reserved |OR| ("@example" |AND| a)').select("doc_id", "path")
+
+
 @query("f3_prune_paths", r"""
 SELECT page_id, url FROM pages WHERE NOT len(list_filter(string_split(lower(regexp_extract(url, '://([^?#]*)', 1)), '/'), lambda x: x LIKE '%.example.org' OR x IN ('de', 'es'))) > 0""")
 def f3(t):

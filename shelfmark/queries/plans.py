@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from shelfmark.operators.search_index import SearchIndex
 from shelfmark.plans import catalog as op
 from shelfmark.queries import query
 from shelfmark.queries.groups import log_lines, numbered
@@ -105,8 +106,10 @@ def e4(t):
     rows = t("part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("K"), F.col("p_partkey").cast("string")).alias("key"), "p_name", "p_type", F.concat(F.lit("<"), "p_brand", F.lit(">")).alias("brand"))
     key = F.concat(F.lit("K"), F.col("doc_id").cast("string"))
     documents = t("documents").select(F.col("doc_id").alias("document"), F.when(F.col("doc_id") % 3 == 0, F.concat(key, F.lit("(alt1)"))).otherwise(key).alias("key"), "text")
+    index = SearchIndex(documents.sparkSession, scratch(documents.sparkSession, "index"))
+    index.add(documents, "document", "text")
     plain = op.search_catalog(rows, ["p_name", "p_type", "brand"], "bolt |AND| promo |OR| '<Brand#7>'", documents)
-    return plain.unionByName(op.search_catalog(rows, ["p_name"], "license", documents, deep=True)).withColumn("tier", F.col("tier").cast("int"))
+    return plain.unionByName(op.search_catalog(rows, ["p_name"], "license", documents, True, index)).withColumn("tier", F.col("tier").cast("int"))
 
 
 _T1 = """
@@ -128,11 +131,35 @@ def t1(t):
     spark, path = new.sparkSession, scratch(new.sparkSession, "arrivals")
     known.write.parquet(f"{path}/catalog")
     new.write.parquet(f"{path}/drop")
-    stream = spark.readStream.schema(new.schema).parquet(f"{path}/drop")
-    arrivals.ingest_arrivals(stream, f"{path}/catalog", f"{path}/out", f"{path}/state").awaitTermination()
+    stream = lambda name, df: spark.readStream.schema(df.schema).parquet(f"{path}/{name}")
+    arrivals.ingest_arrivals(stream("drop", new), stream("catalog", known), f"{path}/out", f"{path}/state").awaitTermination()
     return arrivals.run_counts(spark.read.parquet(f"{path}/out"))
 
 
+@query("t1_alias_arrivals", """
+WITH o AS (SELECT o_orderkey AS ord, c_name, strftime(o_orderdate, '%Y-%m-%d') AS d, n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+k AS (SELECT c_name, d, min(c_name || ' ' || d || ' ' || n_name) AS title FROM o WHERE ord % 2 = 0 GROUP BY 1, 2),
+a AS (SELECT *, 'Night of ' || d || ' ' || ord || CASE WHEN ord % 3 = 0 THEN ', ' || upper(c_name) ELSE '' END AS title FROM o WHERE ord % 2 = 1),
+n AS (SELECT *, min(ord) FILTER (ord % 3 = 0) OVER (PARTITION BY c_name, d) AS first_named FROM a)
+SELECT ord, CASE WHEN k.title IS NOT NULL OR ord > first_named THEN 'duplicate' ELSE 'new' END AS route,
+  CASE WHEN k.title IS NOT NULL THEN k.title WHEN ord > first_named THEN (SELECT b.title FROM a b WHERE b.ord = first_named) END AS match
+FROM n LEFT JOIN k USING (c_name, d)""")
+def t1_alias(t):
+    """Titles of arrivals have the date and sometimes the name; they are matched by the names of their entity. They come in two deliveries, the later ones over a restart."""
+    rows = titles(t).withColumns({"date": F.date_format("o_orderdate", "yyyy-MM-dd"), "ord": F.col("o_orderkey")})
+    known = rows.where("ord % 2 = 0").select(F.concat_ws(" ", "c_name", "date", "n_name").alias("title"))
+    title = F.concat(F.lit("Night of "), "date", F.lit(" "), F.col("ord").cast("string"), F.when(F.col("ord") % 3 == 0, F.concat(F.lit(", "), F.upper("c_name"))).otherwise(""))
+    new = rows.where("ord % 2 = 1").select(F.col("ord").cast("string").alias("name"), "ord", title.alias("title"), "date", F.array(F.lit("no such name"), "c_name").alias("names"))
+    spark, path = new.sparkSession, scratch(new.sparkSession, "arrivals")
+    known.write.parquet(f"{path}/catalog")
+    middle = new.agg(F.median("ord")).scalar()
+    for part in (F.col("ord") <= middle, F.col("ord") > middle):
+        new.where(part).write.mode("append").parquet(f"{path}/drop")
+        stream = lambda name, df: spark.readStream.schema(df.schema).parquet(f"{path}/{name}")
+        arrivals.ingest_arrivals(stream("drop", new), stream("catalog", known), f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("ord", "route", "match")
+
+
 @query("t2_resolve_duplicates", _T1 + """,
 c AS (SELECT c_name || ' ' || strftime(o_orderdate, '%Y-%m') AS title, '/' || o_orderkey AS path FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 2 = 0),
 acc AS (SELECT DISTINCT title FROM r WHERE route = 'duplicate' AND ord % 4 = 1)

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shelfmark.functions import text
 from shelfmark.operators.groups import reason_rows
@@ -25,26 +31,99 @@ def route(batch: DataFrame, catalog: DataFrame) -> DataFrame:
     return out.withColumn("route", F.when(F.col("key") == "", "error").when(F.col("known") | (F.col("nth") > 1), "duplicate").otherwise("new")).drop("nth", "known")
 
 
-def ingest_arrivals(arrivals: DataFrame, catalog_path: str, sink: str, checkpoint: str) -> StreamingQuery:
-    """Route each micro-batch against the catalog as it is by then, and write it to `sink` under its batch number.
-
-    A batch that runs again after a failure overwrites its own output and is not judged
-    against it, so each arrival counts once. The catalog is the first one (Parquet with
-    title) and all earlier batches' new rows, of which only the keys are read, as one table.
+_ROUTED = "name string, ord long, title string, key string, route string, match string"
+_KNOWN = "keys array<string>, titles array<string>"
+
+
+class _Titles:
+    """Titles of one date by their keys, in the order they came."""
+
+    def __init__(self, keys: list[str], titles: list[str]):
+        self.keys, self.titles, self.place = keys, titles, {}
+        for i, k in enumerate(keys):
+            self.place.setdefault(k, i)
+        self.text, self.joined, self.starts = "", 0, []
+
+    def add(self, key: str, title: str) -> None:
+        self.place.setdefault(key, len(self.keys))
+        self.keys.append(key)
+        self.titles.append(title)
+
+    def _holding(self, name: str) -> list[int]:
+        """The first title whose key holds the name: one search in all keys as one text, and in what was added since."""
+        if len(self.keys) > 2 * self.joined:
+            self.text, self.joined = "\n".join(self.keys), len(self.keys)
+            self.starts = [0, *accumulate(len(k) + 1 for k in self.keys)]
+        at = self.text.find(name) if self.joined else -1
+        if at >= 0:
+            return [bisect_right(self.starts, at) - 1]
+        return next(([i] for i in range(self.joined, len(self.keys)) if name in self.keys[i]), [])
+
+    def match(self, key: str, names: list[str]) -> str | None:
+        """The earliest title with this key, or that holds one of the names or lies inside of one."""
+        found = [self.place[key]] if key in self.place else []
+        for name in filter(None, names):
+            found += self._holding(name)
+            found += [self.place[part] for a in range(len(name)) for b in range(a + 1, len(name) + 1) if (part := name[a:b]) in self.place]
+        return self.titles[min(found)] if found else None
+
+
+def _judge(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Routes of the arrivals of one date, or of one key where there is no date; the state holds the titles that are in the catalog by then."""
+    columns = ("arrival", "ord", "title", "name", "key", "names")
+    rows = [row for frame in frames for row in zip(*(frame[c].tolist() for c in columns), strict=True)]
+    rows.sort(key=lambda r: (r[0], r[1], r[2] or "", r[3] or ""))
+    known = _Titles(*map(list, state.get)) if state.exists else _Titles([], [])
+    before, out = len(known.keys), []
+    for arrival, ord_, title, name, key, names in rows:
+        if not arrival:
+            known.add(key, title)
+            continue
+        match = known.match(key, list(names)) if key else None
+        route = "error" if not key else "duplicate" if match is not None else "new"
+        if route == "new":
+            known.add(key, title)
+        out.append((name, ord_, title, key, route, match))
+    if len(known.keys) > before:
+        state.update((known.keys, known.titles))
+    if out:
+        yield pd.DataFrame(out, columns=["name", "ord", "title", "key", "route", "match"])
+
+
+def ingest_arrivals(arrivals: DataFrame, catalog: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """Route each arrival: duplicate, error (no key), or new, and write the batches to `sink`.
+
+    arrivals: a stream of name, ord, title and, where known, date and names (the names of its
+    entity, an array). catalog: a stream of title and, where known, date; its rows of a
+    batch count before the arrivals. An arrival is a duplicate of a title with the same
+    comparison key, or of one of its date that holds one of its names or lies inside one;
+    titles are those of the catalog and of arrivals that were new, in the order (ord, title,
+    name). Dates default to the first yyyy-mm-dd of the title. `match` is the earliest title
+    that it meets.
+
+    The keys are in the state store by date (by key where there is no date), so a batch
+    reads only what is new, however long the catalog is. A date's titles are one state. A
+    batch that runs again after a failure starts from the state before it and overwrites
+    its own output, so each arrival counts once.
     """
-    keys = f"{sink.rstrip('/')}-keys"
+    first = F.nullif(F.regexp_extract(F.coalesce("title", F.lit("")), "[0-9]{4}-[0-9]{2}-[0-9]{2}", 0), F.lit(""))
+
+    def keyed(df: DataFrame, arrival: bool) -> DataFrame:
+        names = F.transform("names", lambda n: text.compare_key(n)) if "names" in df.columns else F.array().cast("array<string>")
+        given = {"arrival": F.lit(arrival), "name": F.col("name") if arrival else F.lit(None).cast("string"), "ord": F.col("ord").cast("long") if arrival else F.lit(0).cast("long")}
+        date = F.coalesce(F.col("date").cast("string"), first) if "date" in df.columns else first
+        rows = df.select(*[c.alias(n) for n, c in given.items()], "title", text.compare_key(F.coalesce("title", F.lit(""))).alias("key"), F.coalesce(F.filter(names, lambda n: n.isNotNull()), F.array().cast("array<string>")).alias("names"), date.alias("date"))
+        # errors are spread, they meet no state
+        spread = F.concat(F.lit("!"), F.pmod(F.xxhash64("name"), F.lit(64)).cast("string"))
+        return rows.select("*", F.when(F.col("key") == "", spread).otherwise(F.coalesce("date", F.concat(F.lit("="), "key"))).alias("group")).drop("date")
+
+    rows = keyed(catalog, False).where("key <> ''").unionByName(keyed(arrivals, True))
+    routed = rows.groupBy("group").applyInPandasWithState(_judge, _ROUTED, _KNOWN, "append", GroupStateTimeout.NoTimeout)
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        base = spark.read.parquet(catalog_path).select(text.compare_key(F.col("title")).alias("key"))
-        if number:
-            base = base.unionByName(spark.read.schema("key string, batch long").parquet(keys).where(F.col("batch") < number).select("key"))
-        routed = route(batch, base).select("name", F.col("ord").cast("long").alias("ord"), "title", "key", "route")
-        routed.write.mode("overwrite").parquet(f"{sink}/batch={number}")
-        done = spark.read.schema(routed.schema).parquet(f"{sink}/batch={number}")
-        done.where("route = 'new'").select("key").write.mode("overwrite").parquet(f"{keys}/batch={number}")
-
-    return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    return routed.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_counts(routed: DataFrame) -> DataFrame:
