@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import rules
 from shelfmark.functions import dates, text
+from shelfmark.functions.folds import let, scan
 from shelfmark.operators.filters import is_prose, lines
 
 RICH = ("doc", "docx", "rtf", "pdf")
@@ -118,6 +119,95 @@ def sequence_parts(items: DataFrame, key: str, pos: str, number: str, section: s
     return rows.withColumn("__broken", broken).where("part > 0 and __broken = 0").select(key, pos, number, "part")
 
 
+_LIST_STATE = {"n": "int", "prev": "bigint", "boundary": "boolean", "seen": "boolean", "epoch": "int", "held": "int", "number": "bigint", "pos": "bigint", "missing": "bigint"}
+_LISTED = "array<struct<epoch:int,pos:bigint,number:bigint>>"
+_HIGH, _RESET, _GAP = 1, 2, 3
+
+
+def _list_step(state: Column, x: Column) -> Column:
+    """One numbered line of `numbered_list`: struct(state, out), where out has the lines that are in the list since."""
+    num, none = x["number"], F.array().cast(_LISTED)
+
+    def changed(s: Column, **new: Column) -> Column:
+        return F.struct(*[(new[f] if f in new else s[f]).cast(kind).alias(f) for f, kind in _LIST_STATE.items()])
+
+    def taken(s: Column, number: Column) -> Column:
+        return changed(s, n=s["n"] + 1, prev=number, boundary=F.lit(False), held=F.lit(0))
+
+    def line(s: Column, number: Column, pos: Column, epoch: Column | None = None) -> Column:
+        return F.struct((s["epoch"] if epoch is None else epoch).alias("epoch"), pos.alias("pos"), number.alias("number"))
+
+    def result(s: Column, out: Column, done: bool) -> Column:
+        return F.struct(s.alias("state"), out.alias("out"), F.lit(done).alias("done"))
+
+    def hold(s: Column, kind: int, missing: Column | None = None, **new: Column) -> Column:
+        return changed(s, held=F.lit(kind), number=num, pos=x["pos"], missing=F.lit(None) if missing is None else missing, **new)
+
+    def two(s: Column, first: Column) -> Column:
+        return result(taken(taken(s, first), num), F.array(line(s, first, s["pos"]), line(s, num, x["pos"])), True)
+
+    def resolve(s: Column) -> Column:
+        """What becomes of a line that is held back, now that the next one is known."""
+        again = F.coalesce((num == s["number"]) & (s["number"] == s["missing"] + 1), F.lit(False))
+        released = result(taken(s, s["number"]), F.array(line(s, s["number"], s["pos"])), False)
+        return (
+            F.when((s["held"] == _RESET) & (num == s["number"] + 1), two(s, s["number"])).when((s["held"] == _GAP) & again, two(s, s["missing"]))
+            .when(s["held"] == _GAP, released).when(s["held"] == _RESET, result(changed(s, held=F.lit(0)), none, False)).otherwise(result(s, none, False))
+        )
+
+    part = lambda c: F.when(c.between(100, 999), c % 100).otherwise(c)
+    disc = lambda c: F.when(c.between(100, 999), F.floor(c / 100))
+    begins = part(num).isin(0, 1)
+
+    def place(r: Column) -> Column:
+        s, own = r["state"], lambda s: F.concat(r["out"], F.array(line(s, num, x["pos"])))
+        take, skip = F.struct(taken(s, num).alias("state"), own(s).alias("out")), F.struct(s.alias("state"), r["out"].alias("out"))
+        keep = lambda s, out=r["out"]: F.struct(s.alias("state"), out.alias("out"))
+        anew = changed(s, n=F.lit(1), prev=num, boundary=F.lit(False), held=F.lit(0), epoch=s["epoch"] + 1)
+        restart = keep(anew, F.concat(r["out"], F.array(line(s, num, x["pos"], s["epoch"] + 1))))
+        confirmed = keep(taken(taken(s, s["number"]), num), F.concat(r["out"], F.array(line(s, s["number"], s["pos"]), line(s, num, x["pos"]))))
+        first = F.when(begins, take).when((s["held"] == _HIGH) & (num == s["number"] + 1), confirmed).otherwise(keep(hold(s, _HIGH)))
+        again = F.when((s["n"] == 1) & ~s["boundary"], restart).when(s["boundary"], take).when((part(s["prev"]) >= 1) & (part(num) == 1), keep(hold(s, _RESET))).otherwise(skip)
+        ahead = F.when((s["n"] > 1) | s["seen"], keep(hold(s, _GAP, s["prev"] + 1))).otherwise(keep(hold(s, _HIGH, n=F.lit(0), epoch=s["epoch"] + 1)))
+        next_disc = F.coalesce((disc(num) > disc(s["prev"])) & begins, F.lit(False))
+        main = F.when(s["n"] == 0, first).when((num == s["prev"] + 1) | next_disc, take).when(begins, again).when(num > s["prev"], ahead).otherwise(skip)
+        # the end of the document tells which list is the last one, as it may be empty
+        return F.when(num.isNull(), keep(s, own(s))).when(r["done"], skip).otherwise(main)
+
+    headed = changed(state, seen=state["seen"] | x["headed"], boundary=state["boundary"] | (x["headed"] & (state["n"] > 0)), held=F.when(x["headed"] & (state["held"] == _HIGH), 0).otherwise(state["held"]))
+    return let(headed, lambda s: let(resolve(s), place))
+
+
+def numbered_list(items: DataFrame, key: str, pos: str, number: str, section: str | None = None) -> DataFrame:
+    """(key, ord, pos, number): the numbered list of each document, one line after the other.
+
+    items are its numbered lines; `section` is true where a heading stands before a line. A
+    list begins at 0 or 1 (or at 100, 101, 200, ...). Lines that fit neither as the next
+    number, nor as the first of a higher disc, nor as a restart after a heading, are held
+    back until the next line tells:
+
+    - a higher start counts if the next line goes on from it, and the document has a heading;
+    - a restart at 1 without a heading counts if the next line is 2;
+    - a jump ahead in a list of two or more lines, or after a heading, counts as it is,
+      unless the next line repeats it and one number is missing: then it is that number;
+    - a first line alone is dropped for another start, or for a jump that may be a start.
+
+    Lower numbers are left out. The lines of a document are folded inside one row.
+    """
+    headed = F.lit(False) if section is None else F.coalesce(F.col(section), F.lit(False))
+    row = F.struct(F.col(pos).cast("long").alias("pos"), F.col(number).cast("long").alias("number"), headed.alias("headed"))
+    lists = items.where(F.col(number).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    nothing = {"n": F.lit(0), "boundary": F.lit(False), "seen": F.lit(False), "epoch": F.lit(0), "held": F.lit(0)}
+    start = F.struct(*[nothing.get(f, F.lit(None)).cast(kind).alias(f) for f, kind in _LIST_STATE.items()])
+    end = F.struct(F.lit(None).cast("long").alias("pos"), F.lit(None).cast("long").alias("number"), F.lit(False).alias("headed"))
+    found = lists.select(key, F.exists("rows", lambda x: x["headed"]).alias("headed"), F.flatten(scan(F.concat("rows", F.array(end)), start, _list_step, _LISTED)).alias("found"))
+    last = let(F.col("found"), lambda f: F.filter(f, lambda x: x["number"].isNotNull() & (x["epoch"] == F.element_at(f, -1)["epoch"])))
+    first = lambda f: F.get(f, 0)["number"]
+    begins = lambda n: F.when(n.between(100, 999), n % 100).otherwise(n).isin(0, 1)
+    kept = let(last, lambda f: F.when(F.col("headed") | begins(first(f)), f))
+    return found.select(key, F.posexplode(kept).alias("ord", "x")).select(key, (F.col("ord") + 1).cast("long").alias("ord"), "x.pos", "x.number")
+
+
 def best_run(runs: DataFrame, key: str, expected: DataFrame | None = None) -> DataFrame:
     """One run per document: one of the expected length if there is one, else the longest, the earliest of equals. expected: key, expected."""
     rows = runs if expected is None else runs.join(expected, key, "left")
@@ -148,13 +238,13 @@ def running_numbers(items: DataFrame, key: str, ord_: str, number: str, title: s
     """(key, ord, number, title): items keep their number or get one more than the highest so far; lines that only say encore are left out."""
     rows = items.where(~F.lower(F.trim(title)).rlike("^(encore|e)\\s*:?$"))
     lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(ord_).alias("o"), F.col(number).cast("long").alias("n"), F.col(title).alias("t")))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("top"), F.array().cast("array<struct<o:bigint,n:bigint,t:string>>").alias("out"))
+    kind = "struct<o:bigint,n:bigint,t:string>"
 
-    def step(state: Column, x: Column) -> Column:
-        n = F.coalesce(x["n"], state["top"] + 1)
-        return F.struct(F.greatest(state["top"], n).alias("top"), F.concat(state["out"], F.array(F.struct(x["o"].cast("long").alias("o"), n.alias("n"), x["t"].alias("t")))).alias("out"))
+    def step(top: Column, x: Column) -> Column:
+        n = F.coalesce(x["n"], top + 1)
+        return F.struct(F.greatest(top, n).alias("state"), F.struct(x["o"].cast("long").alias("o"), n.alias("n"), x["t"].alias("t")).alias("out"))
 
-    folded = lists.select(key, F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("r"))
+    folded = lists.select(key, F.explode(scan(F.col("rows"), F.lit(0).cast("long"), step, kind)).alias("r"))
     return folded.select(key, F.col("r.o").alias("ord"), F.col("r.n").alias("number"), F.col("r.t").alias("title"))
 
 

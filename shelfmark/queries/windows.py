@@ -89,6 +89,28 @@ def w5_parts(t):
     return op.sequence_parts(rows.select("id", "pos", F.col("pos").alias("number"), F.lit(False).alias("head")).union(odd).union(again), "id", "pos", "number", "head")
 
 
+_COUNTED = "SELECT l_orderkey AS id, count(*) AS k FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1 HAVING count(*) >= 2"
+
+
+@query("w5_numbered_list", f"""
+WITH c AS ({_COUNTED}), s AS (SELECT id, k, id % 8 AS v, unnest(range(1, k + 1)) AS i FROM c),
+r AS (
+  SELECT id, i AS ord, CASE v WHEN 0 THEN 10 + i WHEN 7 THEN 100 + i ELSE i END AS number FROM s
+  UNION ALL SELECT id, k + 1, CASE v WHEN 1 THEN 1 WHEN 4 THEN k + 2 WHEN 7 THEN 201 ELSE k + 1 END FROM s WHERE i = 1 AND v IN (1, 2, 3, 4, 7)
+  UNION ALL SELECT id, k + 2, CASE v WHEN 1 THEN 2 WHEN 3 THEN k + 2 WHEN 4 THEN k + 3 WHEN 7 THEN 202 END FROM s WHERE i = 1 AND v IN (1, 3, 4, 7)
+  UNION ALL SELECT id, k + i, i FROM s WHERE v = 5)
+SELECT id, ord::BIGINT AS ord, number::BIGINT AS number FROM r""")
+def w5_list(t):
+    """One rule for each eighth of the orders: high start, confirmed restart, stray restart, repeated jump, jump, heading, false first line, discs."""
+    k = F.count("*").cast("int").alias("k")
+    lists = t("lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber").distinct().groupBy("id").agg(k).where("k >= 2")
+    run = lambda first: f"transform(sequence(1, k), x -> {first} + x)"
+    forms = (f"concat(array(20), {run(10)})", f"concat({run(0)}, array(1, 2))", f"concat({run(0)}, array(1, k + 1))", f"concat({run(0)}, array(k + 2, k + 2))", f"concat({run(0)}, array(k + 2, k + 3))", f"concat({run(0)}, {run(0)})", f"concat(array(1, 7), {run(0)})", f"concat({run(100)}, array(201, 202))")
+    numbers = F.expr("CASE id % 8 " + " ".join(f"WHEN {i} THEN {form}" for i, form in enumerate(forms)) + " END")
+    items = lists.select("id", "k", F.posexplode(numbers).alias("pos", "number"))
+    return op.numbered_list(items.withColumn("head", F.expr("(id % 8 = 5 and pos = k) or (id % 8 = 0 and pos = 0)")), "id", "pos", "number", "head").select("id", "ord", "number")
+
+
 @query("w6_fill_sequence_gaps", f"""
 WITH n AS ({_NUMBERED}), e AS (SELECT l_orderkey, max(l_linenumber) + CASE WHEN l_orderkey % 5 = 0 THEN 10 ELSE 0 END AS n FROM n GROUP BY 1),
 w AS (SELECT e.l_orderkey, e.n, i AS number FROM e, range(1, 18) t(i) WHERE i <= e.n),
