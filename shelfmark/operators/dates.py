@@ -117,12 +117,28 @@ def year_ranges(df: DataFrame, key: str, column: str, pivot: int = 35) -> DataFr
 def match_compatible_dates(candidates: DataFrame, mentions: DataFrame, key: str) -> DataFrame:
     """(key, date, conflict): the more specific of compatible candidate and document dates; several distinct results, or none, are a conflict.
 
-    candidates and mentions: key, date.
+    candidates and mentions: key, date. Repeats count once. Dates with a known year, and each
+    year of a range, meet by (key, year); those without one, of which a record has few
+    different ones, meet all of their record.
     """
-    pairs = candidates.select(key, F.col("date").alias("c")).join(mentions.select(key, F.col("date").alias("m")), key, "left")
-    fits = pairs.withColumn("ok", dates.compatible(F.col("c"), F.col("m")))
-    chosen = F.when(F.col("ok") & (dates.specificity(F.col("m")) > dates.specificity(F.col("c"))), F.col("m")).when(F.col("ok") | F.col("m").isNull(), F.col("c"))
-    sets = fits.withColumn("chosen", chosen).groupBy(key).agg(F.array_sort(F.collect_set("chosen")).alias("set"), F.array_sort(F.collect_set("c")).alias("all"))
+    year = F.substring("date", 1, 4).try_cast("int")
+    years = F.when(dates.is_range(F.col("date")), F.sequence(year, F.greatest(year, F.substring("date", 6, 4).try_cast("int")))).when(year.isNotNull(), F.array(year))
+
+    def side(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """(key, date as name, year) of dates with a year, and (key, name) of those without."""
+        known = df.withColumn("years", years)
+        return known.select(key, F.col("date").alias(name), F.explode("years").alias("year")), known.where("years is null").select(key, F.col("date").alias(name))
+
+    every, told = candidates.select(key, "date").distinct(), mentions.select(key, "date").distinct()
+    (c_known, c_open), (m_known, m_open) = side(every, "c"), side(told.where("date is not null"), "m")
+    pairs = c_known.join(m_known, [key, "year"]).drop("year").unionByName(c_known.select(key, "c").distinct().join(m_open, key)).unionByName(c_open.join(told.where("date is not null").select(key, F.col("date").alias("m")), key))
+    fits = pairs.where(dates.compatible(F.col("c"), F.col("m")))
+    chosen = fits.select(key, F.when(dates.specificity(F.col("m")) > dates.specificity(F.col("c")), F.col("m")).otherwise(F.col("c")).alias("chosen"))
+    # without a date in its document a candidate stands
+    blank = told.groupBy(key).agg(F.bool_or(F.col("date").isNull()).alias("blank"))
+    alone = every.join(blank, key, "left").where("coalesce(blank, true)").select(key, F.col("date").alias("chosen"))
+    sets = chosen.unionByName(alone).select(key, "chosen", F.lit(None).cast("string").alias("c")).unionByName(every.select(key, F.lit(None).cast("string").alias("chosen"), F.col("date").alias("c")))
+    sets = sets.groupBy(key).agg(F.array_sort(F.collect_set("chosen")).alias("set"), F.array_sort(F.collect_set("c")).alias("all"))
     one = F.size("set") == 1
     return sets.select(key, F.when(one, F.col("set")[0]).alias("date"), F.when(~one, F.array_join(F.when(F.size("set") > 1, F.col("set")).otherwise(F.col("all")), " | ")).alias("conflict"))
 

@@ -87,9 +87,10 @@ def consensus(df: DataFrame, key: str, value: str, collision: Column | None = No
 
 
 def counts_by_volume(df: DataFrame, label: str, token: str) -> DataFrame:
-    """Per label, without regard to case: rows and the distinct tokens in order."""
+    """Per label, without regard to case: rows and the distinct tokens in order. Repeats are counted away by (label, token) first, so only the list itself meets in one place."""
     key = F.lower(paths.storage_label(F.coalesce(F.col(label), F.lit(""))))
-    return df.groupBy(key.alias("volume")).agg(F.count("*").alias("n_rows"), F.array_join(F.array_sort(F.collect_set(token)), ",").alias("tokens"))
+    each = df.groupBy(key.alias("volume"), F.col(token).alias("token")).agg(F.count("*").alias("n"))
+    return each.groupBy("volume").agg(F.sum("n").alias("n_rows"), F.array_join(F.array_sort(F.collect_list("token")), ",").alias("tokens"))
 
 
 def reason_rows(log: DataFrame, line: str = "line") -> DataFrame:
@@ -106,8 +107,12 @@ def reason_counts(log: DataFrame, line: str = "line") -> DataFrame:
 
 
 def merge_stats(df: DataFrame, keys: Sequence[str], counters: Sequence[str], items: str) -> DataFrame:
-    """Counters summed and item lists united without repeats."""
-    return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counters], F.array_sort(F.array_distinct(F.flatten(F.collect_list(items)))).alias(items))
+    """Counters summed and item lists united without repeats: repeats go by (keys, item) first, so no group holds more than its result."""
+    kind = df.schema[items].dataType.elementType.simpleString()
+    sums = df.select(*keys, *counters, F.lit(None).cast(f"struct<item:{kind}>").alias("__i"))
+    each = df.select(*keys, *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in counters], F.explode(F.transform(items, lambda x: F.struct(x.alias("item")))).alias("__i"))
+    once = sums.unionByName(each).groupBy(*keys, "__i").agg(*[F.sum(c).alias(c) for c in counters])
+    return once.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counters], F.array_sort(F.transform(F.collect_list("__i"), lambda x: x["item"])).alias(items))
 
 
 def capacity_rollup(moves: DataFrame, free: DataFrame) -> DataFrame:

@@ -55,6 +55,25 @@ def d4(t):
     return op.match_compatible_dates(masked(t).select("o_orderkey", "date"), told, "o_orderkey")
 
 
+@query("d4_ranges_and_parts", f"""
+WITH m AS ({_MASKED}), y AS (SELECT o_custkey, min(year(o_orderdate)) AS a, max(year(o_orderdate)) AS b FROM orders GROUP BY 1),
+c AS (SELECT DISTINCT o_custkey AS id, date AS c FROM m WHERE o_orderkey % 2 = 0 UNION SELECT o_custkey, a || '-' || b FROM y WHERE b > a AND o_custkey % 3 = 0),
+t AS (SELECT DISTINCT o_custkey AS id, date AS m FROM m WHERE o_orderkey % 2 = 1 UNION SELECT o_custkey, '19xx-xx-xx' FROM y WHERE o_custkey % 5 = 0),
+p AS (SELECT c.id, c, m, c[5] = '-' AND len(c) = 9 AS rc, contains(c, 'x') AS xc FROM c LEFT JOIN t USING (id)),
+k AS (SELECT *, CASE WHEN m IS NULL THEN false WHEN m = '19xx-xx-xx' THEN NOT rc WHEN rc THEN m[1:4] BETWEEN c[1:4] AND c[6:9]
+    ELSE c[1:4] = m[1:4] AND (c[6:7] = m[6:7] OR contains(c[6:7], 'x') OR contains(m[6:7], 'x')) AND (c[9:10] = m[9:10] OR contains(c[9:10], 'x') OR contains(m[9:10], 'x')) END AS ok,
+  CASE WHEN rc THEN 0 ELSE len(list_filter(string_split(c, '-'), lambda x: NOT contains(x, 'x'))) END AS sc, CASE WHEN m IS NULL THEN 0 ELSE len(list_filter(string_split(m, '-'), lambda x: NOT contains(x, 'x'))) END AS sm FROM p),
+g AS (SELECT id, list_sort(list(DISTINCT CASE WHEN ok AND sm > sc THEN m WHEN ok OR m IS NULL THEN c END) FILTER (ok OR m IS NULL)) AS s, list_sort(list(DISTINCT c)) AS every FROM k GROUP BY id)
+SELECT id, CASE WHEN len(s) = 1 THEN s[1] END AS date, CASE WHEN s IS NULL OR len(s) <> 1 THEN array_to_string(CASE WHEN len(s) > 1 THEN s ELSE every END, ' | ') END AS conflict FROM g""")
+def d4_ranges(t):
+    """Dates and year ranges of a customer's even orders against those of the odd ones, some with an unknown year."""
+    rows = masked(t).withColumn("id", F.col("o_custkey"))
+    years = t("orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min(F.year("o_orderdate")).alias("a"), F.max(F.year("o_orderdate")).alias("b"))
+    spans = years.where("b > a and id % 3 = 0").select("id", F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")).alias("date"))
+    told = rows.where("o_orderkey % 2 = 1").select("id", "date").unionByName(years.where("id % 5 = 0").select("id", F.lit("19xx-xx-xx").alias("date")))
+    return op.match_compatible_dates(rows.where("o_orderkey % 2 = 0").select("id", "date").unionByName(spans), told, "id")
+
+
 @query("d5_prefer_complete_dates", f"""
 WITH m AS (SELECT DISTINCT o_custkey % 700 AS id, date FROM ({_MASKED})), c AS (SELECT id, count(DISTINCT date) AS n FROM m WHERE NOT contains(date, 'x') GROUP BY id)
 SELECT m.id, date FROM m LEFT JOIN c USING (id) WHERE NOT (coalesce(n, 0) = 1 AND contains(date, 'x'))""")
@@ -85,7 +104,9 @@ def d7(t):
 WITH {BUILT}
 SELECT doc_id, regexp_extract(text, 'Artist: ([^\n]*)', 1) AS artist, regexp_extract(text, 'Date: ([^\n]*)', 1) AS date, regexp_extract(text, 'Location: ([^\n]*)', 1) AS location, CAST(NULL AS VARCHAR) AS venue FROM built""")
 def d8(t):
-    return op.labelled_fields(built_docs(t), "doc_id", "text")
+    # a long opening stands before the labels of every other document
+    docs = built_docs(t).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.repeat(F.lit("a line of prose\n"), F.lit(150)), "text")).otherwise(F.col("text")))
+    return op.labelled_fields(docs, "doc_id", "text")
 
 
 @query("d9_numbered_items", "SELECT l_orderkey AS doc_id, l_linenumber::BIGINT AS number, p_name AS title FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2) JOIN part ON p_partkey = p")

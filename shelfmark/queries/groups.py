@@ -149,12 +149,12 @@ def a11(t):
 
 @query("a12_conflict_summary", """
 WITH b AS (
-  SELECT 0 AS part, event_id AS ord, CASE WHEN event_id % 10 = 0 THEN 'root' || event_id END AS root, 'u' || user_id AS source, event_type || value::BIGINT AS message FROM events WHERE event_type = 'error'
+  SELECT 0 AS part, event_id AS ord, CASE WHEN event_id % 10 = 0 THEN 'root' || event_id END AS root, 'u' || user_id AS source, event_type || value::BIGINT AS message FROM events
   UNION ALL SELECT 1, c_custkey, NULL, 'c', 'blank ' || c_mktsegment FROM customer),
 r AS (SELECT part, ord, last_value(root IGNORE NULLS) OVER (PARTITION BY source ORDER BY part, ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS root, source, message FROM b)
 SELECT part, ord, root, source, message FROM (SELECT *, row_number() OVER (PARTITION BY message ORDER BY part, ord, source) AS rn FROM r) WHERE rn = 1""")
 def a12(t):
-    events = t("events").where("event_type = 'error'")
+    events = t("events")
     root = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("root"), F.col("event_id").cast("string")))
     conflicts = events.select(F.col("event_id").alias("ord"), root.alias("root"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"), F.concat("event_type", F.rint("value").cast("long").cast("string")).alias("message"))
     blank = t("customer").select(F.col("c_custkey").alias("ord"), F.lit(None).cast("string").alias("root"), F.lit("c").alias("source"), F.concat(F.lit("blank "), "c_mktsegment").alias("message"))
