@@ -665,9 +665,12 @@ def planted_copies(rng, copies, edits):
     return out
 
 
-@pytest.mark.parametrize("common", [1 << 15, 0])
-def test_alike_by_force(spark, monkeypatch, common):
+@pytest.mark.parametrize(("common", "most", "company"), [(1 << 15, 2, 8), (0, 2, 8), (0, 0, 2)])
+def test_alike_by_force(spark, monkeypatch, common, most, company):
+    """With 0 pairs for a member all that are apart meet by chance first, in rounds."""
     monkeypatch.setattr(likeness, "_COMMON", common)
+    monkeypatch.setattr(likeness, "_PAIRS_PER_MEMBER", most)
+    monkeypatch.setattr(likeness, "_COMPANY", company)
     rng = random.Random(11)
     line = data.words(rng, 30, 3_000)
     texts = [r[1] for r in ROWS] + planted_copies(rng, 6, 6) + [f"{line} {data.words(rng, n, 3_000)}" for n in (2, 5, 9, 14, 20, 30)]
