@@ -671,6 +671,7 @@ def test_alike_by_force(spark, monkeypatch, common, most, company):
     monkeypatch.setattr(likeness, "_COMMON", common)
     monkeypatch.setattr(likeness, "_PAIRS_PER_MEMBER", most)
     monkeypatch.setattr(likeness, "_COMPANY", company)
+    monkeypatch.setattr(likeness, "_CROWD", 1 if most == 0 else 64)
     rng = random.Random(11)
     line = data.words(rng, 30, 3_000)
     texts = [r[1] for r in ROWS] + planted_copies(rng, 6, 6) + [f"{line} {data.words(rng, n, 3_000)}" for n in (2, 5, 9, 14, 20, 30)]
