@@ -69,7 +69,8 @@ class _Titles:
 
 
 def _judge(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Routes of the arrivals of one date, or of one key where there is no date; the state holds the titles that are in the catalog by then."""
+    """Routes of the arrivals of one date, or of some keys without a date; the state holds the titles that are in the catalog by then."""
+    dated = not group[0].startswith("=")
     columns = ("arrival", "ord", "title", "name", "key", "names")
     rows = [row for frame in frames for row in zip(*(frame[c].tolist() for c in columns), strict=True)]
     rows.sort(key=lambda r: (r[0], r[1], r[2] or "", r[3] or ""))
@@ -79,7 +80,7 @@ def _judge(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
         if not arrival:
             known.add(key, title)
             continue
-        match = known.match(key, list(names)) if key else None
+        match = known.match(key, list(names) if dated else []) if key else None
         route = "error" if not key else "duplicate" if match is not None else "new"
         if route == "new":
             known.add(key, title)
@@ -90,7 +91,7 @@ def _judge(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
         yield pd.DataFrame(out, columns=["name", "ord", "title", "key", "route", "match"])
 
 
-def ingest_arrivals(arrivals: DataFrame, catalog: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+def ingest_arrivals(arrivals: DataFrame, catalog: DataFrame, sink: str, checkpoint: str, undated: int = 4_096) -> StreamingQuery:
     """Route each arrival: duplicate, error (no key), or new, and write the batches to `sink`.
 
     arrivals: a stream of name, ord, title and, where known, date and names (the names of its
@@ -101,8 +102,9 @@ def ingest_arrivals(arrivals: DataFrame, catalog: DataFrame, sink: str, checkpoi
     name). Dates default to the first yyyy-mm-dd of the title. `match` is the earliest title
     that it meets.
 
-    The keys are in the state store by date (by key where there is no date), so a batch
-    reads only what is new, however long the catalog is. A date's titles are one state. A
+    The keys are in the state store by date, those without a date by their hash in `undated`
+    groups (more of them for a longer catalog), so a batch reads only what is new and the
+    states it meets. A date's titles are one state. A
     batch that runs again after a failure starts from the state before it and overwrites
     its own output, so each arrival counts once.
     """
@@ -115,7 +117,7 @@ def ingest_arrivals(arrivals: DataFrame, catalog: DataFrame, sink: str, checkpoi
         rows = df.select(*[c.alias(n) for n, c in given.items()], "title", text.compare_key(F.coalesce("title", F.lit(""))).alias("key"), F.coalesce(F.filter(names, lambda n: n.isNotNull()), F.array().cast("array<string>")).alias("names"), date.alias("date"))
         # errors are spread, they meet no state
         spread = F.concat(F.lit("!"), F.pmod(F.xxhash64("name"), F.lit(64)).cast("string"))
-        return rows.select("*", F.when(F.col("key") == "", spread).otherwise(F.coalesce("date", F.concat(F.lit("="), "key"))).alias("group")).drop("date")
+        return rows.select("*", F.when(F.col("key") == "", spread).otherwise(F.coalesce("date", F.concat(F.lit("="), F.pmod(F.xxhash64("key"), F.lit(undated)).cast("string")))).alias("group")).drop("date")
 
     rows = keyed(catalog, False).where("key <> ''").unionByName(keyed(arrivals, True))
     routed = rows.groupBy("group").applyInPandasWithState(_judge, _ROUTED, _KNOWN, "append", GroupStateTimeout.NoTimeout)
