@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from shelfmark import rules
 from shelfmark.functions import paths, text
 from shelfmark.operators.filters import lines
+from shelfmark.operators.trees import enclosing, proper
 
 
 def folder_profile(files: DataFrame, path: str) -> DataFrame:
     """Per folder with files: count, first file, extensions; folders below another such folder are not counted apart."""
     rows = files.select(F.regexp_replace(F.col(path), "/[^/]*$", "").alias("folder"), F.col(path).alias("file"), paths.extension(F.col(path)).alias("ext"))
     profile = rows.groupBy("folder").agg(F.count("*").alias("n_files"), F.min("file").alias("first_file"), F.array_join(F.array_sort(F.collect_set("ext")), ",").alias("extensions"))
-    above = profile.select("folder", F.explode(F.filter(paths.ancestors(F.col("folder")), lambda a: a != F.col("folder"))).alias("up"))
-    nested = above.join(profile.select(F.col("folder").alias("up")), "up", "left_semi").select("folder").distinct()
-    return profile.join(nested, "folder", "left_anti")
+    swept = enclosing(profile, F.lit(""), F.col("folder"))
+    return swept.where(F.size(proper()) == 0).select(*profile.columns)
 
 
 _PART = "(?i)[ _-]*\\(?(cd|disc|disk|vol(ume)?|part)[ ._-]*([0-9]{1,2})\\)?$"

@@ -12,6 +12,7 @@ from shelfmark.functions import paths, text
 from shelfmark.functions.folds import let
 from shelfmark.functions.sketch import key_filter
 from shelfmark.operators.projections import term_variants
+from shelfmark.operators.trees import enclosing, folder_digests, folder_of, proper
 from shelfmark.operators.windows import RICH
 from shelfmark.sources.files import scratch
 
@@ -227,19 +228,18 @@ def exact_key_duplicates(new: DataFrame, catalog: DataFrame, id_: str, title: st
     return a.join(b, "key").select("new_id", "old_id")
 
 
-def _within(df: DataFrame, label: str, path: str, roots: DataFrame, how: str) -> DataFrame:
-    """Rows at or below a root of their label; a blank root stands for the whole label."""
-    up = F.concat(F.array(F.lit("")), F.coalesce(paths.ancestors(F.col(path)), F.array().cast("array<string>")))
-    keyed = df.withColumn("__id", F.struct(label, path))
-    hits = keyed.select("__id", F.lower(label).alias("l"), F.explode(up).alias("root")).join(roots.select(F.lower("label").alias("l"), F.coalesce("root", F.lit("")).alias("root")), ["l", "root"], "left_semi")
-    return keyed.join(hits.select("__id").distinct(), "__id", how).drop("__id")
-
-
 def replace_scopes(catalog: DataFrame, label: str, path: str, roots: DataFrame, replace_all: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(kept, replaced): catalog rows outside and inside the re-scanned roots (label, root); with replace_all nothing is kept."""
+    """(kept, replaced): catalog rows outside and inside the re-scanned roots (label, root); with replace_all nothing is kept.
+
+    Labels count without regard to case; a blank root stands for the whole label. Both
+    parts come out of one sweep of the folder tree.
+    """
     if replace_all:
         return catalog.limit(0), catalog
-    return _within(catalog, label, path, roots, "left_anti"), _within(catalog, label, path, roots, "left_semi")
+    scopes = roots.select(F.lower("label").alias("label"), "root")
+    judged = enclosing(catalog, F.lower(label), F.col(path), scopes).withColumn("__inside", F.size("__above") > 0)
+    rest = [F.col(f"`{c}`") for c in catalog.columns]
+    return judged.where("not __inside").select(*rest), judged.where("__inside").select(*rest)
 
 
 def remove_rows(catalog: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -251,8 +251,8 @@ def overlapping_roots(roots: DataFrame, label: str, root: str) -> DataFrame:
     rows = roots.select(F.col(label).alias("label"), F.col(root).alias("root"))
     twice = rows.groupBy("label", "root").count().where("count > 1").select("label", "root", F.lit("duplicate").alias("issue"), F.col("root").alias("other"))
     one = rows.distinct()
-    up = one.select("label", "root", F.explode(F.filter(paths.ancestors(F.col("root")), lambda a: a != F.col("root"))).alias("other"))
-    pairs = up.join(one.withColumnRenamed("root", "other"), ["label", "other"], "left_semi")
+    open_ = enclosing(one, F.col("label"), F.col("root"), one.where(F.size(paths.parts_of(F.col("root"))) > 0))
+    pairs = open_.select("label", "root", F.explode(proper()).alias("up")).select("label", "root", F.col("up.root").alias("other"))
     return twice.unionByName(pairs.select("label", "root", F.lit("inside").alias("issue"), "other")).unionByName(pairs.select("label", F.col("other").alias("root"), F.lit("contains").alias("issue"), F.col("root").alias("other")))
 
 
@@ -262,12 +262,15 @@ def classify_root_relation(new: DataFrame, stored: DataFrame) -> DataFrame:
     relation joins exact, child (below a stored root) and parent; action is append_blank
     for a blank label, reinventory where there is a relation, else new.
     """
-    up = lambda df: df.select("label", "root", F.explode(paths.ancestors(F.col("root"))).alias("up"))
-    kept = stored.select("label", F.col("root").alias("up")).distinct()
-    down = up(new).join(kept, ["label", "up"]).select("label", "root", F.when(F.col("up") == F.col("root"), "exact").otherwise("child").alias("relation"))
-    over = up(stored).where("up <> root").select("label", F.col("up").alias("root")).distinct().join(new.select("label", "root"), ["label", "root"]).select("label", "root", F.lit("parent").alias("relation"))
-    found = down.unionByName(over).groupBy("label", "root").agg(F.array_join(F.array_sort(F.collect_set("relation")), ",").alias("relation"))
-    out = new.select("label", "root").distinct().join(found, ["label", "root"], "left").withColumn("relation", F.coalesce("relation", F.lit("unrelated")))
+    wanted, known = (df.select("label", "root").distinct() for df in (new, stored))
+    named = lambda df: df.where(F.size(paths.parts_of(F.col("root"))) > 0)
+    own = F.exists("__above", lambda r: r["key"] == F.col("__key"))
+    down = enclosing(wanted, F.col("label"), F.col("root"), named(known))
+    down = down.select("label", "root", F.when(F.size(proper()) > 0, "child").alias("child"), F.when(own, "exact").alias("exact"))
+    over = enclosing(known, F.col("label"), F.col("root"), named(wanted)).select("label", F.explode(proper()).alias("up"))
+    over = over.select("label", F.col("up.root").alias("root"), F.lit("parent").alias("parent")).distinct()
+    related = F.concat_ws(",", "child", "exact", "parent")
+    out = down.join(over, ["label", "root"], "left").select("label", "root", F.when(related == "", "unrelated").otherwise(related).alias("relation"))
     return out.withColumn("action", F.when(F.col("label") == "", "append_blank").when(F.col("relation") == "unrelated", "new").otherwise("reinventory"))
 
 
@@ -285,10 +288,27 @@ def orphan_documents(replaced: DataFrame, kept: DataFrame, documents: DataFrame,
 
 
 def manifest_diff(source: DataFrame, target: DataFrame) -> DataFrame:
-    """(path, status) of two manifests (path, size, sha256): missing, extra, size, hash or same."""
-    s, d = (x.select("path", F.col("size").alias(f"{p}_size"), F.col("sha256").alias(f"{p}_hash"), F.lit(True).alias(p)) for x, p in ((source, "s"), (target, "d")))
+    """(path, status) of two manifests (path, size, sha256), which have one row for each path: missing, extra, size, hash or same.
+
+    Folders whose files have the same digest on both sides are the same as wholes; files
+    are joined one by one only where the digests of their folder differ.
+    """
+    folders = folder_digests(source, "s").join(folder_digests(target, "d"), "folder", "full")
+    equal = F.coalesce((F.col("s_n") == F.col("d_n")) & (F.col("s_sum") == F.col("d_sum")), F.lit(False))
+    # both decisions read one table, so the manifests are digested once
+    judged = scratch(source.sparkSession, "folders")
+    folders.select("folder", equal.alias("equal")).write.parquet(judged)
+    judged = source.sparkSession.read.schema("folder string, equal boolean").parquet(judged)
+    alike = judged.where("equal").select("folder")
+
+    def others(df: DataFrame, side: str) -> DataFrame:
+        told = df.select("path", F.col("size").alias(f"{side}_size"), F.col("sha256").alias(f"{side}_hash"), F.lit(True).alias(side), folder_of(F.col("path")).alias("folder"))
+        return told.join(alike, "folder", "left_anti").drop("folder")
+
     status = F.when(F.col("d").isNull(), "missing").when(F.col("s").isNull(), "extra").when(F.col("s_size") != F.col("d_size"), "size").when(~F.col("s_hash").eqNullSafe(F.col("d_hash")), "hash").otherwise("same")
-    return s.join(d, "path", "full").select("path", status.alias("status"))
+    differ = others(source, "s").join(others(target, "d"), "path", "full").select("path", status.alias("status"))
+    same = source.select("path", folder_of(F.col("path")).alias("folder")).join(alike, "folder", "left_semi").select("path", F.lit("same").alias("status"))
+    return differ.unionByName(same)
 
 
 def confirm_titles(titles: DataFrame, docs: DataFrame, key: str, body: str) -> DataFrame:
@@ -316,7 +336,8 @@ def candidate_documents(folders: DataFrame, documents: DataFrame, allowed_parent
     above = ups.join(docs, "place").select("folder", "document", F.lit(2).alias("tier"))
     info = docs.where(F.lower(F.regexp_extract("place", "([^/]*)$", 1)).rlike("info|text|docs")).withColumn("up", F.regexp_replace("place", "/[^/]*$", ""))
     beside = folders.withColumn("up", parent).join(info, "up").where("place <> folder").select("folder", "document", F.lit(3).alias("tier"))
-    below = docs.select("document", F.explode(F.filter(paths.ancestors(F.col("place")), lambda a: a != F.col("place"))).alias("folder")).join(folders, "folder").select("folder", "document", F.lit(4).alias("tier"))
+    tree = folders.where(F.size(paths.parts_of(F.col("folder"))) > 0).select(F.lit("").alias("label"), F.col("folder").alias("root"))
+    below = enclosing(docs, F.lit(""), F.col("place"), tree).select("document", F.explode(proper()).alias("f")).select(F.col("f.root").alias("folder"), "document", F.lit(4).alias("tier"))
     every = own.select("folder", "document", "tier").unionByName(above).unionByName(beside).unionByName(below)
     best = every.groupBy("folder", "document").agg(F.min("tier").cast("long").alias("tier"))
     # own folder, parent with its info folders, folders below; rich formats before the others in each

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text
 from shelfmark.operators import joins as op
+from shelfmark.operators.trees import tree_diff
 from shelfmark.queries import query
 from shelfmark.queries.groups import PATHS, page_paths
 from shelfmark.queries.keys import titles
@@ -226,6 +227,40 @@ def j17(t):
     return op.manifest_diff(mine, changed.union(extra)).groupBy("status").agg(F.count("*").alias("n"))
 
 
+_SIDES = f"""
+m AS (SELECT page_id, path || '/p' || page_id AS file, path FROM ({PATHS})),
+s AS (SELECT file AS path, length(file) AS size, CASE WHEN page_id % 40 = 0 THEN 'old' ELSE 'a' END AS h FROM m),
+d AS (SELECT file AS path, length(file) + CASE WHEN page_id % 50 = 0 THEN 1 ELSE 0 END AS size, 'a' AS h FROM m WHERE page_id % 60 <> 0 UNION ALL SELECT path || '/new/p' || page_id, 1, 'a' FROM m WHERE page_id % 70 = 0)"""
+
+
+def _manifests(t):
+    """Pages as files of two stores; the second has some of them changed, some removed and some more."""
+    n, file = F.col("page_id"), F.concat(F.col("path"), F.lit("/p"), "page_id")
+    rows = page_paths(t).withColumns({"file": file, "size": F.length(file)})
+    source = rows.select(F.col("file").alias("path"), "size", F.when(n % 40 == 0, "old").otherwise("a").alias("sha256"))
+    target = rows.where("page_id % 60 <> 0").select(F.col("file").alias("path"), (F.col("size") + F.when(n % 50 == 0, 1).otherwise(0)).alias("size"), F.lit("a").alias("sha256"))
+    return source, target.union(rows.where("page_id % 70 = 0").select(F.concat(F.col("path"), F.lit("/new/p"), "page_id"), F.lit(1), F.lit("a")))
+
+
+@query("j17_files", f"""
+WITH {_SIDES}
+SELECT coalesce(s.path, d.path) AS path, CASE WHEN d.path IS NULL THEN 'missing' WHEN s.path IS NULL THEN 'extra' WHEN s.size <> d.size THEN 'size' WHEN s.h <> d.h THEN 'hash' ELSE 'same' END AS status FROM s FULL JOIN d ON s.path = d.path""")
+def j17_files(t):
+    return op.manifest_diff(*_manifests(t))
+
+
+@query("j17_folders", f"""
+WITH {_SIDES},
+j AS (SELECT coalesce(s.path, d.path) AS path, s.path IS NOT NULL AS l, d.path IS NOT NULL AS r, s.path IS NOT NULL AND d.path IS NOT NULL AND s.size = d.size AND s.h = d.h AS same FROM s FULL JOIN d ON s.path = d.path),
+p AS (SELECT string_split(path, '/') AS p, l, r, same FROM j),
+f AS (SELECT array_to_string(p[1:n], '/') AS folder, l, r, same FROM p, range(1, 30) a(n) WHERE n < len(p)),
+g AS (SELECT folder, count(*) FILTER (l) AS source_files, count(*) FILTER (r) AS target_files, bool_and(same) AS same FROM f GROUP BY 1),
+c AS (SELECT folder, CASE WHEN target_files = 0 THEN 'missing' WHEN source_files = 0 THEN 'extra' WHEN same THEN 'same' ELSE 'changed' END AS status, source_files, target_files FROM g)
+SELECT * FROM c WHERE folder = '' OR regexp_replace(folder, '/[^/]*$', '') IN (SELECT folder FROM c WHERE status = 'changed')""")
+def j17_folders(t):
+    return tree_diff(*_manifests(t))
+
+
 @query("j18_confirm_titles", """
 WITH n AS (SELECT l_orderkey AS id, count(DISTINCT p_name) AS n_titles, bool_and(p_name NOT LIKE 'red%') AS clean FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
 SELECT id, n_titles, clean OR id % 2 = 0 AS confirmed FROM n""")
