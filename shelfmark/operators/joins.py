@@ -14,7 +14,7 @@ from shelfmark.functions.sketch import key_filter
 from shelfmark.operators.projections import term_variants
 from shelfmark.operators.trees import enclosing, folder_digests, folder_of, proper
 from shelfmark.operators.windows import RICH
-from shelfmark.sources.files import scratch
+from shelfmark.sources.files import stored
 
 
 def resolve_aliases(df: DataFrame, key: str, name: str, terms: DataFrame) -> DataFrame:
@@ -49,10 +49,7 @@ def _dictionary_windows(df: DataFrame, key: str, line_keys: Column, phrases: Dat
     the whole grams are probed where the windows are made, so nearly all others never leave
     their row. The time is linear in the number of words.
     """
-    known = _phrases(phrases)
-    path = scratch(phrases.sparkSession, "dictionary")
-    known.write.parquet(path)
-    known = phrases.sparkSession.read.schema(known.schema).parquet(path)
+    known = stored(_phrases(phrases), "dictionary")
     count = known.count()
     begins = known.select(F.substring_index("gram", " ", 1).alias("word")).distinct()
     whole, holds = key_filter(known, "gram", count)
@@ -296,10 +293,7 @@ def manifest_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     folders = folder_digests(source, "s").join(folder_digests(target, "d"), "folder", "full")
     equal = F.coalesce((F.col("s_n") == F.col("d_n")) & (F.col("s_sum") == F.col("d_sum")), F.lit(False))
     # both decisions read one table, so the manifests are digested once
-    judged = scratch(source.sparkSession, "folders")
-    folders.select("folder", equal.alias("equal")).write.parquet(judged)
-    judged = source.sparkSession.read.schema("folder string, equal boolean").parquet(judged)
-    alike = judged.where("equal").select("folder")
+    alike = stored(folders.select("folder", equal.alias("equal")), "folders").where("equal").select("folder")
 
     def others(df: DataFrame, side: str) -> DataFrame:
         told = df.select("path", F.col("size").alias(f"{side}_size"), F.col("sha256").alias(f"{side}_hash"), F.lit(True).alias(side), folder_of(F.col("path")).alias("folder"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths
-from shelfmark.sources.files import scratch
+from shelfmark.sources.files import stored
 
 # The end of a component sorts before all characters; a component that holds the mark itself has it replaced.
 _END, _ESCAPE = "\u0001", "\u0002"
@@ -49,10 +49,7 @@ def enclosing(rows: DataFrame, label: Column, path: Column, roots: DataFrame | N
     both = both.withColumn("depth", F.when(F.col("root").isNotNull(), _depth(F.col("key"))))
     plain = [F.col(f"row.`{f.name}`") for f in rows.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     spread = F.xxhash64(*plain) if plain else F.lit(0)  # rows of one path need not stay in one range
-    target = scratch(rows.sparkSession, "tree")
-    ranged = both.repartitionByRange("key", "kind", spread).withColumn("range", F.spark_partition_id())
-    ranged.write.parquet(target)
-    dealt = rows.sparkSession.read.schema(ranged.schema).parquet(target)
+    dealt = stored(both.repartitionByRange("key", "kind", spread).withColumn("range", F.spark_partition_id()), "tree")
 
     depths = sorted(r[0] for r in dealt.where("depth is not null").select("depth").distinct().collect())
     if not depths:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import search, text
@@ -12,45 +12,81 @@ from shelfmark.operators import dates as date_jobs
 from shelfmark.operators import filters, groups, joins, ordering, windows
 from shelfmark.operators.projections import compose_names, document_key, path_components
 from shelfmark.operators.search_index import SearchIndex
+from shelfmark.sources.files import stored
 
 
-def resolve_records(folders: DataFrame, terms: DataFrame, mentions: DataFrame, sources: list[tuple[str, DataFrame]], files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+# Where a date of a record comes from, the best first.
+_NAME, _PATH, _TAG, _FILE, _DOCUMENT = range(1, 6)
+
+
+def _placed(tails: DataFrame, places: DataFrame) -> DataFrame:
+    """(id, venue, location) of tails (id, venue): known places off the end, and what stands before them as it is written."""
+    found = joins.geo_resolve(tails.where("venue is not null"), "id", "venue", places)
+    location = F.nullif(F.concat_ws(", ", "city", "region", "country"), F.lit(""))
+    found = found.select("id", "rest", F.col("venue").alias("hall"), location.alias("location"))
+    # words of the rest as they stand in the tail; an ampersand is a word there
+    count = F.when(F.col("rest") == "", 0).otherwise(F.size(F.split("rest", " ")))
+    written = F.regexp_substr("venue", F.concat(F.lit("^(?:[^A-Za-z0-9&]*(?:[A-Za-z0-9]+|&)){"), count.cast("string"), F.lit("}")))
+    before = F.when(count > 0, F.coalesce(written, "rest"))
+    venue = F.when(F.col("hall").isNull() & F.col("location").isNull(), F.col("venue")).otherwise(F.nullif(F.concat_ws(" ", before, "hall"), F.lit("")))
+    return tails.join(found, "id", "left").select("id", venue.alias("venue"), "location")
+
+
+def resolve_records(folders: DataFrame, terms: DataFrame, mentions: DataFrame, sources: list[tuple[str, DataFrame]], files: DataFrame | None = None, tags: DataFrame | None = None, places: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Flexible resolution: records (id, entity, date, venue, location, title, reason), and where sources disagree (entity, date, field, kept, offered, source).
 
     folders: id, name, override, tag, path. The entity comes from the override, the tag, the
     part before the date, the left side of a spaced dash, path components as "entity date",
-    or path components, the deepest first, whichever resolves first (terms: entity, term).
-    The date comes from the name, else the path, else names of files (files: id, name), else
-    the document (mentions: id, date), and is checked against the document's dates. sources
-    (entity, date, venue, location) fill what is blank. Unresolved records keep a reason in
-    words.
+    or path components, the deepest first, whichever resolves first (terms: entity, term). A
+    name that several entities have ends the search: the record has no entity then, and its
+    reason names them all.
+    The date comes from the name, else the path, in both cases together with the dates in
+    tags (tags: id, value), else tags alone, else names of files (files: id, name), else the
+    document (mentions: id, date), and is checked against the document's dates. Partial
+    dates give way to complete ones that agree; dates that differ are a conflict.
+    With places (term, kind, canonical, region, country) the end of the tail is read as city,
+    region and country, which become the location; what stands before them is the venue. A
+    tail without a known place is the venue as a whole. sources (entity, date, venue,
+    location) fill what is blank. Unresolved records keep a reason in words.
     """
     names = folders.select("id", "name")
     around = date_jobs.split_around_date(names, "id", "name").where("mention = 1").select("id", F.col("before").alias("d_before"), F.col("date").alias("d_date"), F.col("after").alias("d_after"))
     dashed = date_jobs.split_on_dash(names, "id", "name").select("id", "left", "right")
-    rows = folders.join(around, "id", "left").join(dashed, "id", "left")
+    rows = stored(folders.join(around, "id", "left").join(dashed, "id", "left"), "names")
     parts = path_components(folders, "id", "path", eligible_only=True).select("id", "depth", "part")
     dated_parts = date_jobs.split_around_date(parts.withColumn("at", F.struct("id", "depth")), "at", "part").where("mention = 1").select("at.id", "at.depth", "before", "date")
+    dated_parts = stored(dated_parts, "parts")
 
     candidates = F.array(*[F.struct(F.lit(i).cast("long").alias("at"), text.blank_to_null(F.col(c)).alias("name")) for i, c in enumerate(("override", "tag", "d_before", "left"))])
     tried = rows.select("id", F.explode(candidates).alias("c")).select("id", "c.at", "c.name")
     tried = tried.unionByName(dated_parts.select("id", (F.col("depth") + 100).alias("at"), F.col("before").alias("name"))).unionByName(parts.select("id", (F.col("depth") + 10_000).alias("at"), F.col("part").alias("name")))
     tried = tried.where("name is not null").select(F.struct("id", "at").alias("try"), "name")
-    hits = joins.resolve_aliases(tried, "try", "name", terms).where("status = 'matched'").groupBy(F.col("try.id").alias("id")).agg(F.min_by(F.col("candidates")[0], F.col("try.at")).alias("entity"))
+    known = joins.resolve_aliases(tried, "try", "name", terms).where("status <> 'no_match'").groupBy(F.col("try.id").alias("id")).agg(F.min_by("candidates", F.col("try.at")).alias("c"))
+    one = F.size("c") == 1
+    hits = known.select("id", F.when(one, F.col("c")[0]).alias("entity"), F.when(~one, F.array_join("c", " | ")).alias("collision"))
+
+    def dated(df: DataFrame, column: str, rank: int) -> DataFrame:
+        found = date_jobs.extract_dates(df.withColumn("at", F.struct("id", column)), "at", column).where("kind <> 'range'")
+        return found.select("at.id", F.lit(rank).alias("rank"), F.col("normal").alias("date"))
 
-    told = [rows.where("d_date is not null").select("id", F.lit(1).alias("rank"), F.col("d_date").alias("date")), dated_parts.select("id", F.lit(2).alias("rank"), "date"), mentions.select("id", F.lit(4).alias("rank"), "date")]
+    told = [rows.where("d_date is not null").select("id", F.lit(_NAME).alias("rank"), F.col("d_date").alias("date")), dated_parts.select("id", F.lit(_PATH).alias("rank"), "date"), mentions.select("id", F.lit(_DOCUMENT).alias("rank"), "date")]
+    if tags is not None:
+        told.append(dated(tags, "value", _TAG))
     if files is not None:
-        named = files.withColumn("at", F.struct("id", "name"))
-        told.append(date_jobs.extract_dates(named, "at", "name").where("kind <> 'range'").select("at.id", F.lit(3).alias("rank"), F.col("normal").alias("date")))
+        told.append(dated(files, "name", _FILE))
     ranked = reduce(DataFrame.unionByName, told).groupBy("id", "rank").agg(F.collect_set("date").alias("dates"))
-    first = ranked.groupBy("id").agg(F.min_by("dates", "rank").alias("dates")).select("id", F.explode("dates").alias("date"))
-    agreed = date_jobs.match_compatible_dates(date_jobs.prefer_complete_dates(first, "id"), mentions, "id").select("id", "date", F.col("conflict").alias("date_conflict"))
-
-    out = rows.select("id", text.blank_to_null(F.coalesce("d_after", "right")).alias("venue")).join(hits, "id", "left").join(agreed, "id", "left").withColumn("location", F.lit(None).cast("string"))
-    filled, conflicts = joins.enrich_fill_blanks(out, sources, ["entity", "date"], ["venue", "location"], ["venue", "location"])
+    least = F.min("rank").over(Window.partitionBy("id"))
+    first = ranked.withColumn("least", least).where((F.col("rank") == F.col("least")) | ((F.col("rank") == _TAG) & (F.col("least") < _TAG)))
+    first = stored(date_jobs.prefer_complete_dates(first.select("id", F.explode("dates").alias("date")).distinct(), "id"), "dates")
+    agreed = date_jobs.match_compatible_dates(first, mentions, "id").select("id", "date", F.col("conflict").alias("date_conflict"))
+
+    tails = rows.select("id", text.blank_to_null(F.coalesce("d_after", "right")).alias("venue"))
+    tails = tails.withColumn("location", F.lit(None).cast("string")) if places is None else _placed(tails, places)
+    out = tails.join(hits, "id", "left").join(agreed, "id", "left")
+    filled, conflicts = joins.enrich_fill_blanks(stored(out, "records"), sources, ["entity", "date"], ["venue", "location"], ["venue", "location"])
     title = compose_names(F.col("entity"), F.col("date"), [F.col("venue"), F.col("location")], F.lit(""))
     titled = filled.withColumn("title", F.when(F.col("date_conflict").isNull(), title))
-    reason = F.when(F.col("title").isNull(), F.concat_ws("; ", F.lit("blank name"), F.when(F.col("entity").isNull(), "blank entity"), F.when(F.col("date_conflict").isNotNull(), "in conflict")))
+    reason = F.when(F.col("title").isNull(), F.concat_ws("; ", F.lit("blank name"), F.when(F.col("entity").isNull(), "blank entity"), F.concat(F.lit("several entities: "), "collision"), F.when(F.col("date_conflict").isNotNull(), "in conflict")))
     return titled.select("id", "entity", "date", "venue", "location", "title", reason.alias("reason")), conflicts
 
 

@@ -51,6 +51,32 @@ def e1_conflicts(t):
     return _resolved(t)[1]
 
 
+@query("e1_places_tags_collisions", """
+WITH r AS (SELECT o_orderkey AS id, o_orderkey % 6 AS n, c_name, n_name, r_name, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
+e AS (SELECT id, n, CASE WHEN n <> 3 THEN c_name END AS entity, CASE WHEN n <> 2 THEN d END AS date, CASE WHEN n = 1 THEN NULL ELSE 'Old Hall' END AS venue,
+  CASE WHEN n = 0 THEN n_name || ', ' || r_name WHEN n = 4 THEN 'Big Town, ' || n_name || ', ' || r_name END AS location FROM r)
+SELECT id, entity, date, venue, location, CASE WHEN n NOT IN (2, 3) THEN entity || ' ' || date || coalesce(' ' || venue, '') || coalesce(' ' || location, '') END AS title,
+  CASE n WHEN 2 THEN 'blank name; in conflict' WHEN 3 THEN 'blank name; blank entity; several entities: First Band | Second Band' END AS reason FROM e""")
+def e1_places_tags_collisions(t):
+    lands = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = folders(t).select("id", "c_name", "n_name", "d").join(F.broadcast(lands.select("n_name", "r_name")), "n_name")
+    n = F.col("id") % 6
+    # 0 region and country, 1 date in the tag only, 2 another date in the tag, 3 a name of two entities, 4 a partial date and a town, 5 no place
+    who = F.when(n == 3, "Shared Name").otherwise(F.col("c_name"))
+    when = F.when(n == 4, F.concat(F.substring("d", 1, 7), F.lit("-xx"))).otherwise(F.col("d"))
+    where = F.when(n == 0, F.concat_ws(", ", F.lit("Old Hall"), "n_name", "r_name")).when(n == 4, F.concat_ws(", ", F.lit("Old Hall"), F.lit("Big Town"), "n_name", "r_name")).otherwise("Old Hall")
+    name = F.when(n == 1, F.lit("cd1")).otherwise(F.concat_ws(" ", who, when, where))
+    none = F.lit(None).cast("string")
+    places = t("region").select(F.col("r_name").alias("term"), F.lit("country").alias("kind"), F.col("r_name").alias("canonical"), none.alias("region"), none.alias("country"))
+    places = places.union(lands.select("n_name", F.lit("region"), "n_name", none, "r_name")).union(t("region").limit(1).select(F.lit("Big Town"), F.lit("city"), F.lit("Big Town"), none, none))
+    two = t("region").where("r_regionkey < 2").select(F.when(F.col("r_regionkey") == 0, "First Band").otherwise("Second Band").alias("entity"), F.lit("shared name").alias("term"))
+    tags = rows.select("id", F.when(n.isin(1, 4, 5), F.col("d")).when(n == 2, "1901-02-03").alias("value")).where("value is not null")
+    store = rows.limit(0).select(F.col("c_name").alias("entity"), F.col("d").alias("date"), F.lit("").alias("venue"), F.lit("").alias("location"))
+    listed = rows.select("id", name.alias("name"), F.lit("").alias("override"), F.lit("").alias("tag"), F.concat(F.lit("/store/"), "c_name", F.lit("/cd1")).alias("path"))
+    mentions = rows.limit(0).select("id", F.col("d").alias("date"))
+    return op.resolve_records(listed, known_terms(t).union(two), mentions, [("store", store)], tags=tags, places=places)[0]
+
+
 @query("e2_resolve_records_strict", """
 WITH r AS (SELECT o_orderkey AS id, c_name, n_name, o_orderkey % 5 AS n, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)
 SELECT id, CASE n WHEN 0 THEN 'entity - tail' WHEN 1 THEN 'name' WHEN 4 THEN 'entity date' ELSE 'entity date tail' END AS pattern, CASE WHEN n <> 1 THEN c_name END AS entity, CASE WHEN n NOT IN (0, 1) THEN d END AS date, CASE WHEN n NOT IN (1, 4) THEN n_name END AS tail,

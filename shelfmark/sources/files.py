@@ -27,6 +27,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows of a step that several others read, written once to the shared folder: nothing above is computed again, by a plan or after a lost executor."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_catalog(spark: SparkSession, path: str, sep: str = "^") -> DataFrame:
     """(show, volume_path) of catalog text files.
 
