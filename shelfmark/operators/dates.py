@@ -34,25 +34,34 @@ _BEGIN, _PART = "\u0001", "\u0002"
 _FOUND = "struct<start:int,end:int,raw:string,rank:int,y:string,m:string,d:string>"
 
 
-def _found(value: Column, rank: int, pattern: str, groups: tuple[int, ...], month: int | None) -> Column:
-    """Every match of one family with its place and parts. The pattern is evaluated once: it puts marks into the text, which is then cut at them."""
-    parts = [f"${g}" if g else "" for g in groups] or ["", "", ""]
-    marked = F.regexp_replace(value, pattern, _BEGIN + _PART.join([*parts, "$0", ""]))
-    none = F.array().cast(f"array<{_FOUND}>")
+def _found(value: Column, families: list[tuple]) -> Column:
+    """Every match of all families (rank, kind, pattern, groups) with its place and parts.
 
-    def taken(cuts: Column) -> Column:
+    Each pattern is evaluated once: it puts marks into the text, which is then cut at them.
+    One expression reads the cuts of all families, as driver and Catalyst have to handle it.
+    """
+
+    def marked(rank: int, pattern: str, groups: tuple[int, ...]) -> Column:
+        parts = [f"${g}" if g else "xx" for g in groups or (0, 0, 0)]
+        text_ = F.regexp_replace(value, pattern, _BEGIN + _PART.join([*parts, "$0", ""]))
+        return F.struct(F.lit(rank).alias("rank"), text_.alias("text"))
+
+    named = [rank for rank, kind, _, _ in families if "month" in kind]
+
+    def taken(rank: Column, cuts: Column) -> Column:
         def step(at: Column, cut: Column) -> Column:
             def read(x: Column) -> Column:
                 end = at + F.length(x[3])
-                named = [dates.month_number(x[i]) if i == month else x[i] if groups and groups[i] else F.lit("xx") for i in range(3)]
-                one = F.struct(at.alias("start"), end.alias("end"), x[3].alias("raw"), F.lit(rank).alias("rank"), *[c.alias(n) for c, n in zip(named, "ymd", strict=True)])
+                month = F.when(rank.isin(named), dates.month_number(x[1])).otherwise(x[1])
+                one = F.struct(at.alias("start"), end.alias("end"), x[3].alias("raw"), rank.alias("rank"), x[0].alias("y"), month.alias("m"), x[2].alias("d"))
                 return F.struct((end + F.length(x[4])).alias("state"), one.alias("out"))
 
             return let(F.split(cut, _PART), read)
 
         return scan(F.slice(cuts, 2, F.size(cuts)), F.length(cuts[0]), step, _FOUND)
 
-    return let(marked, lambda m: F.when(m.contains(_BEGIN), let(F.split(m, _BEGIN), taken)).otherwise(none))
+    some = F.filter(F.array(*[marked(rank, pattern, groups) for rank, _, pattern, groups in families]), lambda m: m["text"].contains(_BEGIN))
+    return F.flatten(F.transform(some, lambda m: let(F.split(m["text"], _BEGIN), lambda cuts: taken(m["rank"], cuts))))
 
 
 def _clear(every: Column, kind: str, ranks: int) -> Column:
@@ -84,9 +93,8 @@ def extract_dates(df: DataFrame, key: str, column: str, allow_slash: bool = Fals
     # the marks are taken out first; what they become is part of no date
     value = F.translate(F.coalesce(F.col(column), F.lit("")), _BEGIN + _PART, "\u0003\u0003")
     used = [(rank, kind, pattern, groups) for rank, (kind, pattern, groups) in enumerate(FAMILIES) if kind != "slash" or allow_slash]
-    found = lambda v: F.flatten(F.array(*[_found(v, rank, p, groups, 1 if "month" in kind else None) for rank, kind, p, groups in used]))
     # no family does without two digits, so most texts need no further test
-    spans = let(value, lambda v: F.when(v.rlike("[0-9xX]{2}"), found(v)).otherwise(F.array().cast(f"array<{_FOUND}>")))
+    spans = let(value, lambda v: F.when(v.rlike("[0-9xX]{2}"), _found(v, used)).otherwise(F.array().cast(f"array<{_FOUND}>")))
     kinds = F.array(*[F.lit(kind) for kind, _, _ in FAMILIES])
     mention = "struct<start:int,rank:int,end:int,raw:string,kind:string,normal:string>"
 
