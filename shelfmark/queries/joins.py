@@ -8,6 +8,7 @@ from shelfmark.operators.trees import tree_diff
 from shelfmark.queries import query
 from shelfmark.queries.groups import PATHS, page_paths
 from shelfmark.queries.keys import titles
+from shelfmark.sources.files import stored
 
 _TERM = "p_name || ' ' || p_size || ' ' || p_type"
 
@@ -66,7 +67,7 @@ s AS (SELECT *, 72 + least(20.0, length(phrase) / 4) - line / 2 + CASE WHEN line
 SELECT doc_id, phrase, line, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line, phrase) AS rn FROM s) WHERE rn = 1""")
 def j4(t):
     docs = t("documents")
-    words = docs.select(F.explode(F.split(text.compare_key(F.col("text")), " ")).alias("phrase")).groupBy("phrase").count()
+    words = stored(docs.select(F.explode(F.split(text.compare_key(F.col("text")), " ")).alias("phrase")).groupBy("phrase").count(), "words")
     total = words.agg(F.sum("count").alias("total")).scalar()
     frequent = words.where(F.length("phrase") >= 6).where((F.col("count") * 100_000).between(5 * total, 20 * total))
     return op.best_dictionary_hit(docs, "doc_id", "text", frequent.select("phrase"), widest=1)
