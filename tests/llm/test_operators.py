@@ -690,6 +690,21 @@ def test_stage_drops_edited_copies(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted({min(i for i, c in enumerate(want) if c == k) for k in want})
 
 
+def test_stage_needs_no_fingerprints(spark, monkeypatch):
+    """Fingerprints and their index never changed what the exact join finds."""
+
+    def fail(*_):
+        raise AssertionError("an index that has no effect")
+
+    monkeypatch.setattr(likeness, "links", fail, raising=False)
+    texts = planted_copies(random.Random(6), 3, 4)
+    docs = data.table(spark, [(i, t, "en", "a", 0, None, 1, 2, "y") for i, t in enumerate(texts)])
+    want = alike_by_force(texts)
+    got = {r.doc_id: r.root for r in likeness.alike(docs).collect()}
+    assert len(set(zip(got.values(), (want[i] for i in got), strict=True))) == len(set(want)) == len(set(got.values()))
+    assert "fp" not in likeness.set_ids(docs, 5).columns
+
+
 def test_alike_of_an_empty_table(spark):
     assert likeness.keep_one(spark.createDataFrame([], data.SCHEMA)).count() == 0
 
