@@ -251,9 +251,9 @@ def _classified(units: DataFrame, name: str, overlapping: bool = False) -> tuple
     joined = materialise(units.join(digits, "digit"), name)
     mixed = joined.where(~F.col("pure"))
     kinds = materialise(mixed.groupBy("digit", "full").agg(_several(overlapping).alias("several"), F.min(F.struct("doc_id", "th", "place")).alias("one")), f"{name}-kinds")
-    repeated = mixed.join(kinds.where("several").select("digit", "full"), ["digit", "full"])
-    place = ["doc_id", "th", "place"]
-    return joined.where("pure").select(place).unionByName(repeated.select(place)), kinds.select("one.*")
+    # all but the kinds of one member; a unit meets one row of those at most
+    whole = joined.join(kinds.where(~F.col("several")).select("digit", "full"), ["digit", "full"], "left_anti")
+    return whole.select("doc_id", "th", "place"), kinds.select("one.*")
 
 
 def _joined(texts: DataFrame, places: DataFrame, how: str = "inner") -> DataFrame:

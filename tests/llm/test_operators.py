@@ -705,6 +705,41 @@ def test_stage_needs_no_fingerprints(spark, monkeypatch):
     assert "fp" not in likeness.set_ids(docs, 5).columns
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 40, 200, 3_000):
+        for keep in (0.0, 0.5, 0.9, 1.0):
+            a = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < keep], rng.integers(-(2**63), 2**63 - 1, n // 7)]))
+            apart = int(np.bitwise_count((likeness.parities(a) ^ likeness.parities(b)).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(a, b)) and likeness.parities(a).shape == (1, 8)
+    one = np.array([5], np.int64)
+    assert int(np.bitwise_count(likeness.parities(one).view(np.uint64)).sum()) == 1
+
+
+def test_crowd_of_near_copies_is_not_squared(spark, monkeypatch):
+    """Near copies of one text, some alike at 0.8 and many not: few pairs are left to compare on their whole sets."""
+    rng = random.Random(8)
+    words, texts = data.words(rng, 150, 3_000).split(), []
+    for k in range(240):
+        copy = words[:]
+        for at in rng.sample(range(5, 145), 2 + k % 6):
+            copy[at] = f"edit{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    docs, counts, write = data.table(spark, [(i, t, "en", "a", 0, None, 1, 2, "y") for i, t in enumerate(texts)]), {}, likeness.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(likeness, "materialise", counted)
+    got = {r.doc_id: r.root for r in likeness.alike(docs).collect()}
+    want = alike_by_force(texts)
+    assert len(set(zip(got.values(), (want[i] for i in got), strict=True))) == len(set(want)) == len(set(got.values()))
+    assert 10 < len(set(want)) < 200 and counts["left"] < 2 * len(texts)
+
+
 def test_alike_of_an_empty_table(spark):
     assert likeness.keep_one(spark.createDataFrame([], data.SCHEMA)).count() == 0
 
