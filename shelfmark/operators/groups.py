@@ -39,16 +39,16 @@ def group_release_parts(folders: DataFrame, parent: str, name: str, count: str)
     return rows.withColumn("release", release).groupBy(parent, "release").agg(F.count("*").alias("n_folders"), F.sum(count).alias("n_files"))
 
 
-def document_line_profile(docs: DataFrame, key: str, body: str) -> DataFrame:
+def document_line_profile(docs: DataFrame, key: str, body: str, letter: str = "\\p{L}") -> DataFrame:
     """Per document over all its lines: line counts, content score, and whether it is unreadable or checksums only.
 
     Lines of information have a list mark, a date or enough words and letters. A text is
-    unreadable without three letters, with a tenth of NULs, or with less than 60 %
-    printable characters. All counts are made inside the row.
+    unreadable without three characters that fit `letter`, with a tenth of NULs, or with less
+    than 60 % printable characters. All counts are made inside the row.
     """
     whole = F.coalesce(F.col(body), F.lit(""))
     size, count = F.length(whole), lambda p: F.regexp_count(whole, F.lit(p))
-    letters, nuls, odd = count("\\p{L}"), count("\\x00"), count("[\\p{Cntrl}\\uFFFD&&[^\\r\\n\\t]]")
+    letters, nuls, odd = count(letter), count("\\x00"), count("[\\p{Cntrl}\\uFFFD&&[^\\r\\n\\t]]")
     unreadable = (letters < 3) | (10 * nuls >= size) | (10 * (size - odd) < 6 * size)
 
     def judged(line: Column) -> Column:
