@@ -70,28 +70,38 @@ _CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
 _WINDOWS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
 
 
+def _paired(c: Column, unit: str) -> Column:
+    """Whether the surrogates of UTF-16 bytes stand in pairs; unit is the hex pattern of a code unit, with H for its high byte."""
+    high, low, some = (unit.replace("H", h) for h in ("D[89AB]", "D[C-F]", "D[89A-F]"))
+    rest = F.regexp_replace(F.hex(c), f"\\G((?:....)*?){high}{low}", "$1")
+    return ~F.hex(c).rlike(f"^(?:....)*?{some}") | ~rest.rlike(f"^(?:....)*?{some}")
+
+
 def decode_documents(files: DataFrame, content: str = "content") -> DataFrame:
     """Adds text, encoding and quality: the best of the readings as UTF-8, UTF-16 with or without mark, and windows-1252.
 
-    A reading scores by its share of letters and printable marks, less that of NULs; of
-    equals the first named wins. Empty contents are empty UTF-8 texts.
+    Windows-1252 is read only where the bytes are no UTF-8: any bytes are some text in it, and
+    two letters for an accented one would count as more. A reading scores by its share of
+    letters (Latin, Greek to Arabic, characters beyond U+FFFF), digits and blanks, less that of NULs and
+    of characters that no text has; of equals the one with more ASCII wins, then the first
+    named. Empty contents are empty UTF-8 texts.
     """
     c = F.col(content)
     even, marked = F.length(c) % 2 == 0, F.substring(c, 1, 2)
     safe16 = even & (F.length(c) > 1)
     utf8 = F.when(F.is_valid_utf8(c.cast("string")), c.cast("string"))
-    surrogate = F.hex(c).rlike("^(....)*(D[89A-F]..)")
-    le = F.when(safe16 & ((marked == F.unhex(F.lit("FFFE"))) | ~F.hex(c).rlike("^(....)*(..D[89A-F])")), F.decode(c, "UTF-16LE"))
-    be = F.when(safe16 & ((marked == F.unhex(F.lit("FEFF"))) | ~surrogate), F.decode(c, "UTF-16BE"))
-    western = F.translate(F.decode(c, "ISO-8859-1"), _CONTROLS, _WINDOWS)
+    le = F.when(safe16 & _paired(c, "..H"), F.decode(c, "UTF-16LE"))
+    be = F.when(safe16 & _paired(c, "H.."), F.decode(c, "UTF-16BE"))
+    western = F.when(utf8.isNull(), F.translate(F.decode(c, "ISO-8859-1"), _CONTROLS, _WINDOWS))
 
     def score(t: Column) -> Column:
         n = F.greatest(F.length(t), F.lit(1))
-        letters, nuls = F.regexp_count(t, F.lit("[\\p{IsLatin}\\p{IsDigit}\\s]")), F.regexp_count(t, F.lit("\\x00"))
-        odd = F.regexp_count(t, F.lit("[\\x01-\\x08\\x0E-\\x1F\\x7F-\\x9F\\uFFFD]|[ÃÂ][\\x80-\\xBF]"))
+        letters, nuls = F.regexp_count(t, F.lit("[\\p{IsLatin}\\p{IsDigit}\\s\\u0370-\\u07FF\\x{10000}-\\x{3FFFF}]")), F.regexp_count(t, F.lit("\\x00"))
+        odd = F.regexp_count(t, F.lit("[\\x01-\\x08\\x0E-\\x1F\\x7F-\\x9F\\uFFFD\\p{Co}\\p{Cn}]|[ÃÂ][\\x80-\\xBF]"))
         return (letters - 4 * nuls - 4 * odd) / n
 
-    readings = [F.struct(score(t).alias("quality"), F.lit(-i).alias("at"), F.lit(e).alias("encoding"), F.regexp_replace(t, "^\\uFEFF", "").alias("text")) for i, (e, t) in enumerate((("utf-8", utf8), ("utf-16-le", le), ("utf-16-be", be), ("windows-1252", western)))]
+    plain = lambda t: F.regexp_count(t, F.lit("[\\x20-\\x7E]"))
+    readings = [F.struct(score(t).alias("quality"), plain(t).alias("plain"), F.lit(-i).alias("at"), F.lit(e).alias("encoding"), F.regexp_replace(t, "^\\uFEFF", "").alias("text")) for i, (e, t) in enumerate((("utf-8", utf8), ("utf-16-le", le), ("utf-16-be", be), ("windows-1252", western)))]
     best = F.array_max(F.filter(F.array(*readings), lambda r: r["text"].isNotNull()))
     return files.withColumn("__b", best).withColumns({"text": F.col("__b.text"), "encoding": F.col("__b.encoding"), "quality": F.col("__b.quality")}).drop("__b")
 
