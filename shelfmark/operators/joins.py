@@ -186,36 +186,62 @@ def lookup_by_entity_date(requests: DataFrame, performances: DataFrame) -> DataF
     return found.withColumn("any_exact", any_exact).where("exact or not any_exact").select("request", "id", "exact")
 
 
-def _substrings(key: Column) -> Column:
-    """Distinct runs of one to three characters of a comparison key."""
-    each = [F.regexp_extract_all(key, F.lit(f"(?=({'.' * n}))"), 1) for n in (1, 2, 3)]
-    return F.array_distinct(F.concat(*each))
+def _pieces(key: Column, width: Column) -> Column:
+    """Runs of `width` characters of a key; none where it is shorter."""
+    count = F.length(key) - width + 1
+    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(key, i, width))).otherwise(F.array().cast("array<string>"))
+
+
+def _held(small: DataFrame, big: DataFrame) -> DataFrame:
+    """(date, small, and the columns of big) where the key `big` holds the key `small` of the same date. small: distinct date, small.
+
+    A small key is found by one piece of it, of the widest power of two that it has room for
+    and the one that the fewest small keys of its date share. Pieces of big keys are looked
+    up in a filter of those where they are made, so hardly any other row leaves its task.
+    """
+    cut = small.select("date", "small", F.pow(F.lit(2), F.floor(F.log2(F.length("small")))).cast("int").alias("width"))
+    cut = cut.select("date", "small", F.explode(F.array_distinct(_pieces(F.col("small"), F.col("width")))).alias("piece"))
+    shared = cut.groupBy("date", "piece").agg(F.count("*").alias("rows"))
+    least = cut.join(shared, ["date", "piece"]).groupBy("date", "small").agg(F.min(F.struct("rows", "piece"))["piece"].alias("piece"))
+    found = stored(least, "pieces")
+    marks = found.select(F.concat_ws(" ", "date", "piece").alias("mark")).distinct()
+    bits, may_hold = key_filter(marks, "mark", marks.count(), per_key=32)
+    widths = F.coalesce(found.agg(F.collect_set(F.length("piece"))).scalar(), F.array().cast("array<int>"))
+
+    def of_filter(own: Column) -> Column:
+        known = lambda w: F.filter(_pieces(own["big"], w), lambda x: may_hold(own["bits"], F.concat_ws(" ", own["date"], x)))
+        pieces = F.array_distinct(F.flatten(F.transform(own["widths"], known)))
+        return F.transform(pieces, lambda x: F.struct(own["date"].alias("date"), own["big"].alias("big"), x.alias("piece")))
+
+    # one struct, used once, so that key and filter are bound in the projection that probes them; explode_outer, as no filter that repeats the probes comes before it
+    rest = [c for c in big.columns if c not in ("date", "big")]
+    rows = big.select(*rest, F.struct(bits.alias("bits"), widths.alias("widths"), "date", "big").alias("__own"))
+    met = rows.select(*rest, let(F.col("__own"), of_filter).alias("__x")).select(*rest, F.explode_outer("__x").alias("__x")).select(*rest, "__x.*")
+    return met.join(found, ["date", "piece"]).where(F.col("big").contains(F.col("small"))).select(*big.columns, "small")
 
 
 def match_potential_duplicates(new: DataFrame, catalog: DataFrame) -> DataFrame:
     """(id, title): catalog titles that hold the date of a new record and one of its names, or lie inside such a name.
 
-    new: id, date, name (a row for each alias). What lies inside another text shares all its
-    runs of three characters, so names meet titles by date and the rarest run of the one
-    that lies inside, and are compared then; a date with very many rows is not compared
-    pair by pair. Keys have 37 characters, so the counts of runs have at most 52,059 rows.
+    new: id, date, name (a row for each alias). Names meet titles by date and a piece of the
+    one that lies inside (`_held`), and are compared then; a date with very many rows is not
+    compared pair by pair. A title that lies inside a name brings its date along, so only
+    names that hold their date as words can hold a title.
     """
     date = F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit("[0-9]{4}-[0-9]{2}-[0-9]{2}"), 0)))
-    named = new.select("id", F.col("date").cast("string").alias("date"), text.compare_key(F.col("name")).alias("n")).where("n <> '' and date is not null").distinct()
-    dated = catalog.select("title", date.alias("date"), text.compare_key(F.col("title")).alias("t")).distinct().join(named.select("date").distinct(), "date", "left_semi")
-    runs = lambda df, key: df.select("*", F.explode(_substrings(F.col(key))).alias("run"))
-    title_runs, name_runs = runs(dated, "t"), runs(named, "n")
-    counts = title_runs.select("run").unionByName(name_runs.select("run")).groupBy("run").agg(F.count("*").alias("rows"))
-
-    def rarest(df: DataFrame, key: str) -> DataFrame:
-        """Every row with the rarest of its longest runs."""
-        longest = F.length("run") == F.least(F.length(key), F.lit(3))
-        rest = [c for c in df.columns if c != "run"]
-        return df.where(longest).join(F.broadcast(counts), "run").groupBy(*rest).agg(F.min(F.struct("rows", "run")).alias("r")).select(*rest, "r.run")
-
-    holds = rarest(name_runs, "n").join(title_runs, ["date", "run"]).where(F.col("t").contains(F.col("n")))
-    inside = rarest(title_runs, "t").join(name_runs, ["date", "run"]).where(F.col("n").contains(F.col("t")))
-    return holds.select("id", "title").unionByName(inside.select("id", "title")).distinct()
+    named = new.select("id", F.col("date").cast("string").alias("date"), text.compare_key(F.col("name")).alias("n"))
+    named = stored(named.where("n <> '' and date is not null").distinct(), "names")
+    dated = catalog.select("title", date.alias("date"), text.compare_key(F.col("title")).alias("t"))
+    holds = _held(named.select("date", F.col("n").alias("small")).distinct(), dated.withColumnRenamed("t", "big"))
+    found = holds.select("title", "date", F.col("small").alias("n")).distinct().join(named, ["date", "n"]).select("id", "title")
+    over = named.where(F.col("n").contains(F.replace("date", F.lit("-"), F.lit(" "))))
+    longest = over.agg(F.max(F.length("n"))).first()[0]
+    if longest is not None:
+        short = dated.where(F.length("t") <= longest).join(over.groupBy("date").agg(F.max(F.length("n")).alias("most")), "date").where(F.length("t") <= F.col("most"))
+        short = stored(short.select("date", "t", "title").distinct(), "titles")
+        inside = _held(short.select("date", F.col("t").alias("small")).distinct(), over.select("id", "date", F.col("n").alias("big")))
+        found = found.unionByName(inside.join(short.withColumnRenamed("t", "small"), ["date", "small"]).select("id", "title"))
+    return found.distinct()
 
 
 def exact_key_duplicates(new: DataFrame, catalog: DataFrame, id_: str, title: str) -> DataFrame:
