@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections.abc import Iterator
-from itertools import accumulate
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,36 +35,76 @@ _ROUTED = "name string, ord long, title string, key string, route string, match
 _KNOWN = "keys array<string>, titles array<string>"
 
 
+def _pieces(name: str) -> list[str]:
+    """Runs of the widest power of two characters that a name has room for."""
+    width = 1 << (len(name).bit_length() - 1)
+    return [name[a : a + width] for a in range(len(name) - width + 1)]
+
+
 class _Titles:
-    """Titles of one date by their keys, in the order they came."""
+    """Titles of one date by their keys, in the order they came.
+
+    A name is looked up by one piece of it, the rarest among the names that are expected; the
+    keys that hold such a piece are listed by one pass over all keys, so the work does not grow
+    with names times keys.
+    """
 
     def __init__(self, keys: list[str], titles: list[str]):
-        self.keys, self.titles, self.place = keys, titles, {}
+        self.keys, self.titles, self.place, self.sizes = keys, titles, {}, set()
+        self.piece, self.holders, self.tried, self.first = {}, {}, {}, {}
         for i, k in enumerate(keys):
             self.place.setdefault(k, i)
-        self.text, self.joined, self.starts = "", 0, []
+            self.sizes.add(len(k))
 
     def add(self, key: str, title: str) -> None:
+        for width, listed in self.holders.items():
+            self._list(listed, width, len(self.keys), key)
         self.place.setdefault(key, len(self.keys))
+        self.sizes.add(len(key))
         self.keys.append(key)
         self.titles.append(title)
 
+    @staticmethod
+    def _list(listed: dict[str, list[int]], width: int, at: int, key: str) -> None:
+        for a in range(len(key) - width + 1):
+            places = listed.get(key[a : a + width])
+            if places is not None and (not places or places[-1] != at):
+                places.append(at)
+
+    def expect(self, names: Iterable[str]) -> None:
+        """List the keys that may hold these names."""
+        new = {n for n in names if n and n not in self.piece}
+        shared = Counter(p for n in new for p in set(_pieces(n)))
+        fresh = {}
+        for n in new:
+            self.piece[n] = p = min(_pieces(n), key=lambda x: (shared[x], x))
+            if p not in self.holders.get(len(p), {}):
+                fresh.setdefault(len(p), {})[p] = []
+        for width, listed in fresh.items():
+            for i, k in enumerate(self.keys):
+                self._list(listed, width, i, k)
+            self.holders.setdefault(width, {}).update(listed)
+
     def _holding(self, name: str) -> list[int]:
-        """The first title whose key holds the name: one search in all keys as one text, and in what was added since."""
-        if len(self.keys) > 2 * self.joined:
-            self.text, self.joined = "\n".join(self.keys), len(self.keys)
-            self.starts = [0, *accumulate(len(k) + 1 for k in self.keys)]
-        at = self.text.find(name) if self.joined else -1
-        if at >= 0:
-            return [bisect_right(self.starts, at) - 1]
-        return next(([i] for i in range(self.joined, len(self.keys)) if name in self.keys[i]), [])
+        """The first title whose key holds the name."""
+        if name not in self.piece:
+            self.expect([name])
+        if name not in self.first:
+            piece = self.piece[name]
+            places = self.holders[len(piece)][piece]
+            found = next((i for i in places[self.tried.get(name, 0) :] if name in self.keys[i]), None)
+            if found is None:
+                self.tried[name] = len(places)
+                return []
+            self.first[name] = found
+        return [self.first[name]]
 
     def match(self, key: str, names: list[str]) -> str | None:
         """The earliest title with this key, or that holds one of the names or lies inside of one."""
         found = [self.place[key]] if key in self.place else []
         for name in filter(None, names):
             found += self._holding(name)
-            found += [self.place[part] for a in range(len(name)) for b in range(a + 1, len(name) + 1) if (part := name[a:b]) in self.place]
+            found += [self.place[part] for size in self.sizes for a in range(len(name) - size + 1) if (part := name[a : a + size]) in self.place]
         return self.titles[min(found)] if found else None
 
 
@@ -75,6 +115,8 @@ def _judge(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
     rows = [row for frame in frames for row in zip(*(frame[c].tolist() for c in columns), strict=True)]
     rows.sort(key=lambda r: (r[0], r[1], r[2] or "", r[3] or ""))
     known = _Titles(*map(list, state.get)) if state.exists else _Titles([], [])
+    if dated:
+        known.expect(n for r in rows if r[0] for n in r[5])
     before, out = len(known.keys), []
     for arrival, ord_, title, name, key, names in rows:
         if not arrival:
@@ -91,6 +133,33 @@ def _judge(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
         yield pd.DataFrame(out, columns=["name", "ord", "title", "key", "route", "match"])
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: RocksDB, and the memory that all its stores of an executor share.
+_STORE = {
+    _PROVIDER: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
+
+
+@contextmanager
+def _store_on_disk(spark: SparkSession) -> Iterator[None]:
+    """A query that starts inside keeps its states in RocksDB, unless the session names a store; the session stays as it was."""
+    # a query copies the settings of its session when it starts
+    own = _STORE if spark.conf.get(_PROVIDER, None) is None else {}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def ingest_arrivals(arrivals: DataFrame, catalog: DataFrame, sink: str, checkpoint: str, undated: int = 4_096) -> StreamingQuery:
     """Route each arrival: duplicate, error (no key), or new, and write the batches to `sink`.
 
@@ -104,8 +173,9 @@ def ingest_arrivals(arrivals: DataFrame, catalog: DataFrame, sink: str, checkpoi
 
     The keys are in the state store by date, those without a date by their hash in `undated`
     groups (more of them for a longer catalog), so a batch reads only what is new and the
-    states it meets. A date's titles are one state. A
-    batch that runs again after a failure starts from the state before it and overwrites
+    states it meets. A date's titles are one state. The store is RocksDB, which keeps states
+    on disk and takes a bounded part of an executor's memory, unless the session names another
+    one. A batch that runs again after a failure starts from the state before it and overwrites
     its own output, so each arrival counts once.
     """
     first = F.nullif(F.regexp_extract(F.coalesce("title", F.lit("")), "[0-9]{4}-[0-9]{2}-[0-9]{2}", 0), F.lit(""))
@@ -125,7 +195,8 @@ def ingest_arrivals(arrivals: DataFrame, catalog: DataFrame, sink: str, checkpoi
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    return routed.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with _store_on_disk(catalog.sparkSession):
+        return routed.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_counts(routed: DataFrame) -> DataFrame:
