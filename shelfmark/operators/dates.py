@@ -13,6 +13,8 @@ from shelfmark.operators.filters import lines
 # Years and English month names.
 _YEAR = "(?:19|20)[0-9]{2}"
 _NAME = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?|JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)"
+#: No month name does without one of these; one test spares most texts the patterns with names.
+_MONTH = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec|JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC"
 _SEP = "[\\s._,-]*"
 #: kind, order of the parts, pattern (border guards are look-arounds, so the match is the date), groups by part.
 FAMILIES = (
@@ -41,10 +43,10 @@ def _found(value: Column, families: list[tuple]) -> Column:
     One expression reads the cuts of all families, as driver and Catalyst have to handle it.
     """
 
-    def marked(rank: int, pattern: str, groups: tuple[int, ...]) -> Column:
+    def marked(rank: int, kind: str, pattern: str, groups: tuple[int, ...]) -> Column:
         parts = [f"${g}" if g else "xx" for g in groups or (0, 0, 0)]
         text_ = F.regexp_replace(value, pattern, _BEGIN + _PART.join([*parts, "$0", ""]))
-        return F.struct(F.lit(rank).alias("rank"), text_.alias("text"))
+        return F.struct(F.lit(rank).alias("rank"), (F.when(value.rlike(_MONTH), text_) if "month" in kind else text_).alias("text"))
 
     named = [rank for rank, kind, _, _ in families if "month" in kind]
 
@@ -60,7 +62,7 @@ def _found(value: Column, families: list[tuple]) -> Column:
 
         return scan(F.slice(cuts, 2, F.size(cuts)), F.length(cuts[0]), step, _FOUND)
 
-    some = F.filter(F.array(*[marked(rank, pattern, groups) for rank, _, pattern, groups in families]), lambda m: m["text"].contains(_BEGIN))
+    some = F.filter(F.array(*[marked(rank, kind, pattern, groups) for rank, kind, pattern, groups in families]), lambda m: m["text"].contains(_BEGIN))
     return F.flatten(F.transform(some, lambda m: let(F.split(m["text"], _BEGIN), lambda cuts: taken(m["rank"], cuts))))
 
 
@@ -107,7 +109,8 @@ def extract_dates(df: DataFrame, key: str, column: str, allow_slash: bool = Fals
     # overlaps are settled inside the row, so rows that share a key stay apart and nothing is shuffled
     every = F.sort_array(F.filter(F.transform(spans, dated), lambda x: x["normal"].isNotNull()))
     clear = let(every, lambda e: F.when(F.size(e) > 1, _clear(e, mention, len(FAMILIES))).otherwise(e))
-    return df.select(key, F.explode(clear).alias("d")).select(key, "d.start", "d.raw", "d.normal", "d.kind")
+    # explode_outer: for explode Spark puts a filter below that evaluates the whole expression again
+    return df.select(key, F.explode_outer(clear).alias("d")).where("d is not null").select(key, "d.start", "d.raw", "d.normal", "d.kind")
 
 
 def partial_dates(df: DataFrame, key: str, year: str, month: str, day: str, pivot: int = 35) -> DataFrame:

@@ -37,8 +37,9 @@ WRAPPERS = "^(?:(?:cd|dis[ck]|dvd|set|vol(?:ume)?|part|side|tape|reel)s?[ ._-]*[
 def path_components(df: DataFrame, key: str, path: str, eligible_only: bool = False) -> DataFrame:
     """(key, depth, part, folder): components of a path, 1 for the deepest; optionally only those that can name an entity."""
     parts = paths.parts_of(F.col(path))
-    rows = df.select(key, parts.alias("parts")).select(key, "parts", F.posexplode("parts").alias("at", "raw"))
-    rows = rows.select(key, (F.size("parts") - F.col("at")).cast("long").alias("depth"), paths.clean_part(F.col("raw")).alias("part"), F.concat(F.lit("/"), F.array_join(F.slice("parts", 1, F.col("at") + 1), "/")).alias("folder"))
+    # cleaned before they become rows, and by posexplode_outer: filters on the parts then read what is there and do not clean them again
+    rows = df.select(key, parts.alias("parts")).select(key, "parts", F.posexplode_outer(F.transform("parts", paths.clean_part)).alias("at", "part"))
+    rows = rows.select(key, (F.size("parts") - F.col("at")).cast("long").alias("depth"), "part", F.concat(F.lit("/"), F.array_join(F.slice("parts", 1, F.col("at") + 1), "/")).alias("folder"))
     rows = rows.where("part <> ''")
     return rows.where((F.length("part") > 1) & ~F.col("part").rlike("^[0-9]+$") & ~F.lower("part").rlike(WRAPPERS)) if eligible_only else rows
 

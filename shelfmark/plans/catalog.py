@@ -20,16 +20,18 @@ _NAME, _PATH, _TAG, _FILE, _DOCUMENT = range(1, 6)
 
 
 def _placed(tails: DataFrame, places: DataFrame) -> DataFrame:
-    """(id, venue, location) of tails (id, venue): known places off the end, and what stands before them as it is written."""
-    found = joins.geo_resolve(tails.where("venue is not null"), "id", "venue", places)
+    """(id, venue, location) of tails (id, venue): known places off the end, and what stands before them as it is written. Equal tails are read once."""
+    texts = tails.where("venue is not null").select("venue").distinct()
+    found = joins.geo_resolve(texts.select(F.col("venue").alias("tail"), F.col("venue").alias("end")), "tail", "end", places)
     location = F.nullif(F.concat_ws(", ", "city", "region", "country"), F.lit(""))
-    found = found.select("id", "rest", F.col("venue").alias("hall"), location.alias("location"))
+    found = found.select("tail", "rest", F.col("venue").alias("hall"), location.alias("location"))
     # words of the rest as they stand in the tail; an ampersand is a word there
     count = F.when(F.col("rest") == "", 0).otherwise(F.size(F.split("rest", " ")))
-    written = F.regexp_substr("venue", F.concat(F.lit("^(?:[^A-Za-z0-9&]*(?:[A-Za-z0-9]+|&)){"), count.cast("string"), F.lit("}")))
+    written = F.regexp_substr("tail", F.concat(F.lit("^(?:[^A-Za-z0-9&]*(?:[A-Za-z0-9]+|&)){"), count.cast("string"), F.lit("}")))
     before = F.when(count > 0, F.coalesce(written, "rest"))
-    venue = F.when(F.col("hall").isNull() & F.col("location").isNull(), F.col("venue")).otherwise(F.nullif(F.concat_ws(" ", before, "hall"), F.lit("")))
-    return tails.join(found, "id", "left").select("id", venue.alias("venue"), "location")
+    venue = F.when(F.col("hall").isNull() & F.col("location").isNull(), F.col("tail")).otherwise(F.nullif(F.concat_ws(" ", before, "hall"), F.lit("")))
+    read = stored(found.select("tail", venue.alias("place"), "location"), "places")
+    return tails.join(read, F.col("venue") == F.col("tail"), "left").select("id", F.col("place").alias("venue"), "location")
 
 
 def resolve_records(folders: DataFrame, terms: DataFrame, mentions: DataFrame, sources: list[tuple[str, DataFrame]], files: DataFrame | None = None, tags: DataFrame | None = None, places: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -54,20 +56,23 @@ def resolve_records(folders: DataFrame, terms: DataFrame, mentions: DataFrame, s
     dashed = date_jobs.split_on_dash(names, "id", "name").select("id", "left", "right")
     rows = stored(folders.join(around, "id", "left").join(dashed, "id", "left"), "names")
     parts = path_components(folders, "id", "path", eligible_only=True).select("id", "depth", "part")
-    dated_parts = date_jobs.split_around_date(parts.withColumn("at", F.struct("id", "depth")), "at", "part").where("mention = 1").select("at.id", "at.depth", "before", "date")
-    dated_parts = stored(dated_parts, "parts")
+    # texts that many records share are read once
+    dated_texts = date_jobs.split_around_date(parts.select("part", F.col("part").alias("text")).distinct(), "part", "text").where("mention = 1").select("part", "before", "date")
+    dated_parts = stored(parts.join(stored(dated_texts, "dated"), "part").select("id", "depth", "before", "date"), "parts")
 
     candidates = F.array(*[F.struct(F.lit(i).cast("long").alias("at"), text.blank_to_null(F.col(c)).alias("name")) for i, c in enumerate(("override", "tag", "d_before", "left"))])
     tried = rows.select("id", F.explode(candidates).alias("c")).select("id", "c.at", "c.name")
     tried = tried.unionByName(dated_parts.select("id", (F.col("depth") + 100).alias("at"), F.col("before").alias("name"))).unionByName(parts.select("id", (F.col("depth") + 10_000).alias("at"), F.col("part").alias("name")))
-    tried = tried.where("name is not null").select(F.struct("id", "at").alias("try"), "name")
-    known = joins.resolve_aliases(tried, "try", "name", terms).where("status <> 'no_match'").groupBy(F.col("try.id").alias("id")).agg(F.min_by("candidates", F.col("try.at")).alias("c"))
+    tried = tried.where("name is not null")
+    texts = stored(tried.select("name").distinct(), "texts")
+    entities = joins.resolve_aliases(texts.select("name", F.col("name").alias("text")), "name", "text", terms).where("status <> 'no_match'")
+    known = tried.join(stored(entities.select("name", "candidates"), "entities"), "name").groupBy("id").agg(F.min_by("candidates", "at").alias("c"))
     one = F.size("c") == 1
     hits = known.select("id", F.when(one, F.col("c")[0]).alias("entity"), F.when(~one, F.array_join("c", " | ")).alias("collision"))
 
     def dated(df: DataFrame, column: str, rank: int) -> DataFrame:
-        found = date_jobs.extract_dates(df.withColumn("at", F.struct("id", column)), "at", column).where("kind <> 'range'")
-        return found.select("at.id", F.lit(rank).alias("rank"), F.col("normal").alias("date"))
+        found = date_jobs.extract_dates(df.select(F.col(column).alias("told")).distinct(), "told", "told").where("kind <> 'range'")
+        return df.join(found.select("told", "normal").distinct(), F.col(column) == F.col("told")).select("id", F.lit(rank).alias("rank"), F.col("normal").alias("date"))
 
     told = [rows.where("d_date is not null").select("id", F.lit(_NAME).alias("rank"), F.col("d_date").alias("date")), dated_parts.select("id", F.lit(_PATH).alias("rank"), "date"), mentions.select("id", F.lit(_DOCUMENT).alias("rank"), "date")]
     if tags is not None:
